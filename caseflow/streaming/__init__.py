@@ -1,0 +1 @@
+"""Empty on purpose: cases are read once per pull, so there is no streaming behaviour to offer."""
