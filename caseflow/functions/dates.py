@@ -20,8 +20,10 @@ def wall_clock(df: DataFrame, name: str) -> Column:
     Text is read as month/day/year and gives NULL when it is no date. Typed columns are cast; an
     instant (``timestamp``) is taken at the session time zone.
     """
-    column = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
+    column, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return column
+    if isinstance(kind, T.StringType):
         text = F.regexp_replace(F.regexp_extract(column, DATE_TEXT, 1), " ", "")
         return F.try_to_date(text, "M/d/y").cast(NTZ)
     return column.cast(NTZ)
@@ -37,8 +39,8 @@ def as_date(value: dt.date | str | Column | None) -> Column:
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Full 24-hour days from ``start`` to ``end``, cut toward zero also when negative."""
-    return F.extract(F.lit("DAY"), end.cast(NTZ) - start.cast(NTZ)).cast("long")
+    """Full 24-hour days between two zone-free timestamps, cut toward zero also when negative."""
+    return F.extract(F.lit("DAY"), end - start).cast("long")
 
 
 def days_pending(
@@ -55,7 +57,7 @@ def days_pending(
     moves open cases five hours. ``always_to_pull`` counts to the pull date for closed cases too.
     """
     open_from = nov + F.expr("INTERVAL '5' HOUR") if utc_pull else nov
-    to_pull = whole_days(open_from, pull)
+    to_pull = whole_days(open_from, pull.cast(NTZ))
     if always_to_pull:
         return to_pull
     return F.when(term.isNull(), to_pull).otherwise(whole_days(nov, term))

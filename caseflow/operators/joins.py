@@ -29,12 +29,12 @@ def lookup(
         copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
         right = right.withColumn(_SALT, copies)
         condition = condition & (F.col("l." + _SALT) == F.col("r." + _SALT))
-    kept_left = [F.col("l." + c) for c in left.columns if c != _SALT]
     if how in ("left_semi", "left_anti"):
         kept_right = []
     else:
-        kept_right = [F.col("r." + c) for c in right.columns if c not in (right_key, _SALT)]
-    return left.alias("l").join(right.alias("r"), condition, how).select(*kept_left, *kept_right)
+        kept_right = [f"r.{c}" for c in right.columns if c not in (right_key, _SALT)]
+    joined = left.alias("l").join(right.alias("r"), condition, how)
+    return joined.select("l.*", *kept_right).drop(_SALT)
 
 
 def in_other(left: DataFrame, right: DataFrame, key: str, salt: int = 1) -> DataFrame:

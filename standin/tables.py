@@ -12,37 +12,49 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow import domain
 from caseflow.plans.prepare import prepare_cases
 
 PULL_DATE = "2001-08-01"
 
-_PROGRAM_NAMES = (
-    "Air",
-    "VPDES",
-    "Solid Waste",
-    "Hazardous Waste",
-    "VWPP",
-    "PReP",
-    "VPA",
-    "Multimedia",
-    "Oil Spill",
-    "Other",
-    "Groundwater",
-    "Const. Storm.",
-    "UST",
-    "AST",
-    None,
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int",
+    "orders": """o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": "l_orderkey long, l_shipdate timestamp_ntz",
+}
+
+_CASE_EXPRESSIONS = (
+    "o_custkey AS facility_id",
+    "if(o_orderkey % 101 <> 0, concat('EA-', o_orderkey), NULL) AS ea_number",
+    "if(o_custkey % 89 <> 0, r_name, NULL) AS facility_region",
+    "concat('MGR-', o_custkey % 20) AS case_manager",
+    "concat('REG-', o_custkey) AS registration_number",
+    """element_at(array('Air', 'VPDES', 'Solid Waste', 'Hazardous Waste', 'VWPP', 'PReP', 'VPA',
+        'Multimedia', 'Oil Spill', 'Other', 'Groundwater', 'Const. Storm.', 'UST', 'AST', NULL),
+        cast(o_orderkey % 15 AS int) + 1) AS program_name""",
+    "concat('PMT-', o_orderkey % 1000) AS permit_number",
+    "concat('NOV-', o_orderkey) AS nov_number",
+    "if(o_orderkey % 53 <> 0, o_orderdate, NULL) AS nov_date",
+    "first_ship AS executed_date",
+    "if(o_orderstatus = 'F', last_ship, NULL) AS term_date",
+    "if(o_orderkey % 4 <> 0, o_totalprice, NULL) AS cash_civil_charge",
+    "o_orderpriority AS action_code",
+    """CASE o_orderstatus WHEN 'F' THEN 'Terminated' WHEN 'P' THEN 'Effective'
+        ELSE element_at(array('Pending', 'Pending Consent', 'Pending APA'),
+        cast(o_orderkey % 3 AS int) + 1) END AS status_code""",
+    "concat('comment ', o_orderkey) AS comments",
 )
-_POSITIONS = (
-    ("Manager", 8),
-    ("Manager/Vacant", 8),
-    ("Program Coordinator", 8),
-    ("Director/Vacant", 8),
-    ("Enforcement Specialist", 15),
-    ("Enforcement Specialist/Vacant", 15),
-    ("Administrative and Staff Assistant", 0),
-    ("Administrative and Staff Assistant/Vacant", 4),
+_ORG_EXPRESSIONS = (
+    "r_name AS region",
+    """element_at(array('Manager', 'Manager/Vacant', 'Program Coordinator', 'Director/Vacant',
+        'Enforcement Specialist', 'Enforcement Specialist/Vacant',
+        'Administrative and Staff Assistant', 'Administrative and Staff Assistant/Vacant'),
+        cast(s_suppkey % 8 AS int) + 1) AS position""",
+    "concat('P', s_suppkey) AS position_number",
+    "element_at(array(8, 8, 8, 8, 15, 15, 0, 4), cast(s_suppkey % 8 AS int) + 1) AS capacity",
 )
 
 
@@ -54,18 +66,16 @@ class CaseTables:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def facilities(self) -> DataFrame:
-        key = F.col("c_custkey")
-        name = F.when(key % 97 != 0, F.col("c_name"))
-        return self.table("customer").select(key.alias("efc_id"), name.alias("facility_name"))
+        return self.table("customer").selectExpr(
+            "c_custkey AS efc_id", "if(c_custkey % 97 <> 0, c_name, NULL) AS facility_name"
+        )
 
     def nation_regions(self) -> DataFrame:
-        region = self.table("region")
-        return self.table("nation").join(
-            region, F.col("r_regionkey") == F.col("n_regionkey"), "left"
-        )
+        regions = self.table("region")
+        return self.table("nation").join(regions, F.expr("r_regionkey = n_regionkey"), "left")
 
     def raw_cases(self) -> DataFrame:
         shipped = (
@@ -73,59 +83,26 @@ class CaseTables:
             .groupBy("l_orderkey")
             .agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
         )
-        order, customer = F.col("o_orderkey"), F.col("o_custkey")
-        names = F.array(*[F.lit(n) for n in _PROGRAM_NAMES])
-        pending = F.array(*[F.lit(s) for s in domain.PENDING])
-        number = order.cast("string")
         return (
             self.table("orders")
-            .join(shipped, F.col("l_orderkey") == order, "left")
-            .join(self.table("customer"), F.col("c_custkey") == customer, "left")
-            .join(self.nation_regions(), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-            .select(
-                customer.alias("facility_id"),
-                F.when(order % 101 != 0, F.concat(F.lit("EA-"), number)).alias("ea_number"),
-                F.when(customer % 89 != 0, F.col("r_name")).alias("facility_region"),
-                F.concat(F.lit("MGR-"), (customer % 20).cast("string")).alias("case_manager"),
-                F.concat(F.lit("REG-"), customer.cast("string")).alias("registration_number"),
-                names[(order % 15).cast("int")].alias("program_name"),
-                F.concat(F.lit("PMT-"), (order % 1000).cast("string")).alias("permit_number"),
-                F.concat(F.lit("NOV-"), number).alias("nov_number"),
-                F.when(order % 53 != 0, F.col("o_orderdate")).alias("nov_date"),
-                F.col("first_ship").alias("executed_date"),
-                F.when(F.col("o_orderstatus") == "F", F.col("last_ship")).alias("term_date"),
-                F.when(order % 4 != 0, F.col("o_totalprice")).alias("cash_civil_charge"),
-                F.col("o_orderpriority").alias("action_code"),
-                F.when(F.col("o_orderstatus") == "F", domain.TERMINATED[0])
-                .when(F.col("o_orderstatus") == "P", domain.EFFECTIVE[0])
-                .otherwise(pending[(order % 3).cast("int")])
-                .alias("status_code"),
-                F.concat(F.lit("comment "), number).alias("comments"),
-            )
+            .join(shipped, F.expr("l_orderkey = o_orderkey"), "left")
+            .join(self.table("customer"), F.expr("c_custkey = o_custkey"), "left")
+            .join(self.nation_regions(), F.expr("n_nationkey = c_nationkey"), "left")
+            .selectExpr(*_CASE_EXPRESSIONS)
         )
 
     def cases(self, **settings) -> DataFrame:
         return prepare_cases(self.raw_cases(), self.facilities(), PULL_DATE, **settings)
 
     def org_chart(self) -> DataFrame:
-        turn = (F.col("s_suppkey") % len(_POSITIONS)).cast("int")
-        titles = F.array(*[F.lit(title) for title, _ in _POSITIONS])
-        sizes = F.array(*[F.lit(size) for _, size in _POSITIONS])
-        return (
-            self.table("supplier")
-            .join(self.nation_regions(), F.col("n_nationkey") == F.col("s_nationkey"))
-            .filter(F.col("r_name").isNotNull())
-            .select(
-                F.col("r_name").alias("region"),
-                titles[turn].alias("position"),
-                F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("position_number"),
-                sizes[turn].alias("capacity"),
-            )
+        placed = self.table("supplier").join(
+            self.nation_regions(), F.expr("n_nationkey = s_nationkey AND r_name IS NOT NULL")
         )
+        return placed.selectExpr(*_ORG_EXPRESSIONS)
 
     def referral_rates(self) -> DataFrame:
-        key = F.col("r_regionkey")
-        rates = self.table("region").filter(key != 4)
-        return rates.select(
-            F.col("r_name").alias("region"), (F.lit(20.5) + 13 * key).alias("referral_rate")
+        """The region with key 4 has no rate."""
+        rated = self.table("region").filter("r_regionkey <> 4")
+        return rated.selectExpr(
+            "r_name AS region", "cast(20.5 + 13 * r_regionkey AS double) AS referral_rate"
         )
