@@ -1,0 +1,27 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from caseflow.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("spark")
+    session = local_session(
+        "8",
+        "caseflow-tests",
+        **{
+            "spark.sql.warehouse.dir": str(scratch / "warehouse"),
+            "spark.driver.memory": "6g",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
+        },
+    )
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(str(scratch / "checkpoints"))
+    yield session
+    session.stop()
