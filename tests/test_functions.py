@@ -1,0 +1,129 @@
+"""Dates and number text against plain Python."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseflow import domain
+from caseflow.functions import categories, dates, text
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_text_dates(spark, zone):
+    wanted = {
+        "04/15/2019": "2019-04-15",
+        "4/5/2020": "2020-04-05",
+        " 4/ 5/2020": "2020-04-05",
+        "4/5/2020 12:30:00 PM": "2020-04-05",
+        "13/45/2019": None,
+        "2/30/2020": None,
+        "2019-04-15": None,
+        "soon": None,
+        "": None,
+    }
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(k,) for k in wanted], "x string")
+        parsed = df.select("x", dates.wall_clock(df, "x").cast("string").alias("d")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert {r.x: r.d and r.d[:10] for r in parsed} == wanted
+
+
+def test_typed_dates_keep_their_clock(spark):
+    df = spark.sql(
+        "SELECT timestamp_ntz'2020-03-08 02:30:00' AS n, date'2020-03-08' AS d, "
+        "timestamp'2020-03-08 05:00:00' AS t"
+    )
+    out = df.select(*[dates.wall_clock(df, c).alias(c) for c in df.columns])
+    assert {t for _, t in out.dtypes} == {"timestamp_ntz"}
+    assert out.first().n == dt.datetime(2020, 3, 8, 2, 30)
+    assert out.first().d == dt.datetime(2020, 3, 8)
+
+
+def test_whole_days_cut_toward_zero(spark):
+    draw = random.Random(7)
+    start = dt.datetime(2020, 1, 1)
+    pairs = [
+        tuple(start + dt.timedelta(seconds=draw.randrange(-10**8, 10**8)) for _ in "ab")
+        for _ in range(500)
+    ]
+    pairs += [(start, start + dt.timedelta(days=n, seconds=s)) for n in (364, 365, 366, -1, 0) for s in (-1, 0, 1)]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    got = df.select("a", "b", dates.whole_days(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in got:
+        assert r.d == int((r.b - r.a).total_seconds() / 86400), r
+
+
+def test_calendar_steps(spark):
+    day = F.lit("2020-02-29").cast("date")
+    row = spark.range(1).select(
+        dates.year_earlier(day).alias("y"),
+        dates.start_of_year(day).alias("s"),
+        dates.start_of_last_year(day).alias("l"),
+        dates.short_date(day).alias("p"),
+        (dates.as_date(None) == F.current_date()).alias("today"),
+    ).first()
+    assert (row.y, row.s, row.l) == (dt.date(2019, 2, 28), dt.date(2020, 1, 1), dt.date(2019, 1, 1))
+    assert row.p == "02/29/20" and row.today
+
+
+def test_range_is_closed_and_ends_at_midnight(spark):
+    df = spark.sql(
+        "SELECT explode(array(timestamp_ntz'2020-01-01 00:00:00', timestamp_ntz'2020-04-14 00:00:00', "
+        "timestamp_ntz'2020-04-14 00:00:01', timestamp_ntz'2019-12-31 23:59:59')) AS t"
+    )
+    last = F.lit("2020-04-14").cast("date")
+    kept = df.filter(dates.within(F.col("t"), dates.start_of_year(last), last)).collect()
+    assert sorted(r.t for r in kept) == [dt.datetime(2020, 1, 1), dt.datetime(2020, 4, 14)]
+
+
+def test_program_groups(spark):
+    names = [m for group in domain.PROGRAM_GROUPS.values() for m in group] + [None, "Air", "New"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    live = {r.n: r.g for r in df.select("n", categories.program_group(F.col("n")).alias("g")).collect()}
+    assert live[None] == "Other" and live["Air"] == "Air" and live["New"] == "New"
+    assert live["VWPP"] == "VWP" and live["AST"] == "AST/UST" and live["Const. Storm."] == "Other"
+    old = categories.program_group(F.col("n"), domain.EXTRACT_PROGRAM_GROUPS)
+    kept = {r.n: r.g for r in df.select("n", old.alias("g")).collect()}
+    assert kept["Const. Storm."] == "Const. Storm."
+    assert {k: v for k, v in kept.items() if k != "Const. Storm."} == {
+        k: v for k, v in live.items() if k != "Const. Storm."
+    }
+
+
+def test_age_counters_share_day_365(spark):
+    df = spark.createDataFrame([(364,), (365,), (366,), (None,), (-3,)], "days_pending long")
+    got = df.select(
+        "days_pending",
+        categories.over_year(df).alias("over"),
+        categories.under_year(df).alias("under"),
+        categories.age_bucket(df).alias("bucket"),
+    ).collect()
+    assert {r.days_pending: (r.over, r.under, r.bucket) for r in got} == {
+        364: (False, True, "Active < 365"),
+        365: (True, True, "Active > 365"),
+        366: (True, False, "Active > 365"),
+        None: (False, False, "Active < 365"),
+        -3: (False, True, "Active < 365"),
+    }
+
+
+def test_number_text(spark):
+    wanted = {
+        0.0: ("0", "0", "0.00"),
+        60.0: ("60", "60", "60.00"),
+        20.5: ("20.5", "20.5", "20.50"),
+        1075.5: ("1075.5", "1,075.5", "1075.50"),
+        123456.78: ("123456.78", "123,456.8", "123456.78"),
+        2758185821.79: ("2758185821.79", "2,758,185,822", "2758185821.79"),
+        -7 / 15: ("-0.466666666666667", "-0.4666667", "-0.47"),
+    }
+    df = spark.createDataFrame([(k,) for k in wanted], "x double")
+    x = F.col("x")
+    got = df.select("x", text.plain_number(x), text.money(x), text.two_decimals(x)).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == wanted
+    assert spark.range(1).select(text.shown(F.lit(None))).first()[0] == "NA"
