@@ -30,17 +30,20 @@ def group_keys(region: str | None, *keys: str) -> list[str]:
     return [*keys] if region is not None else ["facility_region", *keys]
 
 
-def first_row_per(df: DataFrame, key: str, order: str, counted_as: str | None = None) -> DataFrame:
+def first_row_per(
+    df: DataFrame, keys: str | Sequence[str], order: str, counted_as: str | None = None
+) -> DataFrame:
     """One whole row per key, the lowest by ``order`` and then by the other columns in turn.
 
     A minimum over the row as a struct is combined before the shuffle, so a hot key sends one row
     per task instead of all of its rows to one place.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
+    keys = [keys] if isinstance(keys, str) else [*keys]
+    rest = [c for c in df.columns if c not in (*keys, order)]
     best = F.min(F.struct(order, *rest)).alias("_row")
     counts = [F.count(F.lit(1)).alias(counted_as)] if counted_as else []
-    picked = df.groupBy(key).agg(best, *counts)
-    columns = [F.col(c) if c == key else F.col("_row")[c].alias(c) for c in df.columns]
+    picked = df.groupBy(*keys).agg(best, *counts)
+    columns = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
     return picked.select(*columns, *([counted_as] if counted_as else []))
 
 
@@ -50,6 +53,11 @@ def with_group_value(df: DataFrame, key: str, name: str, value: Column) -> DataF
     return lookup(df, df.groupBy(key).agg(value.alias(name)), key, key)
 
 
+def has_value(df: DataFrame, name: str) -> bool:
+    """Whether any row has a value in the column; stops at the first one found."""
+    return not df.filter(F.col(name).isNotNull()).isEmpty()
+
+
 def distinct_values(df: DataFrame, name: str) -> DataFrame:
     return df.select(name).distinct()
 

@@ -7,11 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.dates import as_date, short_date, start_of_year, within
+from caseflow.functions.dates import as_date, short_date, start_of_last_year, start_of_year, within
 from caseflow.operators.joins import in_other
 from caseflow.operators.rows import distinct_values
 from caseflow.plans.prepare import prepare_cases
-from caseflow.sources.views import issued_between
+from caseflow.sources.views import issued_between, touched_between
 
 
 def year_to_date(cases: DataFrame) -> DataFrame:
@@ -29,6 +29,14 @@ def prepare_year_to_date(
     return prepare_cases(issued, facilities, pull, **settings)
 
 
+def prepare_touched(
+    raw: DataFrame, facilities: DataFrame, pull_date: dt.date | str | None = None, **settings
+) -> DataFrame:
+    """Cases executed, noticed or terminated since the start of the year before the pull."""
+    pull = as_date(pull_date)
+    return prepare_cases(touched_between(raw, start_of_last_year(pull), pull), facilities, pull, **settings)
+
+
 def reconcile_cases(cases: DataFrame, other_pull: DataFrame, salt: int = 1) -> DataFrame:
     """Cases whose number also occurs in another pull."""
     return in_other(cases, other_pull, "ea_number", salt)

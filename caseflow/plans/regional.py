@@ -66,6 +66,11 @@ def with_program_total(rows: DataFrame) -> DataFrame:
     return with_group_value(rows, "program", "program_total", F.count(F.lit(1)))
 
 
+def with_region_total(rows: DataFrame) -> DataFrame:
+    """Detail rows, each with the number of rows of its region."""
+    return with_group_value(rows, "facility_region", "region_total", F.count(F.lit(1)))
+
+
 def _pending_counts(cases: DataFrame, region: str | None, statuses: Sequence[str]) -> DataFrame:
     over = over_year(cases)
     pending = in_region(cases, region).filter(has_status(statuses))

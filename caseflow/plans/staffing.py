@@ -66,15 +66,6 @@ def fte_deficit_by_region(
     )
 
 
-def _regions_to_report(
-    capacity: DataFrame, pending: DataFrame, region: str | None
-) -> DataFrame:
-    if region is not None:
-        return capacity.sparkSession.range(0, 1, 1, 1).select(F.lit(region).alias("region"))
-    named = capacity.select("region").union(pending.select("region"))
-    return named.filter(F.col("region").isNotNull()).distinct()
-
-
 def region_capacity_fte(
     cases: DataFrame,
     org_chart: DataFrame,
@@ -88,25 +79,23 @@ def region_capacity_fte(
         strict_total(F.col("capacity")).alias("staffed"), F.lit(True).alias("has_staff")
     )
     pending = _pending_by_region(in_region(cases, region), statuses)
-    pending = pending.withColumnRenamed("facility_region", "region")
-    rates = in_region(referral_rates, region, "region")
-    base = _regions_to_report(staff, pending, region)
-    figures = (
-        base.join(staff, "region", "left")
-        .join(pending, "region", "left")
-        .join(rates, "region", "left")
-        .select(
-            "region",
-            F.when(F.col("has_staff"), F.col("staffed")).otherwise(0).alias("capacity"),
-            F.coalesce("pending_total", F.lit(0)).alias("pending_total"),
-            "referral_rate",
-        )
-        .withColumns(
-            {
-                "referral_deficit": _fte(F.col("capacity"), F.col("referral_rate")),
-                "current_deficit": _fte(F.col("capacity"), F.col("pending_total")),
-            }
-        )
+    known = staff.join(pending.withColumnRenamed("facility_region", "region"), "region", "full")
+    if region is None:
+        known = known.filter(F.col("region").isNotNull())
+    else:
+        asked = cases.sparkSession.range(0, 1, 1, 1).select(F.lit(region).alias("region"))
+        known = asked.join(known, "region", "left")
+    figures = known.join(in_region(referral_rates, region, "region"), "region", "left").select(
+        "region",
+        F.when(F.col("has_staff"), F.col("staffed")).otherwise(0).alias("capacity"),
+        F.coalesce("pending_total", F.lit(0)).alias("pending_total"),
+        "referral_rate",
+    )
+    figures = figures.withColumns(
+        {
+            "referral_deficit": _fte(F.col("capacity"), F.col("referral_rate")),
+            "current_deficit": _fte(F.col("capacity"), F.col("pending_total")),
+        }
     )
     capacity, rate = text.shown(F.col("capacity")), text.shown(text.plain_number(F.col("referral_rate")))
     referral, current = (

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from caseflow import domain
 from caseflow.functions.categories import has_status, over_year, terminated_lately
+from caseflow.operators.joins import lookup
 from caseflow.operators.measures import (
     case_count,
     case_count_where,
     cash_total,
     null_if_zero,
 )
-from caseflow.operators.rows import template_row
+from caseflow.operators.rows import first_row_per, template_row, with_group_value
 
 REGION, PROGRAM = "facility_region", "program"
 COUNT_NAMES = {REGION: "region_total", PROGRAM: "program_total"}
@@ -129,3 +130,15 @@ def cash_drill_program(cases: DataFrame, selections: Sequence[str] = ()) -> Data
     if not selections:
         return cash_by_program(cases)
     return cash_by_region(cases.filter(F.col(PROGRAM).isin(*selections)))
+
+
+def with_cash_total(cases: DataFrame, key: str) -> DataFrame:
+    """Every case with the penalty total of its region or program."""
+    return with_group_value(cases, key, CASH_NAMES[key], cash_total(cases))
+
+
+def cash_drill_rows(cases: DataFrame, selections: Sequence[str]) -> DataFrame:
+    """The drill-down with a whole case per program and region: the first by case number."""
+    chosen = cases.filter(F.col(REGION).isin(*selections))
+    first = first_row_per(chosen, [PROGRAM, REGION], "ea_number")
+    return lookup(first, cash_by_program(chosen), PROGRAM, PROGRAM)

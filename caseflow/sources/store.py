@@ -11,9 +11,14 @@ from caseflow import domain
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """Store a pull. Only the partitions of its own pull dates are replaced."""
+    """Store a pull. Only the partitions of its own pull dates are replaced.
+
+    Rows are sorted inside each task, so that a reader asking for one region or status skips the
+    pages and row groups of the others.
+    """
     (
-        cases.write.mode("overwrite")
+        cases.sortWithinPartitions("pull_date", "facility_region", "status_code")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("pull_date")
         .parquet(path)

@@ -62,7 +62,8 @@ referral_rates AS (
 
 _DETAIL = """facility_name, ea_number, facility_region, case_manager, registration_number, program_name, permit_number,
   nov_number, nov_date, executed_date, term_date, cash_civil_charge, action_code, status_code, comments"""
-_CASES = _DETAIL + ", program, pull_date, days_pending"
+_PULLED = "CAST(pull_date AS STRING) AS pull_date"
+_CASES = f"{_DETAIL}, program, {_PULLED}, days_pending"
 
 
 def _pending_by(key: str, statuses: str = PENDING, template: bool = True) -> str:
@@ -142,7 +143,7 @@ p AS (SELECT facility_region, count(*) AS n FROM cases WHERE {PENDING} GROUP BY
 o AS (SELECT region, CAST(CASE WHEN count(capacity) = count(*) THEN sum(capacity) END AS BIGINT) AS region_capacity
   FROM org_chart GROUP BY region)"""
 
-_CUBE_SELECT = """pull_date, facility_region, program, status_code,
+_CUBE_SELECT = f"""{_PULLED}, facility_region, program, status_code,
   coalesce(days_pending >= 365, FALSE) AS over_year, coalesce(days_pending <= 365, FALSE) AS under_year,
   coalesce(term_date >= pull_date - INTERVAL 12 MONTH, FALSE) AS recent_term"""
 _CUBE = f"""SELECT {_CUBE_SELECT}, count(*) AS case_count, round(coalesce(sum(cash_civil_charge), 0), 2) AS cash_total
@@ -171,19 +172,24 @@ def _page_panels(key: str, whose: str) -> str:
     )
 
 
-def _pending_bars() -> str:
-    def bars(series: str, column: str) -> str:
-        return f"""SELECT 'pending_by_region' AS panel, facility_region AS x, '{series}' AS series, CAST({column} AS DOUBLE) AS y,
-  'Region Name:  ' || coalesce(facility_region, 'NA') || '<br>{series}:  ' || coalesce(CAST({column} AS STRING), 'NA')
-  || '<br>Regional Total:  ' || CAST(total_pending AS STRING) AS label FROM t"""
+_PAGE = f"{_page_panels('facility_region', 'region')} UNION ALL {_page_panels('program', 'program')}"
 
-    inner = _pending_by("facility_region").strip()
-    ctes, select = inner.rsplit("\nSELECT", 1)
+
+def _bucket_bars(panel: str, key: str, captions: tuple[str, str, str, str], total: str, body: str) -> str:
+    """Both age buckets of a pending table; captions of key, lower bucket, upper bucket, total."""
+    first, lower, upper, last = captions
+
+    def bars(series: str, column: str, caption: str) -> str:
+        return f"""SELECT '{panel}' AS panel, {key} AS x, '{series}' AS series, CAST({column} AS DOUBLE) AS y,
+  '{first}:  ' || coalesce({key}, 'NA') || '<br>{caption}:  ' || coalesce(CAST({column} AS STRING), 'NA')
+  || '<br>{last}:  ' || CAST({total} AS STRING) AS label FROM t"""
+
+    ctes, select = body.strip().rsplit("\nSELECT", 1)
     return (
         f"{ctes},\nt AS (SELECT{select})\n"
-        + bars("Active < 365", "active_lt_365")
+        + bars("Active < 365", "active_lt_365", lower)
         + "\nUNION ALL\n"
-        + bars("Active > 365", "active_gt_365")
+        + bars("Active > 365", "active_gt_365", upper)
     )
 
 
@@ -224,11 +230,11 @@ _SINCE = "BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2001-08-01 00:0
 
 _BODIES = {
     "cases_prepared": f"SELECT {_CASES} FROM cases",
-    "cases_prepared_utc_pull": f"""SELECT {_DETAIL}, program, pull_date,
+    "cases_prepared_utc_pull": f"""SELECT {_DETAIL}, program, {_PULLED},
   CASE WHEN term_date IS NULL THEN date_sub('day', nov_date + INTERVAL 5 HOUR, CAST(pull_date AS TIMESTAMP)) ELSE days_pending END AS days_pending
 FROM cases""",
     "cases_prepared_as_extract": f"""SELECT {_DETAIL},
-  CASE WHEN program_name = 'Const. Storm.' THEN program_name ELSE program END AS program, pull_date,
+  CASE WHEN program_name = 'Const. Storm.' THEN program_name ELSE program END AS program, {_PULLED},
   date_sub('day', nov_date, CAST(pull_date AS TIMESTAMP)) AS days_pending FROM cases""",
     "cases_touched_since_last_year": f"""SELECT {_CASES} FROM cases
 WHERE executed_date {_SINCE} OR nov_date {_SINCE} OR term_date {_SINCE}""",
@@ -236,7 +242,7 @@ WHERE executed_date {_SINCE} OR nov_date {_SINCE} OR term_date {_SINCE}""",
     "cases_year_to_date_at_source": f"SELECT {_CASES} FROM cases WHERE {_YTD}",
     "reconcile_cases": f"""SELECT {_CASES} FROM cases y WHERE {_YTD}
   AND EXISTS (SELECT 1 FROM cases o WHERE o.ea_number = y.ea_number AND o.status_code <> 'Terminated')""",
-    "pull_date_banner": """SELECT DISTINCT pull_date, 'Dashboard Data Pulled On: ' || strftime(pull_date, '%m/%d/%y') AS banner FROM cases""",
+    "pull_date_banner": f"""SELECT DISTINCT {_PULLED}, 'Dashboard Data Pulled On: ' || strftime(cases.pull_date, '%m/%d/%y') AS banner FROM cases""",
     "pending_by_region": _pending_by("facility_region"),
     "pending_by_program": _pending_by("program"),
     "pending_by_region_two_statuses": _pending_by(
@@ -257,6 +263,16 @@ s AS (SELECT * FROM cases WHERE facility_region IN ({REGIONS})),
 t AS (SELECT program, round(coalesce(sum(cash_civil_charge), 0), 2) AS program_total FROM s GROUP BY program)
 SELECT DISTINCT s.program, s.facility_region, t.program_total FROM s JOIN t ON s.program = t.program""",
     "cash_drill_program": _cash_by("facility_region", f"program IN ({PROGRAM_SELECTION})"),
+    "cash_drill_rows": f"""
+s AS (SELECT * FROM cases WHERE facility_region IN ({REGIONS})),
+t AS (SELECT program, round(coalesce(sum(cash_civil_charge), 0), 2) AS program_total FROM s GROUP BY program)
+SELECT {_CASES.replace(" program, ", " r.program, ")}, program_total
+FROM (SELECT *, row_number() OVER (PARTITION BY program, facility_region ORDER BY ea_number) AS rn FROM s) r
+JOIN t ON t.program = r.program WHERE rn = 1""",
+    "cases_with_regional_cash": f"""SELECT {_CASES},
+  round(coalesce(sum(cash_civil_charge) OVER (PARTITION BY facility_region), 0), 2) AS regional_total FROM cases""",
+    "cases_with_program_cash": f"""SELECT {_CASES},
+  round(coalesce(sum(cash_civil_charge) OVER (PARTITION BY program), 0), 2) AS program_total FROM cases""",
     "capacity_by_region": """SELECT region, CAST(CASE WHEN count(capacity) = count(*) THEN sum(capacity) END AS BIGINT) AS region_capacity
 FROM org_chart GROUP BY region""",
     "fte_deficit_by_region": f"""{_STAFF}
@@ -273,6 +289,8 @@ FROM j LEFT JOIN referral_rates r ON r.region IS NOT DISTINCT FROM j.facility_re
     "region_terminated_detail": f"SELECT program, {_DETAIL} FROM cases WHERE {LATELY}",
     "region_monitored_detail": f"SELECT program, {_DETAIL} FROM cases WHERE status_code = 'Effective'",
     "monitored_with_program_total": f"""SELECT program, {_DETAIL}, count(*) OVER (PARTITION BY program) AS program_total
+FROM cases WHERE status_code = 'Effective'""",
+    "monitored_with_region_total": f"""SELECT program, {_DETAIL}, count(*) OVER (PARTITION BY facility_region) AS region_total
 FROM cases WHERE status_code = 'Effective'""",
     "pending_with_age_bucket": f"""SELECT {_CASES}, CASE WHEN days_pending >= 365 THEN 'Active > 365' ELSE 'Active < 365' END AS pending_status
 FROM cases WHERE {PENDING}""",
@@ -314,8 +332,32 @@ SELECT region, capacity, pending_total, referral_rate, referral_deficit, current
   FROM cases c WHERE status_code = 'Effective') x WHERE rn = 1""",
     "case_cube": _CUBE,
     "case_cube_early": _CUBE,
-    "statewide_page": f"{_page_panels('facility_region', 'region')} UNION ALL {_page_panels('program', 'program')}",
-    "chart_pending_by_region": _pending_bars(),
+    "statewide_page": _PAGE,
+    "statewide_page_early": _PAGE,
+    "chart_pending_by_region": _bucket_bars(
+        "pending_by_region",
+        "facility_region",
+        ("Region Name", "Active < 365", "Active > 365", "Regional Total"),
+        "total_pending",
+        _pending_by("facility_region"),
+    ),
+    "chart_region_pending_by_program": _bucket_bars(
+        "region_pending_by_program",
+        "program",
+        ("Program Name", "Category Count", "Category Count", "Program Total"),
+        "program_total",
+        _pending_counts(REGION),
+    ),
+    "chart_monitored_by_program": """
+t AS (SELECT program AS x, count(*) AS n FROM cases WHERE status_code = 'Effective' GROUP BY program)
+SELECT 'monitored_by_program' AS panel, x, 'Program Total' AS series, CAST(n AS DOUBLE) AS y,
+  'Program Name:  ' || coalesce(x, 'NA') || '<br>Program Total:  ' || n AS label FROM t""",
+    "chart_cash_drill_region": f"""
+s AS (SELECT * FROM cases WHERE facility_region IN ({REGIONS})),
+t AS (SELECT program AS x, round(coalesce(sum(cash_civil_charge), 0), 2) AS y FROM s GROUP BY program)
+SELECT DISTINCT 'cash_drill_region' AS panel, x, 'Regional Total' AS series, y,
+  'Region Name:  ' || facility_region || '<br>Program Name:  ' || x || '<br>Program Total: $ ' || {_grouped_digits("y")} AS label
+FROM t JOIN s ON s.program = x""",
     "chart_cash_by_region": _cash_bars(
         "cash_by_region", "facility_region", "Region Name", "Regional Total"
     ),

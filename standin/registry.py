@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import domain
-from caseflow.functions.dates import as_date, start_of_last_year
 from caseflow.plans import charts, cube, export, recon, regional, staffing, statewide
-from caseflow.plans.prepare import prepare_cases
-from caseflow.sources.views import touched_between
 from standin.tables import PULL_DATE, CaseTables
 
 REGION = "ASIA"
@@ -26,12 +23,18 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _portable(df: DataFrame) -> DataFrame:
+    """Dates as ISO text, which every engine prints alike."""
+    days = [name for name, kind in df.dtypes if kind == "date"]
+    return df.withColumns({d: F.col(d).cast("string") for d in days}) if days else df
+
+
 def _on_cases(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: plan(CaseTables(spark, folder).cases())
+    return lambda spark, folder: _portable(plan(CaseTables(spark, folder).cases()))
 
 
 def _on_tables(plan: Callable[[CaseTables], DataFrame]) -> Query:
-    return lambda spark, folder: plan(CaseTables(spark, folder))
+    return lambda spark, folder: _portable(plan(CaseTables(spark, folder)))
 
 
 def _staffed(plan: Callable[..., DataFrame], **settings) -> Callable[[CaseTables], DataFrame]:
@@ -46,12 +49,6 @@ def _fte_rounded(t: CaseTables, **settings) -> DataFrame:
     return _rounded(_fte(t, **settings), 4, "referral_fte_deficit", "current_fte_deficit")
 
 
-def _touched(t: CaseTables) -> DataFrame:
-    pull = as_date(PULL_DATE)
-    recent = touched_between(t.raw_cases(), start_of_last_year(pull), pull)
-    return prepare_cases(recent, t.facilities(), PULL_DATE)
-
-
 def _reconciled(t: CaseTables) -> DataFrame:
     still_listed = t.cases().filter(~F.col("status_code").isin(*domain.TERMINATED))
     return recon.reconcile_cases(recon.year_to_date(t.cases()), still_listed)
@@ -73,7 +70,9 @@ QUERIES: dict[str, Query] = {
     "cases_prepared_as_extract": _on_tables(
         lambda t: t.cases(always_to_pull=True, groups=domain.EXTRACT_PROGRAM_GROUPS)
     ),
-    "cases_touched_since_last_year": _on_tables(_touched),
+    "cases_touched_since_last_year": _on_tables(
+        lambda t: recon.prepare_touched(t.raw_cases(), t.facilities(), PULL_DATE)
+    ),
     "cases_year_to_date": _on_cases(recon.year_to_date),
     "cases_year_to_date_at_source": _on_tables(
         lambda t: recon.prepare_year_to_date(t.raw_cases(), t.facilities(), PULL_DATE)
@@ -108,6 +107,15 @@ QUERIES: dict[str, Query] = {
     "cash_drill_program": _on_cases(
         lambda c: _rounded(statewide.cash_drill_program(c, PROGRAM_SELECTION), 2, "regional_total")
     ),
+    "cash_drill_rows": _on_cases(
+        lambda c: _rounded(statewide.cash_drill_rows(c, REGIONS), 2, "program_total")
+    ),
+    "cases_with_regional_cash": _on_cases(
+        lambda c: _rounded(statewide.with_cash_total(c, statewide.REGION), 2, "regional_total")
+    ),
+    "cases_with_program_cash": _on_cases(
+        lambda c: _rounded(statewide.with_cash_total(c, statewide.PROGRAM), 2, "program_total")
+    ),
     # staffing
     "capacity_by_region": _on_tables(lambda t: staffing.capacity_by_region(t.org_chart())),
     "fte_deficit_by_region": _on_tables(_fte_rounded),
@@ -126,6 +134,9 @@ QUERIES: dict[str, Query] = {
     "monitored_with_program_total": _on_cases(
         lambda c: regional.with_program_total(regional.region_monitored_detail(c))
     ),
+    "monitored_with_region_total": _on_cases(
+        lambda c: regional.with_region_total(regional.region_monitored_detail(c))
+    ),
     "pending_with_age_bucket": _on_cases(regional.pending_cases),
     "region_pending_by_program": _on_cases(regional.region_pending_by_program),
     "region_pending_by_program_one": _on_cases(
@@ -151,8 +162,29 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "statewide_page": _on_cases(lambda c: _rounded(charts.statewide_page(c), 2, "y")),
+    "statewide_page_early": _on_tables(
+        lambda t: _rounded(
+            charts.statewide_page(
+                cube.build_cube_early(t.raw_cases(), t.facilities(), PULL_DATE)
+            ),
+            2,
+            "y",
+        )
+    ),
     # chart data
     "chart_pending_by_region": _on_cases(_chart("pending_by_region", statewide.pending_by_region)),
+    "chart_region_pending_by_program": _on_cases(
+        _chart("region_pending_by_program", lambda c: regional.region_pending_by_program(c, REGION))
+    ),
+    "chart_monitored_by_program": _on_cases(
+        _chart("monitored_by_program", statewide.monitored_by_program)
+    ),
+    "chart_cash_drill_region": _on_cases(
+        _chart(
+            "cash_drill_region",
+            lambda c: _rounded(statewide.cash_drill_region(c, REGIONS), 2, "program_total"),
+        )
+    ),
     "chart_cash_by_region": _on_cases(
         _chart(
             "cash_by_region",
