@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.session import cut_lineage
+
 _SALT = "_salt"
 
+# A side measured at no more than this is small enough to send to every executor.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 * 1024 * 1024
+
 
 def lookup(
     left: DataFrame,
@@ -18,7 +24,7 @@ def lookup(
 ) -> DataFrame:
     """Join ``right`` on with ``left_key <=> right_key`` and drop the right key.
 
-    No broadcast is forced: Spark broadcasts ``right`` when it measures it as small, and else
+    No broadcast is forced: Spark broadcasts ``right`` when it knows it to be small, and else
     sorts and merges, splitting skewed partitions at run time. ``salt`` splits a hot key without
     that help: left rows are spread over ``salt`` copies of ``right`` by the partition they come
     from, which a re-run task repeats exactly.
@@ -29,14 +35,34 @@ def lookup(
         copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
         right = right.withColumn(_SALT, copies)
         condition = condition & (F.col("l." + _SALT) == F.col("r." + _SALT))
-    if how in ("left_semi", "left_anti"):
-        kept_right = []
-    else:
-        kept_right = [f"r.{c}" for c in right.columns if c not in (right_key, _SALT)]
+    whole = how not in ("left_semi", "left_anti")
+    kept_right = [f"r.{c}" for c in right.columns if whole and c not in (right_key, _SALT)]
     joined = left.alias("l").join(right.alias("r"), condition, how)
     return joined.select("l.*", *kept_right).drop(_SALT)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` fits a broadcast, by counting its rows and the bytes of their text."""
+    text = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    width = sum(text, F.lit(16 * len(df.columns)))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def measured_lookup(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left", salt: int = 1
+) -> DataFrame:
+    """``lookup`` for a right side whose size Spark cannot know beforehand: an aggregate, or a
+    database table. It is measured first, by a job of its own, and broadcast if small; the left
+    side then stays where it is instead of being shuffled on a few hot keys. A large right side
+    takes the ordinary way.
+    """
+    right = cut_lineage(right)
+    if is_small(right):
+        return lookup(left, F.broadcast(right), left_key, right_key, how)
+    return lookup(left, right, left_key, right_key, how, salt)
+
+
 def in_other(left: DataFrame, right: DataFrame, key: str, salt: int = 1) -> DataFrame:
     """Rows of ``left`` whose key occurs in ``right``. Keys are made distinct before the join, so
     repeats on the right cost nothing there."""

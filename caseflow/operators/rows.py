@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.joins import lookup
+from caseflow.operators.joins import measured_lookup
 
 
 def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
@@ -49,8 +49,8 @@ def first_row_per(
 
 def with_group_value(df: DataFrame, key: str, name: str, value: Column) -> DataFrame:
     """Every row with an aggregate of its group: aggregated first, then joined back, so no group
-    has to sit in one task."""
-    return lookup(df, df.groupBy(key).agg(value.alias(name)), key, key)
+    has to sit in one task. The groups are counted to decide how to join them."""
+    return measured_lookup(df, df.groupBy(key).agg(value.alias(name)), key, key)
 
 
 def has_value(df: DataFrame, name: str) -> bool:

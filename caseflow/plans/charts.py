@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from caseflow import domain
 from caseflow.functions import text
 from caseflow.functions.categories import (
+    age_bucket,
     deficit_series,
     has_status,
-    over_year,
     terminated_lately,
 )
 from caseflow.operators.measures import is_cube, total_or_zero
@@ -47,6 +47,17 @@ class Panel:
     bars: tuple[Bars, ...]
 
 
+@dataclass(frozen=True)
+class _Share:
+    """The part of a page a case counts for: panel, place, series, whether it belongs there."""
+
+    panel: str
+    x: str
+    series: Column
+    belongs: Column
+    measure: str = "case_count"
+
+
 def _rounded(value: Column) -> Column:
     return text.plain_number(F.round(value, 2))
 
@@ -193,37 +204,61 @@ def chart_series(table: DataFrame, panel: str) -> DataFrame:
     return unfolded.select("panel", "x", "series", "y", "label")
 
 
+def _dealt(cube: DataFrame, shares: list[_Share], ids: Sequence[str] = ()) -> DataFrame:
+    """Every cube row dealt out to the bars it counts for, then summed per bar."""
+    bars = [
+        F.struct(
+            F.lit(s.panel).alias("panel"),
+            F.col(s.x).alias("x"),
+            s.series.alias("series"),
+            F.col(s.measure).cast("double").alias("value"),
+            F.coalesce(s.belongs, F.lit(False)).alias("belongs"),
+        )
+        for s in shares
+    ]
+    dealt = cube.select(*ids, F.inline(F.array(*bars))).filter("belongs")
+    bar_height = total_or_zero(F.col("value")).alias("y")
+    return dealt.groupBy(*ids, "panel", "x", "series").agg(bar_height)
+
+
+def _first_name(panel: str) -> Column:
+    return F.lit(PANELS[panel].bars[0].name)
+
+
 def statewide_page(cases: DataFrame) -> DataFrame:
     """The bar heights of all ten statewide panels in one pass: (panel, x, series, y).
 
-    Cases are summed to the cube, then every cube row is dealt out to the bars it belongs to.
-    A bar without cases has no row.
+    Cases are summed to the cube first, so the unfolding handles a handful of rows. A bar without
+    cases has no row.
     """
     cube = cases if is_cube(cases) else build_cube(cases)
-    pending = F.coalesce(has_status(domain.PENDING), F.lit(False))
-    monitored = F.coalesce(has_status(domain.EFFECTIVE), F.lit(False))
-    terminated = F.coalesce(terminated_lately(cube), F.lit(False))
-    bucket = F.when(over_year(cube), domain.OVER_YEAR).otherwise(domain.UNDER_YEAR)
-    count, cash = F.col("case_count").cast("double"), F.col("cash_total").cast("double")
-    every = F.lit(True)
-    bars = []
-    for key, whose in (("facility_region", "region"), ("program", "program")):
-        cash_name = PANELS[f"cash_by_{whose}"].bars[0].name
-        for panel, belongs, series, value in (
-            (f"pending_by_{whose}", pending, bucket, count),
-            (f"monitored_by_{whose}", monitored, F.lit("Program Total"), count),
-            (f"actions_by_{whose}", monitored, F.lit("Program Total"), count),
-            (f"terminated_by_{whose}", terminated, F.lit("Program Total"), count),
-            (f"cash_by_{whose}", every, F.lit(cash_name), cash),
+    shares = []
+    for x, whose in (("facility_region", "region"), ("program", "program")):
+        for what, belongs, measure in (
+            ("pending", has_status(domain.PENDING), "case_count"),
+            ("monitored", has_status(domain.EFFECTIVE), "case_count"),
+            ("actions", has_status(domain.EFFECTIVE), "case_count"),
+            ("terminated", terminated_lately(cube), "case_count"),
+            ("cash", F.lit(True), "cash_total"),
         ):
-            bars.append(
-                F.struct(
-                    F.lit(panel).alias("panel"),
-                    F.col(key).alias("x"),
-                    series.alias("series"),
-                    value.alias("value"),
-                    belongs.alias("belongs"),
-                )
-            )
-    dealt = cube.select(F.inline(F.array(*bars))).filter("belongs")
-    return dealt.groupBy("panel", "x", "series").agg(total_or_zero(F.col("value")).alias("y"))
+            panel = f"{what}_by_{whose}"
+            series = age_bucket(cube) if what == "pending" else _first_name(panel)
+            shares.append(_Share(panel, x, series, belongs, measure))
+    return _dealt(cube, shares)
+
+
+def regional_pages(cases: DataFrame) -> DataFrame:
+    """The bar heights of the three panels of every regional page, in one pass:
+    (facility_region, panel, x, series, y). Cases without region are on no page."""
+    cube = cases if is_cube(cases) else build_cube(cases)
+    shares = []
+    for what, belongs in (
+        ("pending", has_status(domain.PENDING)),
+        ("terminated", terminated_lately(cube)),
+        ("monitored", has_status(domain.EFFECTIVE)),
+    ):
+        panel = f"region_{what}_by_program"
+        series = age_bucket(cube) if what == "pending" else _first_name(panel)
+        shares.append(_Share(panel, "program", series, belongs))
+    placed = cube.filter(F.col("facility_region").isNotNull())
+    return _dealt(placed, shares, ["facility_region"])

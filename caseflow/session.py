@@ -30,16 +30,24 @@ def local_session(cores: str = "*", name: str = "caseflow", **conf: str) -> Spar
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder the session names, if any; made current if it is not yet."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is not None:
+            context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that later plans start from it.
 
-    The folder is the one the session names (``spark.checkpoint.dir``); ``fallback_dir`` is used
-    only where none is set.
+    ``fallback_dir`` is used only where the session names no folder; with neither, ``df`` comes
+    back as it is and later plans compute it again.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(folder)
+    if checkpoint_folder(df.sparkSession) is None:
+        if fallback_dir is None:
+            return df
+        df.sparkSession.sparkContext.setCheckpointDir(fallback_dir)
     return df.checkpoint()

@@ -334,6 +334,13 @@ SELECT region, capacity, pending_total, referral_rate, referral_deficit, current
     "case_cube_early": _CUBE,
     "statewide_page": _PAGE,
     "statewide_page_early": _PAGE,
+    "regional_pages": f"""
+b AS (SELECT facility_region, 'region_pending_by_program' AS panel, program AS x,
+    CASE WHEN days_pending >= 365 THEN 'Active > 365' ELSE 'Active < 365' END AS series FROM cases WHERE {PENDING}
+  UNION ALL SELECT facility_region, 'region_terminated_by_program', program, 'Program Total' FROM cases WHERE {LATELY}
+  UNION ALL SELECT facility_region, 'region_monitored_by_program', program, 'Program Total' FROM cases WHERE status_code = 'Effective')
+SELECT facility_region, panel, x, series, CAST(count(*) AS DOUBLE) AS y FROM b
+WHERE facility_region IS NOT NULL GROUP BY facility_region, panel, x, series""",
     "chart_pending_by_region": _bucket_bars(
         "pending_by_region",
         "facility_region",

@@ -162,6 +162,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "statewide_page": _on_cases(lambda c: _rounded(charts.statewide_page(c), 2, "y")),
+    "regional_pages": _on_cases(lambda c: _rounded(charts.regional_pages(c), 2, "y")),
     "statewide_page_early": _on_tables(
         lambda t: _rounded(
             charts.statewide_page(

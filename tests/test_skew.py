@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow import domain
+from caseflow.operators import joins
 from caseflow.operators.joins import in_other, lookup
 from caseflow.operators.rows import first_row_per, with_group_value
 from caseflow.plans import cube, recon
@@ -130,6 +131,22 @@ def test_group_value_and_first_row(raw):
     assert {r.facility_region: r.n for r in first} == counts
 
 
+def test_a_large_side_is_not_broadcast(spark, raw, facilities, monkeypatch):
+    assert joins.is_small(facilities)
+    tree = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = joins.measured_lookup(raw, facilities, "facility_id", "efc_id")
+    assert "BroadcastHashJoin" in tree(small)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", FACILITIES)
+    large = joins.measured_lookup(raw, facilities, "facility_id", "efc_id", salt=3)
+    assert "BroadcastHashJoin" not in tree(large)
+    assert large.count() == small.count() == ROWS
+    monkeypatch.undo()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    assert not joins.is_small(facilities) and joins.is_small(facilities.limit(0))
+    prepared = prepare_cases(raw, facilities, "2020-04-14", measure=True)
+    assert prepared.count() == ROWS
+
+
 def test_hot_case_number_in_a_semi_join(raw):
     wanted = raw.filter("status_code = 'Effective'")
     keys = {r.ea_number for r in wanted.select("ea_number").collect()}

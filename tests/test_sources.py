@@ -170,6 +170,11 @@ def test_lineage_is_cut_in_the_shared_folder(spark, cases):
     assert cut.count() == 6
 
 
+def test_without_a_shared_folder_nothing_is_written(spark, cases, monkeypatch):
+    monkeypatch.setattr("caseflow.session.checkpoint_folder", lambda spark: None)
+    assert cut_lineage(cases) is cases
+
+
 def test_duplicate_facilities_are_found(spark):
     doubled = golden.facilities(spark).union(golden.facilities(spark).limit(1))
     assert [r["rows"] for r in duplicate_keys(doubled, "efc_id").collect()] == [2]
