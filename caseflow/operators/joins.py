@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from caseflow.session import cut_lineage
 
 _SALT = "_salt"
+# A right row has one copy per salt: only join types that never show an unmatched copy can use it.
+_SALTABLE = ("inner", "left", "left_semi", "left_anti")
 
 # A side measured at no more than this is small enough to send to every executor.
 BROADCAST_ROWS = 100_000
@@ -31,6 +33,8 @@ def lookup(
     """
     condition = F.col("l." + left_key).eqNullSafe(F.col("r." + right_key))
     if salt > 1:
+        if how not in _SALTABLE:
+            raise ValueError(f"a {how} join cannot be salted")
         left = left.withColumn(_SALT, F.spark_partition_id() % salt)
         copies = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
         right = right.withColumn(_SALT, copies)

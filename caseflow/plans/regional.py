@@ -17,7 +17,14 @@ from caseflow.functions.categories import (
 )
 from caseflow.operators.measures import case_count, case_count_where, null_if_zero
 from caseflow.operators.reshape import to_long, to_wide
-from caseflow.operators.rows import columns_between, first_row_per, group_keys, in_region, with_group_value
+from caseflow.operators.rows import (
+    columns_between,
+    first_row_per,
+    group_keys,
+    in_region,
+    with_group_value,
+)
+from caseflow.session import cut_lineage
 
 BUCKETS = ("active_lt_365", "active_gt_365")
 
@@ -149,9 +156,12 @@ def pending_transposed(
 ) -> DataFrame:
     """Pending counts on their side: a row per bucket and for the total, a column per program.
 
-    A bucket without any case has no row. Without ``programs`` the columns are the programs found.
+    A bucket without any case has no row. Without ``programs`` the columns are the programs found:
+    Spark looks for them first, in the counts kept at the checkpoint folder if the session has one.
     """
     counts = _pending_counts(cases, region, statuses)
+    if programs is None:
+        counts = cut_lineage(counts)
     cells = to_long(counts, ["facility_region", "program"], "pending_status", "total")
     rows = group_keys(region, "pending_status")
     return to_wide(cells.filter(F.col("total").isNotNull()), rows, "program", "total", programs)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow import domain
+from caseflow.operators import rows as row_operators
+from caseflow.operators.joins import lookup
 from caseflow.plans import charts, cube, export, recon, regional, staffing, statewide
 from caseflow.plans.prepare import prepare_cases
 from caseflow.plans.statewide import pending_by
@@ -360,3 +362,43 @@ def test_export_rows(cases):
     assert {r.export_file for r in named.collect()} == {"pendingConsent_PRO_2020-04-14.csv"}
     one = export.export_rows(cases, "terminated", "BRRO")
     assert one.columns[0] == "program" and one.first().export_file == "terminatedConsent_BRRO_2020-04-14.csv"
+
+
+def test_presentation_order(cases):
+    ordered = row_operators.in_key_order(statewide.cash_by_region(cases), "facility_region")
+    assert [r.facility_region for r in ordered.collect()] == ["BRRO", "PRO", "TRO", None]
+
+
+def test_small_row_operators(cases):
+    assert row_operators.columns_between(cases, "nov_date", "term_date") == [
+        "nov_date",
+        "executed_date",
+        "term_date",
+    ]
+    assert row_operators.has_value(cases, "program")
+    assert not row_operators.has_value(cases, "executed_date")
+    regions = row_operators.distinct_values(cases, "facility_region").collect()
+    assert {r.facility_region for r in regions} == {"BRRO", "PRO", "TRO", None}
+    moved = row_operators.move_first(cases, "program", drop=["comments"])
+    assert moved.columns[0] == "program" and "comments" not in moved.columns
+    with_regions = regional.with_region_total(cases).collect()
+    assert {r.ea_number: r.region_total for r in with_regions}["EA11"] == 1
+
+
+def test_only_safe_joins_are_salted(cases):
+    other = cases.select("ea_number", "program")
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            lookup(cases, other, "ea_number", "ea_number", how, salt=2)
+    gone = lookup(cases, other.limit(0), "ea_number", "ea_number", "left_anti", salt=2)
+    assert gone.count() == cases.count()
+
+
+def test_decimal_money_stays_exact(spark):
+    cents = spark.range(100_000).selectExpr(
+        "'PRO' AS facility_region", "'Air' AS program", "cast(0.1 AS decimal(18,2)) AS cash_civil_charge"
+    )
+    total = statewide.cash_by_region(cents).first().regional_total
+    assert str(total) == "10000.00"
+    bar = charts.chart_series(statewide.cash_by_region(cents), "cash_by_region").first()
+    assert bar.label == "Region Name:  PRO<br>Regional Total: $ 10,000"

@@ -134,6 +134,8 @@ def test_store_replaces_its_own_pull_only(spark, cases, tmp_path):
     one = store.read_cases(spark, path, golden.PULL_DATE)
     assert "PartitionFilters: [isnotnull(pull_date" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == 7
+    regional = one.filter("facility_region = 'PRO'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(facility_region,PRO)" in regional.split("PushedFilters:")[1]
 
 
 def _written(folder):
@@ -153,6 +155,8 @@ def test_export_writes_one_folder_per_region(spark, cases, tmp_path):
         "export_file=monitoredConsent_PRO_2020-04-14.csv",
         "export_file=monitoredConsent_TRO_2020-04-14.csv",
     }
+    parts = [n for _, _, names in os.walk(tmp_path / "monitored") for n in names if n.endswith(".csv")]
+    assert len(parts) == 2, "a small region is a single file"
     row = found["export_file=monitoredConsent_PRO_2020-04-14.csv"][0]
     assert list(row) == ["Program", *_extract_header()]
     assert (row["Program"], row["EA Number"], row["Facility Region"]) == ("Air", "EA10", "PRO")
