@@ -68,8 +68,12 @@ def measured_lookup(
 
 
 def in_other(left: DataFrame, right: DataFrame, key: str, salt: int = 1) -> DataFrame:
-    """Rows of ``left`` whose key occurs in ``right``. Keys are made distinct before the join, so
-    repeats on the right cost nothing there."""
+    """Rows of ``left`` whose key occurs in ``right``.
+
+    Keys are made distinct first, so repeats on the right cost nothing in the join. The null-safe
+    join shuffles the bare keys once more; in return both sides come straight from a shuffle, and
+    Spark can split a hot key on the left.
+    """
     return lookup(left, right.select(key).distinct(), key, key, "left_semi", salt)
 
 

@@ -83,8 +83,9 @@ def test_salt_splits_the_hot_facility(spark, raw, facilities):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-def test_run_time_splitting_of_the_hot_facility(spark, raw, facilities):
-    """Without a salt Spark splits the partition itself once it counts as large."""
+@pytest.fixture
+def eager_splitting(spark):
+    """Let a few kilobytes count as a large partition."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
@@ -93,17 +94,29 @@ def test_run_time_splitting_of_the_hot_facility(spark, raw, facilities):
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        joined = lookup(raw, facilities, "facility_id", "efc_id")
-        joined.write.format("noop").mode("overwrite").save()
-        counted = joined.filter("facility_name IS NOT NULL")
-        assert counted.count() == ROWS
-        kept = joined.select("facility_name", "comments")
-        kept.collect()
-        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_time_splitting_of_the_hot_facility(raw, facilities, eager_splitting):
+    """Without a salt Spark splits the partition itself once it counts as large."""
+    joined = lookup(raw, facilities, "facility_id", "efc_id")
+    assert joined.filter("facility_name IS NOT NULL").count() == ROWS
+    assert "skew=true" in _final_plan(joined.select("facility_name", "comments"))
+
+
+def test_run_time_splitting_of_a_hot_case_number(raw, eager_splitting):
+    """The distinct keys are shuffled once more for the join, which lets Spark split the other side."""
+    hot = raw.withColumn("ea_number", F.expr("if(facility_id = 7, 'EA-hot', ea_number)"))
+    same = recon.reconcile_cases(hot, hot.filter("facility_id = 7")).select("ea_number", "nov_date")
+    assert "skew=true" in _final_plan(same)
+    assert same.count() == hot.filter("ea_number = 'EA-hot'").count() > ROWS / 3
 
 
 def test_early_cube_sends_little_of_the_hot_facility(raw, facilities):
