@@ -5,7 +5,7 @@ import os
 import golden
 
 from caseflow import domain
-from caseflow.plans import charts, cube, export, regional, staffing, statewide
+from caseflow.plans import charts, cube, dashboard, export, regional, staffing, statewide
 from caseflow.plans.prepare import prepare_cases
 from caseflow.session import cut_lineage
 from caseflow.sources import store, views
@@ -43,9 +43,14 @@ def test_whole_flow(spark, tmp_path):
     assert (box.capacity, box.pending_total) == (53, 3)
     assert [r.ea_number for r in regional.monitored_representative(cases).collect()] != []
 
-    for kind in export.DETAIL:
-        export.export_detail(cases, kind, f"{tmp_path}/out")
-    written = {d for kind in export.DETAIL for d in os.listdir(f"{tmp_path}/out/{kind}") if "=" in d}
+    staff = golden.org_chart(spark), golden.referral_rates(spark)
+    dashboard.publish(cases, *staff, f"{tmp_path}/out", exports=True)
+    direct = dashboard.dashboard_tables(cases, *staff)
+    for name, table in direct.items():
+        published = spark.read.parquet(f"{tmp_path}/out/{name}")
+        assert bag(published) == bag(table) and published.columns == table.columns, name
+    exports = f"{tmp_path}/out/exports"
+    written = {d for kind in export.DETAIL for d in os.listdir(f"{exports}/{kind}") if "=" in d}
     assert written == {
         "export_file=pendingConsent_PRO_2020-04-14.csv",
         "export_file=terminatedConsent_BRRO_2020-04-14.csv",
