@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact, fingerprint, langid, mixture, quality
+from caseflow.llm import exact, fingerprint, langid, mixture, near, packing, quality, substrings, templates, tokens
 from caseflow.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,21 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(reachable(spark), folder, "documents"), table(spark, folder, "labels"))
 
 
+def _near(docs: DataFrame) -> DataFrame:
+    return near.near_duplicates(docs).drop("text_key")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": _on_documents(_near),
     "op2_document_fingerprints": _on_documents(fingerprint.with_edits),
     "op3_quality_classifier": _quality,
+    "op4_best_fit_packing": _on_documents(packing.packed_documents),
     "op5_source_mixing": _on_documents(mixture.source_mix),
+    "op6_line_dedup": _on_documents(templates.line_dedup),
+    "op7_substring_dedup": _on_documents(substrings.substring_duplicates),
     "op8_exact_dedup": _on_documents(exact.exact_duplicates),
     "op9_language_id": _on_documents(langid.languages),
+    "op10_token_counts": _on_documents(tokens.token_counts),
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -37,6 +46,7 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)""",
+    "op4_best_fit_packing": _on_documents(packing.packed_documents),
     "op5_source_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,
     CAST('0x' || substr(md5('{mixture.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact, mixture, quality
+from caseflow.llm import exact, mixture, near, packing, quality
 from caseflow.llm.common import reachable, shared_folder, table
 
 
@@ -21,16 +21,30 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    reachable(spark)
+    return near.keep_one(docs)
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     reachable(spark)
     return mixture.repeated_rows(docs)
 
 
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every token of every document goes: pieces in sequences of several permitted lengths."""
+    reachable(spark)
+    return packing.packed_documents(docs)
+
+
 STAGES = [
     ("quality_classifier", _quality),
     ("exact_dedup", _exact),
+    ("minhash_near_dedup", _near),
     ("source_mixing", _mix),
+    ("best_fit_packing", _pack),
 ]
 
 #: Ridge scores, near duplicates and best-fit packing have no SQL form; a test compares with plain Python.
