@@ -1,0 +1,57 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from caseflow.llm.common import reachable  # noqa: E402
+from llm_texts import sentence  # noqa: E402
+
+#: Extra columns with names that the operators use inside.
+CLASHING = ("row", "rank", "name", "key", "part", "guest", "size", "hash", "copy", "stats", "score", "band", "node", "n", "label", "cell", "length", "line", "leaf", "id")
+
+ODD_ROWS = [
+    (None, None, None, None),
+    (None, "a lost row with words", "en", None),
+    (1, "", "en", "a"),
+    (2, " \t\n\x0b ", None, "a"),
+    (3, "!!! ???", "en", "b"),
+    (4, sentence(1, 60_000), "en", "b"),
+    (5, sentence(2), "en", "a"),
+    (5, sentence(2), "en", "a"),
+    (6, sentence(2).replace(" ", "  "), "en", "a"),
+    (7, sentence(2), None, None),
+    (8, "x" * 50_000, "de", "c"),
+    (9, "Élan où naïve 日本語 😀 ça\nÉLAN OÙ", "fr", "c"),
+    (10, None, "en", "c"),
+    (11, "42 7 1,000", "en", "c"),
+]
+
+
+@pytest.fixture(scope="session", autouse=True)
+def workers(spark):
+    reachable(spark)
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Missing values, empty and long texts, ties, repeated rows, and extra columns with clashing names."""
+    rows = [(*r, len(r[1] or ""), *(f"{c}-{i}" for c in CLASHING)) for i, r in enumerate(ODD_ROWS)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")

@@ -1,0 +1,60 @@
+import hashlib
+
+import numpy as np
+
+from caseflow.llm import fingerprint as fp
+
+
+def test_order_and_increments():
+    a, b, c = "first line of words", "a second line, longer than that", "third"
+    one, two = (fp.encoded(*fp.fingerprints([t]))[0] for t in ("\n".join([a, b, c]), "\n".join([c, a, b])))
+    assert one == two
+    part, rest = (fp.encoded(*fp.fingerprints([t]))[0] for t in ("\n".join([a, c]), b))
+    assert fp.added(part, rest) == one and fp.removed(one, rest) == part
+    assert fp.encoded(*fp.fingerprints([f"{a}\n{a}"]))[0] != fp.encoded(*fp.fingerprints([a]))[0]
+
+
+def test_many_texts_at_once_as_each_alone():
+    texts = ["", "x", "\n", "a b c\n\nd", "é ü\nß 日本", "w " * 3000, "a\n" * 500]
+    wide, sketch = fp.fingerprints(texts)
+    for i, t in enumerate(texts):
+        w, s = fp.fingerprints([t])
+        assert (w[0] == wide[i]).all() and (s[0] == sketch[i]).all()
+    assert len({tuple(w) for w in wide}) == len(texts)
+
+
+def test_likeness_follows_shared_triples():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda ids: " ".join(words[i] for i in ids)
+    base = rng.permutation(5000)[:600]
+    other = rng.permutation(5000)[:600]
+    half = np.concatenate([base[:300], other[:300]])
+    wide = [fp.fingerprints([text(x)]) for x in (base, half, other)]
+    assert fp.likeness(wide[0], wide[0])[0] == 1
+    assert abs(fp.likeness(wide[0], wide[1])[0] - 1 / 3) < 0.15
+    assert fp.likeness(wide[0], wide[2])[0] < 0.15
+
+
+def brute(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for i, (d, t) in enumerate(order):
+        t, following = t or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        whole, new, then = (fp.fingerprints([x]) for x in (t, edited, following))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.encoded(*whole)[0], fp.encoded(*new)[0], fp.likeness(whole, new)[0], fp.likeness(whole, then)[0]))
+    return sorted(out, key=str)
+
+
+def test_edits_like_brute_force(documents, odd, none):
+    for docs in (documents, odd, documents.where("doc_id = 7"), none):
+        expected = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        assert sorted(map(tuple, fp.with_edits(docs).collect()), key=str) == expected
+
+
+def test_edited_texts_are_likelier_than_next_ones(documents):
+    rows = fp.with_edits(documents).collect()
+    mean = lambda k: np.mean([r[k] for r in rows])
+    assert mean("near_edited") > 0.25 and mean("near_next") < 0.1

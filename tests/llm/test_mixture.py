@@ -1,0 +1,80 @@
+import itertools
+import re
+
+import pytest
+
+from caseflow.llm import mixture
+
+
+def test_targets_share_everything_below_the_caps():
+    sizes = {"a": 10, "b": 1000, "c": 500, None: 5}
+    weights = mixture.default_weights(list(sizes))
+    assert weights == {"a": 5, "b": 2, "c": 1, None: 5}
+    got = mixture.targets(sizes, weights)
+    assert got["a"] == 30 and got[None] == 15 and sum(got.values()) == pytest.approx(1515)
+    assert got["b"] == pytest.approx(2 * got["c"])
+
+
+def brute_flow(patterns, quotas):
+    """Most words placed and the least cost of that, by trying every split in small units."""
+    arcs = [(i, s) for i, (members, _) in enumerate(patterns) for s in members]
+    best = (-1, 0)
+    for flow in itertools.product(*[range(0, min(3 * patterns[i][1], quotas[s]) + 1) for i, s in arcs]):
+        of_source = {s: 0 for s in quotas}
+        of_pattern = [0] * len(patterns)
+        for (i, s), f in zip(arcs, flow):
+            of_source[s] += f
+            of_pattern[i] += f
+        if any(of_source[s] > quotas[s] for s in quotas) or any(f > 3 * patterns[i][1] for i, f in enumerate(of_pattern)):
+            continue
+        cost = sum(max(0, min(f - k * patterns[i][1], patterns[i][1])) * c for i, f in enumerate(of_pattern) for k, c in enumerate(mixture.USE_COSTS))
+        best = max(best, (sum(flow), -cost))
+    return best
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_flow_like_brute_force(case):
+    patterns = [[(("a",), 2), (("a", "b"), 2), (("b",), 1)], [(("a", "b"), 3), (("b", None), 1), ((None,), 2)], [(("a",), 0), (("a", "b"), 2)]][case]
+    quotas = [{"a": 4, "b": 5}, {"a": 5, "b": 2, None: 5}, {"a": 3, "b": 3}][case]
+    flows = mixture.min_cost_flow(patterns, quotas)
+    total = [sum(f.values()) for f in flows]
+    cost = sum(max(0, min(f - k * n, n)) * c for f, (_, n) in zip(total, patterns) for k, c in enumerate(mixture.USE_COSTS))
+    assert all(sum(f.get(s, 0) for f in flows) <= q for s, q in quotas.items())
+    assert (sum(total), -cost) == brute_flow(patterns, quotas)
+
+
+def test_taken_words_meet_the_targets(documents, odd, none):
+    for docs in (documents, odd):
+        rows = mixture.source_mix(docs).collect()
+        source = {(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))): r.source for r in docs.select("doc_id", "text", "source").collect()}
+        assert len(rows) == docs.count()
+        taken, target = {}, {}
+        for r in rows:
+            s = source[r.doc_id, r.size]
+            taken[s] = taken.get(s, 0) + r.taken
+            target[s] = r.target
+            assert 0 <= r.taken <= 3 * r.size and r.target <= 3 * r.source_size
+        assert all(taken[s] == int(target[s]) for s in taken)
+        assert sum(target.values()) == pytest.approx(sum(r.size for r in rows))
+        assert sorted(map(str, rows)) == sorted(map(str, mixture.source_mix(docs.repartition(5)).collect()))
+    assert mixture.source_mix(none).count() == 0
+
+
+def test_overlapping_sources(spark):
+    rows = [(i, ["a", "b"] if i % 3 else ["a"], 10, i * 7919 % 4096 << 48) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, members array<string>, size bigint, hash bigint")
+    got = mixture.mixed(docs, {"a": 1.0, "b": 3.0}).collect()
+    assert sum(r.taken for r in got) == 5000 and all(r.taken <= 30 for r in got)
+
+
+def test_repeated_rows(odd, none):
+    got = mixture.repeated_rows(odd)
+    assert got.columns == odd.columns
+    taken = {}
+    for r in mixture.source_mix(odd).collect():
+        taken.setdefault(r.doc_id, []).append((2 * r.taken + r.size) // (2 * r.size) if r.size else 0)
+    found = {}
+    for r in got.collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {d: sum(n) for d, n in taken.items() if sum(n)}
+    assert mixture.repeated_rows(none).count() == 0

@@ -1,0 +1,83 @@
+import random
+
+from caseflow.llm import packing, tokens
+
+
+def brute(sizes, capacities):
+    """The same rules by plain search over all bins and all remaining sizes."""
+    bins = []
+    where = []
+    for i, size in enumerate(sizes):
+        room = [(b[0] - b[1], b[2], k) for k, b in enumerate(bins) if b[0] - b[1] >= size]
+        if room:
+            k = min(room)[2]
+        else:
+            options = []
+            for c in capacities:
+                if c < size:
+                    continue
+                gap, rest = c - size, sorted(sizes[i + 1 :], reverse=True)
+                for _ in range(packing.LOOK_AHEAD):
+                    fit = next((j for j, x in enumerate(rest) if x <= gap), None)
+                    if fit is None:
+                        break
+                    gap -= rest[fit]
+                    rest = rest[fit + 1 :]
+                options.append(((packing.OVERHEAD + c + c * c / packing.ATTENTION) / (c - gap), c))
+            k = len(bins)
+            bins.append([min(options)[1], 0, 0])
+        where.append((k, bins[k][1]))
+        bins[k][1] += size
+        bins[k][2] = len(where)  # among equal rooms the bin that waited longest
+    return [w[0] for w in where], [w[1] for w in where], [min(c for c in capacities if c >= b[1]) for b in bins]
+
+
+def test_like_plain_search():
+    random.seed(4)
+    for _ in range(40):
+        sizes = sorted((random.randint(1, 64) for _ in range(random.randint(0, 60))), reverse=True)
+        assert packing.best_fit(sizes, (8, 16, 32, 64)) == brute(sizes, (8, 16, 32, 64))
+
+
+def check(rows, lengths, capacities):
+    bins, docs = {}, {}
+    for r in rows:
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append(r)
+        docs.setdefault(r.doc_id, []).append(r)
+    for pieces in bins.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.position):
+            assert r.position == at
+            at += r.length
+        assert {r.capacity for r in pieces} == {min(c for c in capacities if c >= at)}
+    for d, total in lengths.items():
+        assert sum(r.length for r in docs[d]) == total
+    return bins
+
+
+def test_every_token_has_one_place(documents, odd, none):
+    for docs in (documents, odd):
+        lengths = {}
+        for r in tokens.token_counts(docs).collect():
+            lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.n_tokens
+        rows = packing.packed_documents(docs).collect()
+        bins = check(rows, lengths, packing.CAPACITIES)
+        spare = sum(p[0].capacity for p in bins.values()) / sum(lengths.values())
+        assert spare < 1.1
+    assert packing.packed_documents(none).count() == 0
+
+
+def test_long_and_empty_documents(spark):
+    rows = spark.createDataFrame([(1, 20_000), (2, 0), (3, None), (4, 8192), (None, 5)], "doc_id bigint, length bigint")
+    got = packing.packed(rows).collect()
+    check(got, {1: 20_000, 2: 0, 3: 0, 4: 8192, None: 5}, packing.CAPACITIES)
+    assert [(r.start, r.length) for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.piece)] == [(0, 8192), (8192, 8192), (16384, 3616)]
+    assert [r.bin_id for r in got if r.doc_id in (2, 3)] == [None, None]
+
+
+def test_shards_hold_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_IN_A_SHARD", 50)
+    rows = spark.range(1000).selectExpr("id % 3 as doc_id", "1 + id % 700 as length")  # repeated identifiers
+    got = packing.packed(rows).collect()
+    assert len(got) == 1000 and len({r.bin_id >> 32 for r in got}) > 10
