@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from caseflow.operators.rows import distinct_values, in_key_order
 from caseflow.plans import charts, recon, regional, staffing, statewide
 from caseflow.plans.cube import build_cube
 from caseflow.plans.export import DETAIL, export_detail
+from caseflow.session import cut_lineage
 
 
 def dashboard_tables(
@@ -39,13 +42,19 @@ def publish(
     """Write the cube and every dashboard table below ``folder``, which all executors must reach.
 
     The cube is written first and read back, so each further table is a job over a few hundred
-    rows. ``exports`` adds the CSV files of case detail, one pass over the cases for each kind.
+    rows. Every table has one ``pull=`` directory for each pull in ``cases``, with that pull's own
+    figures in key order; those of other pulls stay. ``exports`` adds the CSV files of case detail,
+    one pass over the cases for each kind.
     """
-    cube_path = f"{folder}/case_cube"
-    build_cube(cases).write.mode("overwrite").parquet(cube_path)
-    cube = cases.sparkSession.read.parquet(cube_path)
-    for name, table in dashboard_tables(cube, org_chart, referral_rates).items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark, cube_path = cases.sparkSession, f"{folder}/case_cube"
+    cube = cut_lineage(build_cube(cases)).withColumn("pull", F.col("pull_date"))
+    written = cube.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    written.partitionBy("pull").parquet(cube_path)
+    for (pull,) in distinct_values(cube, "pull").collect():
+        counted = spark.read.parquet(cube_path).filter(F.col("pull") == F.lit(pull)).drop("pull")
+        for name, table in dashboard_tables(counted, org_chart, referral_rates).items():
+            ordered = in_key_order(table, table.columns[0])
+            ordered.write.mode("overwrite").parquet(f"{folder}/{name}/pull={pull}")
     if exports:
         for kind in DETAIL:
             export_detail(cases, kind, f"{folder}/exports")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Skewed partitions are split at run time, small ones merged, and a side is broadcast only when
-# its measured size is under Spark's own threshold: the library sets no broadcast hints.
+# Spark knows its size to be under the session's threshold: no plan of the engine sets a hint.
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,14 +40,10 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that later plans start from it.
 
-    ``fallback_dir`` is used only where the session names no folder; with neither, ``df`` comes
-    back as it is and later plans compute it again.
+    Where the session names no such folder ``df`` comes back as it is, and later plans compute it
+    again.
     """
-    if checkpoint_folder(df.sparkSession) is None:
-        if fallback_dir is None:
-            return df
-        df.sparkSession.sparkContext.setCheckpointDir(fallback_dir)
-    return df.checkpoint()
+    return df if checkpoint_folder(df.sparkSession) is None else df.checkpoint()

@@ -45,10 +45,10 @@ def read_referral_rates(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, _REFERRAL_LABELS, domain.REFERRAL_RATES_SCHEMA, False)
 
 
-def read_case_extract(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_case_extract(spark: SparkSession, path: str, *, multiline: bool) -> DataFrame:
     """Cases from an extract with display headers and month/day/year text; the facility name is
-    already in it. Comments may hold line breaks, which makes every file one task: pass
-    ``multiline=False`` for large files that have none, and they are split."""
+    already in it. ``multiline`` says whether comments hold line breaks: if they do, every file is
+    one task; if not, large files are split."""
     labels = {k: v for k, v in domain.DISPLAY_LABELS.items()}
     fields = [f for f in domain.RAW_CASES_SCHEMA.fields if f.name != "facility_id"]
     schema = T.StructType([T.StructField("facility_name", T.StringType()), *fields])

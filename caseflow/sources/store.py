@@ -25,16 +25,27 @@ def write_cases(cases: DataFrame, path: str) -> None:
     )
 
 
+def read_all_pulls(spark: SparkSession, path: str) -> DataFrame:
+    """Stored cases of every pull, in engine column order. The plans count what they are given: use
+    ``pulls.by_pull`` for figures per pull."""
+    return spark.read.parquet(path).select(*domain.CASES_COLUMNS)
+
+
 def read_cases(spark: SparkSession, path: str, pull_date: dt.date | str | None = None) -> DataFrame:
-    """Stored cases in engine column order; a pull date reads that partition alone."""
-    cases = spark.read.parquet(path).select(*domain.CASES_COLUMNS)
+    """Stored cases of one pull, the newest if none is named; only its partition is read.
+
+    The newest date is a subquery over the partition values: no column of the other pulls is read.
+    """
+    cases = read_all_pulls(spark, path)
     if pull_date is None:
-        return cases
+        newest = spark.read.parquet(path).agg(F.max("pull_date")).scalar()
+        return cases.filter(F.col("pull_date") == newest)
     return cases.filter(F.col("pull_date") == F.lit(pull_date).cast("date"))
 
 
 def write_csv(rows: DataFrame, path: str, split_on: str | None = None, balance: bool = False) -> None:
-    """Header CSV, one file per task; with ``split_on`` one directory per value of that column.
+    """Header CSV, one file per task; with ``split_on`` one directory per value of that column, and
+    only the directories of values that occur in ``rows`` are replaced.
 
     ``balance`` first evens the rows out by that column: small groups end in one file each, a
     large one in several, never in one task.
@@ -42,4 +53,6 @@ def write_csv(rows: DataFrame, path: str, split_on: str | None = None, balance:
     if balance:
         rows = rows.hint("rebalance", split_on) if split_on else rows.hint("rebalance")
     writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
-    (writer.partitionBy(split_on) if split_on else writer).csv(path)
+    if split_on:
+        writer = writer.partitionBy(split_on).option("partitionOverwriteMode", "dynamic")
+    writer.csv(path)

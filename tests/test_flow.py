@@ -26,7 +26,7 @@ def test_whole_flow(spark, tmp_path):
 
     raw = views.select_cases(views.read_view_parquet(spark, source, domain.CASES_VIEW))
     facilities = views.select_facilities(views.read_view_parquet(spark, source, domain.FACILITIES_VIEW))
-    prepared = prepare_cases(raw, facilities, golden.PULL_DATE, measure=True)
+    prepared = prepare_cases(raw, facilities, golden.PULL_DATE)
     store.write_cases(prepared, f"{tmp_path}/cases")
     cases = store.read_cases(spark, f"{tmp_path}/cases", golden.PULL_DATE)
     assert bag(cases) == bag(prepared) and cases.dtypes == prepared.dtypes
@@ -47,7 +47,7 @@ def test_whole_flow(spark, tmp_path):
     dashboard.publish(cases, *staff, f"{tmp_path}/out", exports=True)
     direct = dashboard.dashboard_tables(cases, *staff)
     for name, table in direct.items():
-        published = spark.read.parquet(f"{tmp_path}/out/{name}")
+        published = spark.read.parquet(f"{tmp_path}/out/{name}/pull={golden.PULL_DATE}")
         assert bag(published) == bag(table) and published.columns == table.columns, name
     exports = f"{tmp_path}/out/exports"
     written = {d for kind in export.DETAIL for d in os.listdir(f"{exports}/{kind}") if "=" in d}
@@ -57,3 +57,24 @@ def test_whole_flow(spark, tmp_path):
         "export_file=monitoredConsent_PRO_2020-04-14.csv",
         "export_file=monitoredConsent_TRO_2020-04-14.csv",
     }
+
+
+def test_each_pull_is_published_with_its_own_figures(spark, tmp_path):
+    staff = golden.org_chart(spark), golden.referral_rates(spark)
+    made = {
+        date: prepare_cases(golden.raw(spark), golden.facilities(spark), date)
+        for date in (golden.PULL_DATE, "2019-06-01")
+    }
+    for pull in made.values():
+        store.write_cases(pull, f"{tmp_path}/cases")
+    assert bag(store.read_cases(spark, f"{tmp_path}/cases")) == bag(made[golden.PULL_DATE])
+    dashboard.publish(store.read_all_pulls(spark, f"{tmp_path}/cases"), *staff, f"{tmp_path}/both")
+    for pull in made.values():  # one after the other, the later one must leave the earlier alone
+        dashboard.publish(pull, *staff, f"{tmp_path}/apart")
+    for date, cases in made.items():
+        for name, table in dashboard.dashboard_tables(cases, *staff).items():
+            for out in ("both", "apart"):
+                published = spark.read.parquet(f"{tmp_path}/{out}/{name}/pull={date}")
+                assert bag(published) == bag(table), (name, date, out)
+    stored = spark.read.parquet(f"{tmp_path}/apart/case_cube")
+    assert {str(r.pull_date) for r in stored.select("pull_date").distinct().collect()} == set(made)

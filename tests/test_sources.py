@@ -110,7 +110,7 @@ def test_case_extract(spark, tmp_path):
         writer = csv.DictWriter(out, header)
         writer.writeheader()
         writer.writerows(lines)
-    cases = prepare_extract(files.read_case_extract(spark, str(path)), golden.PULL_DATE)
+    cases = prepare_extract(files.read_case_extract(spark, str(path), multiline=True), golden.PULL_DATE)
     assert tuple(cases.columns) == domain.CASES_COLUMNS
     found = {r.ea_number: r for r in cases.collect()}
     assert set(found) == {"EA1", "EA2"}
@@ -125,12 +125,16 @@ def test_store_replaces_its_own_pull_only(spark, cases, tmp_path):
     store.write_cases(earlier, path)
     store.write_cases(cases, path)
     store.write_cases(cases.filter("ea_number <> 'EA1'"), path)
-    back = store.read_cases(spark, path)
+    back = store.read_all_pulls(spark, path)
     assert tuple(back.columns) == domain.CASES_COLUMNS
     assert {str(r.pull_date): r["count"] for r in back.groupBy("pull_date").count().collect()} == {
         "2020-03-31": 8,
         "2020-04-14": 7,
     }
+    newest = store.read_cases(spark, path)
+    assert {str(r.pull_date) for r in newest.collect()} == {golden.PULL_DATE} and newest.count() == 7
+    plan = newest.select("ea_number")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(pull_date" in plan and "ReadSchema: struct<>" in plan
     one = store.read_cases(spark, path, golden.PULL_DATE)
     assert "PartitionFilters: [isnotnull(pull_date" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == 7
@@ -166,9 +170,26 @@ def test_export_writes_one_folder_per_region(spark, cases, tmp_path):
     assert sorted(r["EA Number"] for r in rows) == ["EA1", "EA2", "EA3"]
 
 
+def test_exports_of_regions_and_pulls_live_side_by_side(spark, cases, tmp_path):
+    folder = str(tmp_path)
+    two = cases.withColumn("facility_region", F.when(F.col("ea_number") == "EA2", "TRO").otherwise(F.col("facility_region")))
+    later = two.withColumn("pull_date", F.lit("2020-05-14").cast("date"))
+    export.export_detail(two, "pending", folder, "PRO")
+    export.export_detail(two, "pending", folder, "TRO")
+    export.export_detail(later, "pending", folder)
+    export.export_detail(two.filter("ea_number <> 'EA3'"), "pending", folder, "PRO")
+    found = {k.split("=")[1]: sorted(r["EA Number"] for r in v) for k, v in _written(tmp_path / "pending").items()}
+    assert found == {
+        "pendingConsent_PRO_2020-04-14.csv": ["EA1"],
+        "pendingConsent_TRO_2020-04-14.csv": ["EA2"],
+        "pendingConsent_PRO_2020-05-14.csv": ["EA1", "EA3"],
+        "pendingConsent_TRO_2020-05-14.csv": ["EA2"],
+    }
+
+
 def test_lineage_is_cut_in_the_shared_folder(spark, cases):
     folder = spark.sparkContext.getCheckpointDir()
-    cut = cut_lineage(cases.groupBy("program").count(), "/nowhere")
+    cut = cut_lineage(cases.groupBy("program").count())
     assert spark.sparkContext.getCheckpointDir() == folder
     assert "Scan ExistingRDD" in cut._jdf.queryExecution().executedPlan().toString()
     assert cut.count() == 6
