@@ -78,6 +78,10 @@ EXTRACT_PROGRAM_GROUPS = {
 }
 NO_PROGRAM = "Other"
 
+# Columns of the transposed table beside the listed programs.
+REST_OF_PROGRAMS = "Rest"
+ALL_PROGRAMS = "All"
+
 YEAR_DAYS = 365
 UNDER_YEAR = "Active < 365"
 OVER_YEAR = "Active > 365"

@@ -21,8 +21,10 @@ def to_wide(
     values_from: str,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One column per value of ``names_from``; a missing cell is NULL. Without ``names`` Spark reads
-    the distinct values first and refuses more than ``spark.sql.pivotMaxValues``."""
+    """One column per value of ``names_from`` with the sum of its cells; a missing one is NULL.
+
+    With ``names`` only those get a column: whoever lists them says where the others go. Without,
+    Spark reads the distinct values first and refuses more than ``spark.sql.pivotMaxValues``."""
     grouped = df.groupBy(*ids)
     pivoted = grouped.pivot(names_from, [*names]) if names else grouped.pivot(names_from)
-    return pivoted.agg(F.first(values_from))
+    return pivoted.agg(F.sum(values_from))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.joins import measured_lookup
+from caseflow.operators.joins import lookup
 
 
 def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
@@ -31,26 +31,37 @@ def group_keys(region: str | None, *keys: str) -> list[str]:
 
 
 def first_row_per(
-    df: DataFrame, keys: str | Sequence[str], order: str, counted_as: str | None = None
+    df: DataFrame, keys: str | Sequence[str], order: str, *aggregates: Column
 ) -> DataFrame:
-    """One whole row per key, the lowest by ``order`` and then by the other columns in turn.
+    """One whole row per key, the lowest by ``order`` and then by the other columns in turn, with
+    ``aggregates`` of its group. Rows without ``order`` come last.
 
-    A minimum over the row as a struct is combined before the shuffle, so a hot key sends one row
-    per task instead of all of its rows to one place.
+    The lowest ``order`` and the aggregates need a few narrow columns; the wide rows are read a
+    second time and only those of the winners are kept. Ties are settled among the few rows left.
     """
     keys = [keys] if isinstance(keys, str) else [*keys]
     rest = [c for c in df.columns if c not in (*keys, order)]
-    best = F.min(F.struct(order, *rest)).alias("_row")
-    counts = [F.count(F.lit(1)).alias(counted_as)] if counted_as else []
-    picked = df.groupBy(*keys).agg(best, *counts)
-    columns = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
-    return picked.select(*columns, *([counted_as] if counted_as else []))
+    groups = df.groupBy(*keys).agg(F.min(order).alias("_lowest"), *aggregates)
+    added = [c for c in groups.columns if c not in (*keys, "_lowest")]
+    wins = [F.col(f"r.{a}").eqNullSafe(F.col(f"g.{b}")) for a, b in zip([*keys, order], [*keys, "_lowest"])]
+    first = df.alias("r").join(groups.alias("g"), wins).select("r.*", *[f"g.{c}" for c in added])
+    picked = first.groupBy(*keys, order, *added).agg(F.min(F.struct(*rest)).alias("_row"))
+    columns = [F.col(c) if c in (*keys, order) else F.col("_row")[c].alias(c) for c in df.columns]
+    return picked.select(*columns, *added)
 
 
-def with_group_value(df: DataFrame, key: str, name: str, value: Column) -> DataFrame:
+def with_group_value(
+    df: DataFrame, key: str, name: str, value: Column, totals: DataFrame | None = None
+) -> DataFrame:
     """Every row with an aggregate of its group: aggregated first, then joined back, so no group
-    has to sit in one task. The groups are counted to decide how to join them."""
-    return measured_lookup(df, df.groupBy(key).agg(value.alias(name)), key, key)
+    has to sit in one task.
+
+    ``totals`` has the values already (key and ``name``), best read from a stored table, whose size
+    Spark knows. Without it they are computed in a second reading, and Spark chooses the join at run
+    time by the size they turn out to have.
+    """
+    of_groups = df.groupBy(key).agg(value.alias(name)) if totals is None else totals.select(key, name)
+    return lookup(df, of_groups, key, key)
 
 
 def has_value(df: DataFrame, name: str) -> bool:

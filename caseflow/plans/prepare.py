@@ -11,22 +11,15 @@ from pyspark.sql import functions as F
 from caseflow import domain
 from caseflow.functions.categories import program_group
 from caseflow.functions.dates import as_date, days_pending, wall_clock
-from caseflow.operators.joins import lookup, measured_lookup
+from caseflow.operators.joins import lookup
 from caseflow.operators.rows import move_first
 
 
-def add_facility(
-    raw: DataFrame, facilities: DataFrame, salt: int = 1, measure: bool = False
-) -> DataFrame:
+def add_facility(raw: DataFrame, facilities: DataFrame, salt: int = 1) -> DataFrame:
     """Facility name in front, facility key gone. A case without key takes the name of a facility
-    without key; a facility listed twice doubles its cases (see ``duplicate_keys``).
-
-    Spark knows the size of files, not of database tables: ``measure`` counts the facilities first
-    and broadcasts them if they are few.
-    """
-    join = measured_lookup if measure else lookup
+    without key; a facility listed twice doubles its cases (see ``duplicate_keys``)."""
     names = facilities.select("efc_id", "facility_name")
-    named = join(raw, names, "facility_id", "efc_id", salt=salt)
+    named = lookup(raw, names, "facility_id", "efc_id", salt=salt)
     return move_first(named, "facility_name", drop=["facility_id"])
 
 
@@ -43,14 +36,13 @@ def prepare_cases(
     always_to_pull: bool = False,
     groups: Mapping[str, Sequence[str]] = domain.PROGRAM_GROUPS,
     salt: int = 1,
-    measure: bool = False,
 ) -> DataFrame:
     """The prepared case table. ``facilities`` is None when ``raw`` names its facility already.
 
     Rows without facility name or case number are dropped next to the join, which lets Spark turn
     the outer join into an inner one.
     """
-    named = raw if facilities is None else add_facility(raw, facilities, salt, measure)
+    named = raw if facilities is None else add_facility(raw, facilities, salt)
     complete = named.filter(F.col("facility_name").isNotNull() & F.col("ea_number").isNotNull())
     pull = as_date(pull_date)
     return (

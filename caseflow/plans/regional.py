@@ -68,14 +68,15 @@ def region_monitored_detail(
     return rows.select("program", *_detail_columns(cases), *keep)
 
 
-def with_program_total(rows: DataFrame) -> DataFrame:
-    """Detail rows, each with the number of rows of its program."""
-    return with_group_value(rows, "program", "program_total", F.count(F.lit(1)))
+def with_program_total(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Detail rows, each with the number of rows of its program. ``totals`` may be the panel of these
+    rows by program, from a stored cube."""
+    return with_group_value(rows, "program", "program_total", F.count(F.lit(1)), totals)
 
 
-def with_region_total(rows: DataFrame) -> DataFrame:
+def with_region_total(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Detail rows, each with the number of rows of its region."""
-    return with_group_value(rows, "facility_region", "region_total", F.count(F.lit(1)))
+    return with_group_value(rows, "facility_region", "region_total", F.count(F.lit(1)), totals)
 
 
 def _pending_counts(cases: DataFrame, region: str | None, statuses: Sequence[str]) -> DataFrame:
@@ -158,16 +159,26 @@ def pending_transposed(
 
     A bucket without any case has no row. Without ``programs`` the columns are the programs found:
     Spark looks for them first, in the counts kept at the checkpoint folder if the session has one.
+    With ``programs`` the columns are those, whatever is found; all others are summed in
+    ``domain.REST_OF_PROGRAMS`` and the whole row in ``domain.ALL_PROGRAMS``, so no case is lost.
     """
     counts = _pending_counts(cases, region, statuses)
     if programs is None:
         counts = cut_lineage(counts)
     cells = to_long(counts, ["facility_region", "program"], "pending_status", "total")
+    cells = cells.filter(F.col("total").isNotNull())
     rows = group_keys(region, "pending_status")
-    return to_wide(cells.filter(F.col("total").isNotNull()), rows, "program", "total", programs)
+    if programs is None:
+        return to_wide(cells, rows, "program", "total")
+    rest = domain.REST_OF_PROGRAMS
+    listed = F.when(F.col("program").isin(*programs), F.col("program")).otherwise(rest)
+    wide = to_wide(cells.withColumn("program", listed), rows, "program", "total", [*programs, rest])
+    whole = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in [*programs, rest]), F.lit(0))
+    return wide.withColumn(domain.ALL_PROGRAMS, whole.cast("long"))
 
 
 def monitored_representative(cases: DataFrame) -> DataFrame:
     """One monitored case per region, the first by case number, with the region's count."""
     monitored = cases.filter(has_status(domain.EFFECTIVE))
-    return first_row_per(monitored, "facility_region", "ea_number", counted_as="program_total")
+    count = F.count(F.lit(1)).alias("program_total")
+    return first_row_per(monitored, "facility_region", "ea_number", count)

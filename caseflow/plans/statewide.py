@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from caseflow import domain
 from caseflow.functions.categories import has_status, over_year, terminated_lately
-from caseflow.operators.joins import lookup
 from caseflow.operators.measures import (
     case_count,
     case_count_where,
@@ -132,13 +131,16 @@ def cash_drill_program(cases: DataFrame, selections: Sequence[str] = ()) -> Data
     return cash_by_region(cases.filter(F.col(PROGRAM).isin(*selections)))
 
 
-def with_cash_total(cases: DataFrame, key: str) -> DataFrame:
-    """Every case with the penalty total of its region or program."""
-    return with_group_value(cases, key, CASH_NAMES[key], cash_total(cases))
+def with_cash_total(cases: DataFrame, key: str, totals: DataFrame | None = None) -> DataFrame:
+    """Every case with the penalty total of its region or program. ``totals`` may be ``cash_by`` of
+    a stored cube."""
+    return with_group_value(cases, key, CASH_NAMES[key], cash_total(cases), totals)
 
 
 def cash_drill_rows(cases: DataFrame, selections: Sequence[str]) -> DataFrame:
     """The drill-down with a whole case per program and region: the first by case number."""
     chosen = cases.filter(F.col(REGION).isin(*selections))
-    first = first_row_per(chosen, [PROGRAM, REGION], "ea_number")
-    return lookup(first, cash_by_program(chosen), PROGRAM, PROGRAM)
+    pair_total = cash_total(chosen).alias("pair_total")
+    first = first_row_per(chosen, [PROGRAM, REGION], "ea_number", pair_total)
+    total = F.sum("pair_total").over(Window.partitionBy(PROGRAM))
+    return first.withColumn("program_total", total).drop("pair_total")

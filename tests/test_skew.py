@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow import domain
-from caseflow.operators import joins
 from caseflow.operators.joins import in_other, lookup
 from caseflow.operators.rows import first_row_per, with_group_value
 from caseflow.plans import cube, recon
@@ -131,33 +130,46 @@ def test_group_value_and_first_row(raw):
 
     rows = raw.select("facility_region", "ea_number", "status_code", "program_name").collect()
     counts = Counter(r.facility_region for r in rows)
-    counted = with_group_value(raw, "facility_region", "n", F.count(F.lit(1)))
-    found = counted.groupBy("facility_region", "n").count().collect()
-    assert {r.facility_region: (r.n, r["count"]) for r in found} == {
-        k: (v, v) for k, v in counts.items()
-    }
+    totals = raw.groupBy("facility_region").agg(F.count(F.lit(1)).alias("n"))
+    for given in (None, totals):
+        counted = with_group_value(raw, "facility_region", "n", F.count(F.lit(1)), given)
+        found = counted.groupBy("facility_region", "n").count().collect()
+        assert {r.facility_region: (r.n, r["count"]) for r in found} == {
+            k: (v, v) for k, v in counts.items()
+        }
     lowest = {}
     for r in rows:
         lowest[r.facility_region] = min(lowest.get(r.facility_region, "~"), r.ea_number)
-    first = first_row_per(raw, "facility_region", "ea_number", counted_as="n").collect()
+    count = F.count(F.lit(1)).alias("n")
+    first = first_row_per(raw, "facility_region", "ea_number", count).collect()
     assert {r.facility_region: r.ea_number for r in first} == lowest
     assert {r.facility_region: r.n for r in first} == counts
 
 
-def test_a_large_side_is_not_broadcast(spark, raw, facilities, monkeypatch):
-    assert joins.is_small(facilities)
+def test_salt_works_after_a_shuffle_on_the_hot_key(spark, raw, facilities):
+    """The left side comes dealt out by the key; the salt looks at the other columns."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = raw.repartition(8, "facility_id")
+        assert _largest_task(dealt) > ROWS / 3
+        salted = lookup(dealt, facilities, "facility_id", "efc_id", salt=32)
+        assert _largest_task(salted) < ROWS / 4
+        assert salted.count() == ROWS
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_plain_equality_keeps_a_side_where_it_is(raw, facilities):
     tree = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    small = joins.measured_lookup(raw, facilities, "facility_id", "efc_id")
-    assert "BroadcastHashJoin" in tree(small)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", FACILITIES)
-    large = joins.measured_lookup(raw, facilities, "facility_id", "efc_id", salt=3)
-    assert "BroadcastHashJoin" not in tree(large)
-    assert large.count() == small.count() == ROWS
-    monkeypatch.undo()
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
-    assert not joins.is_small(facilities) and joins.is_small(facilities.limit(0))
-    prepared = prepare_cases(raw, facilities, "2020-04-14", measure=True)
-    assert prepared.count() == ROWS
+    dealt = raw.filter("facility_id IS NOT NULL").repartition("facility_id")
+    named = facilities.filter("efc_id IS NOT NULL")
+    bare = lookup(dealt, named, "facility_id", "efc_id", missing_match=False)
+    assert tree(bare).count("Exchange hashpartitioning(facility_id") == 1 and "coalesce(facility_id" not in tree(bare)
+    safe = lookup(dealt, named, "facility_id", "efc_id")
+    assert "coalesce(facility_id" in tree(safe)
+    assert table(bare.select("facility_name", "ea_number")) == table(safe.select("facility_name", "ea_number"))
+    declared = raw.sparkSession.range(5).withColumnRenamed("id", "efc_id").withColumn("facility_name", F.lit("x"))
+    assert "coalesce(facility_id" not in tree(lookup(dealt, declared, "facility_id", "efc_id"))
 
 
 def test_hot_case_number_in_a_semi_join(raw):
