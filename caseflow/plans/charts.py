@@ -58,8 +58,8 @@ class _Share:
     measure: str = "case_count"
 
 
-def _rounded(value: Column) -> Column:
-    return text.plain_number(F.round(value, 2))
+def _aligned(value: Column) -> Column:
+    return text.aligned(value, 2)
 
 
 # --- fixed values: captions and trace names -------------------------------------------------
@@ -81,7 +81,7 @@ def _bucket_bars(key: Line, total: Line, caption: str | None = None) -> tuple[Ba
 
 
 def _deficit(title: str, caption: str, column: str) -> Panel:
-    lines = (_SHORT_REGION, Line(f"{caption}: ", column, _rounded))
+    lines = (_SHORT_REGION, Line(f"{caption}: ", column, _aligned))
     return Panel(title, "facility_region", (Bars(deficit_series, column, lines),))
 
 
@@ -188,15 +188,17 @@ STATEWIDE_PAGE = (
 
 
 def chart_series(table: DataFrame, panel: str) -> DataFrame:
-    """Bars of a panel from its table. Each row is unfolded in place; nothing is shuffled."""
+    """Bars of a panel from its table. Each row is unfolded in place; only labels whose decimals
+    depend on the other bars bring the rows of the table together."""
     spec = PANELS[panel]
+    shown = {n: n.show(F.col(n.column)) for b in spec.bars for n in b.lines}
+    texts = {n: f"_text{i}" for i, n in enumerate(shown)}
+    table = table.withColumns({texts[n]: text.shown(value) for n, value in shown.items()})
     bars = [
         F.struct(
             (b.name(F.col(b.height)) if callable(b.name) else F.lit(b.name)).alias("series"),
             F.col(b.height).cast("double").alias("y"),
-            text.hover(*[text.hover_line(n.caption, n.show(F.col(n.column))) for n in b.lines]).alias(
-                "label"
-            ),
+            text.hover(*[text.hover_line(n.caption, F.col(texts[n])) for n in b.lines]).alias("label"),
         )
         for b in spec.bars
     ]

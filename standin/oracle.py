@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from standin.tables import PULL_DATE
+from standin.tables import EARLIER_PULL, PULL_DATE
 
 REGION = "'ASIA'"
 REGIONS = "'ASIA','EUROPE','NOWHERE'"
@@ -12,16 +12,16 @@ LATELY = "status_code = 'Terminated' AND term_date >= pull_date - INTERVAL 12 MO
 
 _VIEWS = f"""
 facilities AS (
-  SELECT c_custkey AS efc_id, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_name END AS facility_name FROM customer),
+  SELECT CASE WHEN c_custkey = 83 THEN NULL ELSE c_custkey END AS efc_id, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_name END AS facility_name FROM customer),
 raw_cases AS (
-  SELECT o_custkey AS facility_id,
+  SELECT CASE WHEN o_custkey % 83 = 0 THEN NULL ELSE o_custkey END AS facility_id,
     CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE concat('EA-', CAST(o_orderkey AS STRING)) END AS ea_number,
     CASE WHEN o_custkey % 89 = 0 THEN NULL ELSE r_name END AS facility_region,
     concat('MGR-', CAST(o_custkey % 20 AS STRING)) AS case_manager,
     concat('REG-', CAST(o_custkey AS STRING)) AS registration_number,
-    CASE o_orderkey % 15 WHEN 0 THEN 'Air' WHEN 1 THEN 'VPDES' WHEN 2 THEN 'Solid Waste' WHEN 3 THEN 'Hazardous Waste'
+    CASE o_orderkey % 16 WHEN 0 THEN 'Air' WHEN 1 THEN 'VPDES' WHEN 2 THEN 'Solid Waste' WHEN 3 THEN 'Hazardous Waste'
       WHEN 4 THEN 'VWPP' WHEN 5 THEN 'PReP' WHEN 6 THEN 'VPA' WHEN 7 THEN 'Multimedia' WHEN 8 THEN 'Oil Spill'
-      WHEN 9 THEN 'Other' WHEN 10 THEN 'Groundwater' WHEN 11 THEN 'Const. Storm.' WHEN 12 THEN 'UST' WHEN 13 THEN 'AST' END AS program_name,
+      WHEN 9 THEN 'Other' WHEN 10 THEN 'Groundwater' WHEN 11 THEN 'Const. Storm.' WHEN 12 THEN 'UST' WHEN 13 THEN 'AST' WHEN 14 THEN 'Biosolids' END AS program_name,
     concat('PMT-', CAST(o_orderkey % 1000 AS STRING)) AS permit_number,
     concat('NOV-', CAST(o_orderkey AS STRING)) AS nov_number,
     CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_orderdate END AS nov_date,
@@ -29,7 +29,7 @@ raw_cases AS (
     CASE WHEN o_orderstatus = 'F' THEN last_ship END AS term_date,
     CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS cash_civil_charge,
     o_orderpriority AS action_code,
-    CASE WHEN o_orderstatus = 'F' THEN 'Terminated' WHEN o_orderstatus = 'P' THEN 'Effective'
+    CASE WHEN o_orderkey % 59 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'Terminated' WHEN o_orderstatus = 'P' THEN 'Effective'
       WHEN o_orderkey % 3 = 0 THEN 'Pending' WHEN o_orderkey % 3 = 1 THEN 'Pending Consent' ELSE 'Pending APA' END AS status_code,
     concat('comment ', CAST(o_orderkey AS STRING)) AS comments
   FROM orders
@@ -49,15 +49,15 @@ cases AS (
   FROM raw_cases r LEFT JOIN facilities f ON f.efc_id IS NOT DISTINCT FROM r.facility_id
   WHERE f.facility_name IS NOT NULL AND r.ea_number IS NOT NULL),
 org_chart AS (
-  SELECT r_name AS region,
+  SELECT CASE WHEN s_suppkey % 71 = 0 THEN NULL ELSE r_name END AS region,
     CASE s_suppkey % 8 WHEN 0 THEN 'Manager' WHEN 1 THEN 'Manager/Vacant' WHEN 2 THEN 'Program Coordinator' WHEN 3 THEN 'Director/Vacant'
       WHEN 4 THEN 'Enforcement Specialist' WHEN 5 THEN 'Enforcement Specialist/Vacant' WHEN 6 THEN 'Administrative and Staff Assistant'
       ELSE 'Administrative and Staff Assistant/Vacant' END AS position,
     concat('P', CAST(s_suppkey AS STRING)) AS position_number,
-    CAST(CASE s_suppkey % 8 WHEN 4 THEN 15 WHEN 5 THEN 15 WHEN 6 THEN 0 WHEN 7 THEN 4 ELSE 8 END AS INT) AS capacity
-  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+    CAST(CASE WHEN s_suppkey % 67 = 0 THEN NULL ELSE CASE s_suppkey % 8 WHEN 4 THEN 15 WHEN 5 THEN 15 WHEN 6 THEN 0 WHEN 7 THEN 4 ELSE 8 END END AS INT) AS capacity
+  FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey),
 referral_rates AS (
-  SELECT r_name AS region, CAST(20.5 + 13 * r_regionkey AS DOUBLE) AS referral_rate FROM region WHERE r_regionkey <> 4)
+  SELECT r_name AS region, CASE WHEN r_regionkey <> 4 THEN CAST(20.5 + 13 * r_regionkey AS DOUBLE) END AS referral_rate FROM region)
 """
 
 _DETAIL = """facility_name, ea_number, facility_region, case_manager, registration_number, program_name, permit_number,
@@ -121,6 +121,9 @@ def _transposed(region: str | None) -> str:
             ("Waste", "waste"),
         )
     )
+    columns += """,
+  CAST(nullif(sum(CASE WHEN program NOT IN ('Air','AST/UST','Other','VPDES','VWP','Waste') THEN 1 ELSE 0 END), 0) AS BIGINT) AS rest,
+  count(*) AS "all\""""
     return f"""
 p AS (SELECT facility_region, program, CASE WHEN days_pending >= 365 THEN 'active_gt_365' ELSE 'active_lt_365' END AS b
   FROM cases WHERE {PENDING} {where}),
@@ -209,14 +212,32 @@ SELECT '{panel}' AS panel, x, '{trace}' AS series, y,
   '{caption}:  ' || coalesce(x, 'NA') || '<br>{trace}: $ ' || {_grouped_digits("y")} AS label FROM t"""
 
 
+def _two_digits(x: str, most: str) -> str:
+    """``x`` with ``most`` decimals."""
+    cases = " ".join(f"WHEN {d} THEN format('{{:.{d}f}}', {x})" for d in range(0, 9))
+    return f"CASE {most} {cases} END"
+
+
+def _decimals(x: str) -> str:
+    """Decimals of two significant digits without trailing zeros, found by trying them in turn."""
+    lead = f"abs({x})"
+    two = " ".join(
+        f"WHEN {lead} >= {10.0 ** -e} THEN CASE WHEN round({lead}, {e + 1}) = round({lead}, {e}) AND {e} > 0 "
+        f"AND round({lead}, {e + 1}) = round({lead}, {e - 1 if e else 0}) THEN {max(e - 1, 0)} "
+        f"WHEN round({lead}, {e + 1}) = round({lead}, {e}) THEN {e} ELSE {e + 1} END"
+        for e in range(0, 7)
+    )
+    return f"CASE WHEN {x} IS NULL OR {x} = 0 THEN 0 WHEN {lead} >= 10 THEN 0 {two} ELSE 0 END"
+
+
 def _fte_bars(panel: str, caption: str, expression: str) -> str:
     return f"""{_STAFF},
 t AS (SELECT p.facility_region AS x, {expression} AS y
   FROM p LEFT JOIN o ON o.region IS NOT DISTINCT FROM p.facility_region
-  LEFT JOIN referral_rates r ON r.region IS NOT DISTINCT FROM p.facility_region)
+  LEFT JOIN referral_rates r ON r.region IS NOT DISTINCT FROM p.facility_region),
+m AS (SELECT max({_decimals("y")}) AS most FROM t)
 SELECT '{panel}' AS panel, x, CASE WHEN y < 0 THEN '< 0' WHEN y >= 0 THEN '> 0' END AS series, round(y, 4) AS y,
-  'Region:  ' || coalesce(x, 'NA') || '<br>{caption}:  '
-  || coalesce(rtrim(rtrim(format('{{:.2f}}', y), '0'), '.'), 'NA') AS label FROM t"""
+  'Region:  ' || coalesce(x, 'NA') || '<br>{caption}:  ' || coalesce({_two_digits("y", "most")}, 'NA') AS label FROM t, m"""
 
 
 def _export(kind: str, prefix: str, condition: str) -> str:
@@ -228,6 +249,29 @@ FROM cases WHERE facility_region IS NOT NULL AND {condition}"""
 _YTD = "nov_date BETWEEN date_trunc('YEAR', pull_date) AND pull_date"
 _SINCE = "BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2001-08-01 00:00:00'"
 
+_EARLIER = f"BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '{EARLIER_PULL} 00:00:00'"
+
+
+def _two_pulls(body: str) -> str:
+    """A question asked of each pull by itself: ``cases`` is the later one."""
+    ctes, select = (body.strip().rsplit("\nSELECT", 1) + [""])[:2] if "\nSELECT" in body.strip() else ("", body.strip()[6:])
+    earlier = f"""earlier AS (SELECT * REPLACE (DATE '{EARLIER_PULL}' AS pull_date,
+    date_sub('day', nov_date, coalesce(term_date, TIMESTAMP '{EARLIER_PULL} 00:00:00')) AS days_pending) FROM cases)"""
+
+    def asked(of: str, date: str) -> str:
+        inner = f"WITH {ctes} SELECT{select}" if ctes else f"SELECT{select}"
+        return f"SELECT *, '{date}' AS pull_date FROM ({inner.replace('FROM cases', f'FROM {of}')})"
+
+    return f"{earlier}\n" + asked("cases", PULL_DATE) + "\nUNION ALL\n" + asked("earlier", EARLIER_PULL)
+
+
+def _count_bars(panel: str, key: str, caption: str, trace: str, condition: str = "TRUE") -> str:
+    return f"""
+t AS (SELECT {key} AS x, count(*) AS n FROM cases WHERE {condition} GROUP BY {key})
+SELECT '{panel}' AS panel, x, 'Program Total' AS series, CAST(n AS DOUBLE) AS y,
+  '{caption}:  ' || coalesce(x, 'NA') || '<br>{trace}:  ' || n AS label FROM t"""
+
+
 _BODIES = {
     "cases_prepared": f"SELECT {_CASES} FROM cases",
     "cases_prepared_utc_pull": f"""SELECT {_DETAIL}, program, {_PULLED},
@@ -241,7 +285,15 @@ WHERE executed_date {_SINCE} OR nov_date {_SINCE} OR term_date {_SINCE}""",
     "cases_year_to_date": f"SELECT {_CASES} FROM cases WHERE {_YTD}",
     "cases_year_to_date_at_source": f"SELECT {_CASES} FROM cases WHERE {_YTD}",
     "reconcile_cases": f"""SELECT {_CASES} FROM cases y WHERE {_YTD}
-  AND EXISTS (SELECT 1 FROM cases o WHERE o.ea_number = y.ea_number AND o.status_code <> 'Terminated')""",
+  AND EXISTS (SELECT 1 FROM cases o WHERE o.ea_number = y.ea_number
+    AND (o.executed_date {_EARLIER} OR o.nov_date {_EARLIER} OR o.term_date {_EARLIER}))""",
+    "cases_prepared_from_view": f"""SELECT {_DETAIL.replace(" nov_date,", " CASE WHEN nov_number LIKE '%77' THEN NULL ELSE nov_date END AS nov_date,")},
+  program, {_PULLED}, CASE WHEN nov_number LIKE '%77' THEN NULL ELSE days_pending END AS days_pending FROM cases""",
+    "pending_by_region_two_pulls": _two_pulls(_pending_by("facility_region")),
+    "region_workload_two_pulls": _two_pulls(f"SELECT facility_region, {_WORKLOAD} FROM cases GROUP BY facility_region"),
+    "pull_date_banner_two_pulls": f"""SELECT * FROM (VALUES
+  ('{PULL_DATE}', 'Dashboard Data Pulled On: 08/01/01'), ('{EARLIER_PULL}', 'Dashboard Data Pulled On: 03/01/01')) v(pull_date, banner)
+WHERE EXISTS (SELECT 1 FROM cases)""",
     "pull_date_banner": f"""SELECT DISTINCT {_PULLED}, 'Dashboard Data Pulled On: ' || strftime(cases.pull_date, '%m/%d/%y') AS banner FROM cases""",
     "pending_by_region": _pending_by("facility_region"),
     "pending_by_program": _pending_by("program"),
@@ -272,6 +324,8 @@ JOIN t ON t.program = r.program WHERE rn = 1""",
     "cases_with_regional_cash": f"""SELECT {_CASES},
   round(coalesce(sum(cash_civil_charge) OVER (PARTITION BY facility_region), 0), 2) AS regional_total FROM cases""",
     "cases_with_program_cash": f"""SELECT {_CASES},
+  round(coalesce(sum(cash_civil_charge) OVER (PARTITION BY program), 0), 2) AS program_total FROM cases""",
+    "cases_with_stored_program_cash": f"""SELECT {_CASES},
   round(coalesce(sum(cash_civil_charge) OVER (PARTITION BY program), 0), 2) AS program_total FROM cases""",
     "capacity_by_region": """SELECT region, CAST(CASE WHEN count(capacity) = count(*) THEN sum(capacity) END AS BIGINT) AS region_capacity
 FROM org_chart GROUP BY region""",
@@ -306,24 +360,24 @@ SELECT facility_region, 'Pending Cases: ' || pending AS pending, 'Pending Cases
   'Pending Cases < 365 days: ' || pending_under AS pending_under, 'Monitored Cases: ' || monitored AS monitored,
   'Terminated Cases: ' || terminated AS terminated FROM w""",
     "region_capacity_fte": f"""{_STAFF},
-f AS (SELECT region, coalesce(o.region_capacity, 0) AS capacity, coalesce(n, 0) AS pending_total, referral_rate,
+f AS (SELECT region, o.region_capacity AS capacity, coalesce(CAST(o.region_capacity AS STRING), 'NA') AS kt, coalesce(n, 0) AS pending_total, referral_rate,
     round((o.region_capacity - referral_rate) / 15.0, 2) AS referral_deficit,
     round(CAST(o.region_capacity - coalesce(n, 0) AS DOUBLE) / 15.0, 2) AS current_deficit
-  FROM o LEFT JOIN p ON p.facility_region = region LEFT JOIN referral_rates USING (region)),
-s AS (SELECT *, coalesce(format('{{:.2f}}', referral_deficit), 'NA') AS rt, format('{{:.2f}}', current_deficit) AS ct,
+  FROM o LEFT JOIN p ON p.facility_region = region LEFT JOIN referral_rates USING (region) WHERE region IS NOT NULL),
+s AS (SELECT *, coalesce(format('{{:.2f}}', referral_deficit), 'NA') AS rt, coalesce(format('{{:.2f}}', current_deficit), 'NA') AS ct,
   coalesce(format('{{:g}}', referral_rate), 'NA') AS rr FROM f)
 SELECT region, capacity, pending_total, referral_rate, referral_deficit, current_deficit,
-  'Regional Case Capacity: ' || capacity AS capacity_text, 'Average Referral Rate: ' || rr AS referral_text,
+  'Regional Case Capacity: ' || kt AS capacity_text, 'Average Referral Rate: ' || rr AS referral_text,
   'Referral FTE Deficit: ' || rt AS referral_deficit_text, 'Current FTE Deficit: ' || ct AS current_deficit_text,
   CASE WHEN referral_deficit < 0 THEN '#ff5733' WHEN referral_deficit >= 0 THEN '#1E90FF' END AS referral_deficit_color,
   CASE WHEN current_deficit < 0 THEN '#ff5733' WHEN current_deficit >= 0 THEN '#1E90FF' END AS current_deficit_color,
-  'Referral Deficit Eq. (' || capacity || '-' || rr || ')/ 15= ' || rt AS referral_equation,
-  'Current Deficit Eq. (' || capacity || '- ' || pending_total || ')/ 15= ' || ct AS current_equation FROM s""",
+  'Referral Deficit Eq. (' || kt || '-' || rr || ')/ 15= ' || rt AS referral_equation,
+  'Current Deficit Eq. (' || kt || '- ' || pending_total || ')/ 15= ' || ct AS current_equation FROM s""",
     "region_roster": """SELECT region, position, position_number, capacity,
   CASE WHEN position IN ('Manager','Manager/Vacant','Director','Program Coordinator','Team Leader/Vacant') THEN 'manager'
     WHEN position IN ('Enforcement Specialist','Enforcement Specialist/Vacant','Administrative and Staff Assistant','Administrative and Staff Assistant/Vacant') THEN 'specialist'
     ELSE 'unlisted' END AS class,
-  position || '- ' || position_number AS title, 'Capacity: ' || capacity AS subtitle FROM org_chart""",
+  position || '- ' || position_number AS title, 'Capacity: ' || coalesce(CAST(capacity AS STRING), 'NA') AS subtitle FROM org_chart""",
     "pending_transposed": _transposed(None),
     "pending_transposed_one": _transposed(REGION),
     "monitored_representative": f"""SELECT {_CASES}, program_total FROM (
@@ -359,6 +413,56 @@ WHERE facility_region IS NOT NULL GROUP BY facility_region, panel, x, series""",
 t AS (SELECT program AS x, count(*) AS n FROM cases WHERE status_code = 'Effective' GROUP BY program)
 SELECT 'monitored_by_program' AS panel, x, 'Program Total' AS series, CAST(n AS DOUBLE) AS y,
   'Program Name:  ' || coalesce(x, 'NA') || '<br>Program Total:  ' || n AS label FROM t""",
+    "chart_pending_by_program": _bucket_bars(
+        "pending_by_program",
+        "program",
+        ("Program Name", "Active < 365", "Active > 365", "Program Total"),
+        "total_pending",
+        _pending_by("program"),
+    ),
+    "chart_monitored_by_region": _count_bars(
+        "monitored_by_region", "facility_region", "Region Name", "Region Total", "status_code = 'Effective'"
+    ),
+    "chart_actions_by_region": _count_bars(
+        "actions_by_region", "facility_region", "Region Name", "Region Total", "status_code = 'Effective'"
+    ),
+    "chart_actions_by_program": _count_bars(
+        "actions_by_program", "program", "Program Name", "Program Total", "status_code = 'Effective'"
+    ),
+    "chart_terminated_by_region": _count_bars(
+        "terminated_by_region", "facility_region", "Region Name", "Region Total", LATELY
+    ),
+    "chart_terminated_by_program": _count_bars(
+        "terminated_by_program", "program", "Program Name", "Program Total", LATELY
+    ),
+    "chart_region_terminated_by_program": _count_bars(
+        "region_terminated_by_program", "program", "Program Name", "Program Total", f"facility_region = {REGION} AND {LATELY}"
+    ),
+    "chart_region_monitored_by_program": _count_bars(
+        "region_monitored_by_program", "program", "Program Name", "Program Total",
+        f"facility_region = {REGION} AND status_code = 'Effective'",
+    ),
+    "chart_region_monitored_bar_labels": f"""
+t AS (SELECT program AS x, count(*) AS n FROM cases WHERE facility_region = {REGION} AND status_code = 'Effective' GROUP BY program)
+SELECT 'region_monitored_bar_labels' AS panel, x, 'Program Total' AS series, CAST(n AS DOUBLE) AS y,
+  'Program Name:  ' || coalesce(x, 'NA') AS label FROM t""",
+    "chart_monitored_representative": """
+t AS (SELECT facility_region AS x, count(*) AS n FROM cases WHERE status_code = 'Effective' GROUP BY facility_region)
+SELECT 'monitored_representative' AS panel, x, 'Program Total' AS series, CAST(n AS DOUBLE) AS y,
+  'Region:  ' || coalesce(x, 'NA') || '<br>Program Total:  ' || n AS label FROM t""",
+    "chart_cash_drill_program": f"""
+t AS (SELECT facility_region AS x, round(coalesce(sum(cash_civil_charge), 0), 2) AS y FROM cases
+  WHERE program IN ({PROGRAM_SELECTION}) GROUP BY facility_region)
+SELECT 'cash_drill_program' AS panel, x, 'Program Total' AS series, y,
+  'Region Name:  ' || coalesce(x, 'NA') || '<br>Program Total: $ ' || {_grouped_digits("y")} AS label FROM t""",
+    "chart_fte_deficits_stacked": f"""{_STAFF},
+t AS (SELECT p.facility_region AS x, round((region_capacity - referral_rate) / 15.0, 4) AS a,
+    round(CAST(region_capacity - n AS DOUBLE) / 15.0, 4) AS b
+  FROM p LEFT JOIN o ON o.region IS NOT DISTINCT FROM p.facility_region
+  LEFT JOIN referral_rates r ON r.region IS NOT DISTINCT FROM p.facility_region),
+u AS (SELECT x, 'Referral FTE Deficit' AS series, a AS y FROM t UNION ALL SELECT x, 'Current FTE Deficit', b FROM t)
+SELECT 'fte_deficits_stacked' AS panel, x, series, y, 'Region:  ' || coalesce(x, 'NA') || '<br>' || series || ':  '
+  || coalesce(rtrim(rtrim(format('{{:.4f}}', y), '0'), '.'), 'NA') AS label FROM u""",
     "chart_cash_drill_region": f"""
 s AS (SELECT * FROM cases WHERE facility_region IN ({REGIONS})),
 t AS (SELECT program AS x, round(coalesce(sum(cash_civil_charge), 0), 2) AS y FROM s GROUP BY program)

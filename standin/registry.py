@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import domain
-from caseflow.plans import charts, cube, export, recon, regional, staffing, statewide
-from standin.tables import PULL_DATE, CaseTables
+from caseflow.plans import charts, cube, export, pulls, recon, regional, staffing, statewide
+from standin.tables import EARLIER_PULL, PULL_DATE, CaseTables
 
 REGION = "ASIA"
 REGIONS = ["ASIA", "EUROPE", "NOWHERE"]
@@ -50,13 +50,24 @@ def _fte_rounded(t: CaseTables, **settings) -> DataFrame:
 
 
 def _reconciled(t: CaseTables) -> DataFrame:
-    still_listed = t.cases().filter(~F.col("status_code").isin(*domain.TERMINATED))
-    return recon.reconcile_cases(recon.year_to_date(t.cases()), still_listed)
+    """This year's cases that the earlier pull's table of touched cases has too."""
+    earlier = recon.prepare_touched(t.raw_cases(), t.facilities(), EARLIER_PULL)
+    return recon.reconcile_cases(recon.year_to_date(t.cases()), earlier)
+
+
+def _both_pulls(plan: Callable[[DataFrame], DataFrame]) -> Callable[[CaseTables], DataFrame]:
+    return lambda t: pulls.by_pull(t.cases_of_both_pulls(), plan, [PULL_DATE, EARLIER_PULL])
+
+
+def _with_stored_totals(key: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows with the totals of a cube, which a deployment reads from where it published it."""
+    return lambda c: statewide.with_cash_total(c, key, statewide.cash_by(cube.build_cube(c), key))
 
 
 def _transposed(cases: DataFrame, region: str | None) -> DataFrame:
     wide = regional.pending_transposed(cases, region, domain.PROGRAMS)
-    return wide.withColumnsRenamed({p: p.lower().replace("/", "_") for p in domain.PROGRAMS})
+    names = [*domain.PROGRAMS, domain.REST_OF_PROGRAMS, domain.ALL_PROGRAMS]
+    return wide.withColumnsRenamed({p: p.lower().replace("/", "_") for p in names})
 
 
 def _chart(panel: str, plan: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -79,6 +90,13 @@ QUERIES: dict[str, Query] = {
     ),
     "reconcile_cases": _on_tables(_reconciled),
     "pull_date_banner": _on_cases(recon.pull_date_banner),
+    "cases_prepared_from_view": _on_tables(lambda t: t.cases_from_views()),
+    # several pulls
+    "pending_by_region_two_pulls": _on_tables(_both_pulls(statewide.pending_by_region)),
+    "region_workload_two_pulls": _on_tables(_both_pulls(regional.region_workload_summary)),
+    "pull_date_banner_two_pulls": _on_tables(
+        lambda t: recon.pull_date_banner(t.cases_of_both_pulls())
+    ),
     # statewide panels
     "pending_by_region": _on_cases(statewide.pending_by_region),
     "pending_by_program": _on_cases(statewide.pending_by_program),
@@ -116,6 +134,9 @@ QUERIES: dict[str, Query] = {
     "cases_with_program_cash": _on_cases(
         lambda c: _rounded(statewide.with_cash_total(c, statewide.PROGRAM), 2, "program_total")
     ),
+    "cases_with_stored_program_cash": _on_cases(
+        lambda c: _rounded(_with_stored_totals(statewide.PROGRAM)(c), 2, "program_total")
+    ),
     # staffing
     "capacity_by_region": _on_tables(lambda t: staffing.capacity_by_region(t.org_chart())),
     "fte_deficit_by_region": _on_tables(_fte_rounded),
@@ -204,6 +225,49 @@ QUERIES: dict[str, Query] = {
     "chart_current_fte_deficit": _on_tables(
         lambda t: _rounded(charts.chart_series(_fte(t), "current_fte_deficit"), 4, "y")
     ),
+    **{
+        f"chart_{name}": _on_cases(_chart(name, getattr(statewide, name)))
+        for name in (
+            "pending_by_program",
+            "monitored_by_region",
+            "actions_by_region",
+            "actions_by_program",
+            "terminated_by_region",
+            "terminated_by_program",
+        )
+    },
+    "chart_cash_drill_program": _on_cases(
+        _chart(
+            "cash_drill_program",
+            lambda c: _rounded(
+                statewide.cash_drill_program(c, PROGRAM_SELECTION), 2, "regional_total"
+            ),
+        )
+    ),
+    "chart_fte_deficits_stacked": _on_tables(
+        lambda t: _rounded(charts.chart_series(_fte_rounded(t), "fte_deficits_stacked"), 4, "y")
+    ),
+    "chart_region_terminated_by_program": _on_cases(
+        _chart(
+            "region_terminated_by_program",
+            lambda c: regional.region_terminated_by_program(c, REGION),
+        )
+    ),
+    "chart_region_monitored_by_program": _on_cases(
+        _chart(
+            "region_monitored_by_program",
+            lambda c: regional.region_monitored_by_program(c, REGION),
+        )
+    ),
+    "chart_region_monitored_bar_labels": _on_cases(
+        _chart(
+            "region_monitored_bar_labels",
+            lambda c: regional.region_monitored_by_program(c, REGION),
+        )
+    ),
+    "chart_monitored_representative": _on_cases(
+        _chart("monitored_representative", regional.monitored_representative)
+    ),
     # export
     "export_pending": _on_cases(lambda c: export.export_rows(c, "pending")),
     "export_terminated": _on_cases(lambda c: export.export_rows(c, "terminated")),

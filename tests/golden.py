@@ -21,18 +21,17 @@ _CASES = [
 _FACILITIES = [(1, "Acme"), (2, "Beta"), (3, None), (None, "Ghost")]
 # region, position, number, capacity
 ORG_CHART = [
-    ("PRO", "Manager", "P0641", 8),
-    ("PRO", "Enforcement Specialist/Vacant", "P0928", 15),
-    ("PRO", "Enforcement Specialist", "P4022", 15),
-    ("PRO", "Enforcement Specialist", "P1063", 15),
-    ("PRO", "Administrative and Staff Assistant", "P4458", 0),
-    ("TRO", "Manager", "P4058", 8),
-    ("TRO", "Enforcement Specialist", "P1065", 60),
-    ("CO", "Director/Vacant", "P4040", 8),
-    ("CO", "Administrative and Staff Assistant/Vacant", "P4338", 4),
-    ("CO", "Manager/Vacant", "P4035", 8),
-    ("CO", "Program Coordinator", "P4501", 8),
-    ("CO", "Enforcement Specialist/Vacant", "P4502", 8),
+    ("PRO", "Manager", "X101", 5),
+    ("PRO", "Enforcement Specialist/Vacant", "X102", 21),
+    ("PRO", "Enforcement Specialist", "X103", 27),
+    ("PRO", "Administrative and Staff Assistant", "X104", 0),
+    ("TRO", "Manager", "X201", 9),
+    ("TRO", "Enforcement Specialist", "X202", 59),
+    ("CO", "Director/Vacant", "X301", 11),
+    ("CO", "Administrative and Staff Assistant/Vacant", "X302", 2),
+    ("CO", "Manager/Vacant", "X303", 6),
+    ("CO", "Program Coordinator", "X304", 7),
+    ("CO", "Enforcement Specialist/Vacant", "X305", 10),
 ]
 REFERRAL_RATES = [("PRO", 60.0), ("TRO", 40.0)]
 

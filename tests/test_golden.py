@@ -9,6 +9,7 @@ from caseflow.operators import rows as row_operators
 from caseflow.operators.joins import lookup
 from caseflow.plans import charts, cube, export, recon, regional, staffing, statewide
 from caseflow.plans.prepare import prepare_cases
+from caseflow.plans.pulls import by_pull
 from caseflow.plans.statewide import pending_by
 
 
@@ -209,7 +210,7 @@ def test_roster(spark):
     classes = {r["class"]: r["count"] for r in roster.groupBy("class").count().collect()}
     assert classes == {"manager": 2, "specialist": 2, "unlisted": 1}
     vacant = roster.filter(F.col("class") == "unlisted").first()
-    assert (vacant.title, vacant.subtitle) == ("Director/Vacant- P4040", "Capacity: 8")
+    assert (vacant.title, vacant.subtitle) == ("Director/Vacant- X301", "Capacity: 11")
 
 
 def test_regional_detail(cases):
@@ -271,7 +272,21 @@ def test_transposed(counted):
     young = regional.pending_transposed(
         counted.filter(F.col("program") != "Waste"), "PRO", ["Other", "VWP"]
     )
-    expect(young, [("active_lt_365", 1, 1), ("program_total", 1, 1)])
+    assert young.columns == ["pending_status", "Other", "VWP", "Rest", "All"]
+    expect(young, [("active_lt_365", 1, 1, None, 2), ("program_total", 1, 1, None, 2)])
+    some = regional.pending_transposed(counted, "PRO", ["Other", "Air"])
+    expect(
+        some,
+        [("active_lt_365", 1, None, 1, 2), ("active_gt_365", None, None, 1, 1), ("program_total", 1, None, 2, 3)],
+    )
+
+
+def test_transposed_sum_is_the_pending_count(counted):
+    pending = regional.region_workload_summary(counted).agg(F.sum("pending")).first()[0]
+    for programs in ([], ["Air"], ["Nowhere"], list(domain.PROGRAMS)):
+        wide = regional.pending_transposed(counted, None, programs)
+        total = wide.filter("pending_status = 'program_total'").agg(F.sum(domain.ALL_PROGRAMS)).first()[0]
+        assert total == pending
 
 
 def test_representative(cases):
@@ -341,12 +356,48 @@ def test_every_panel_has_chart_data(spark, cases):
     assert all(shown.values())
     deficit = {r.x: (r.series, r.label) for r in shown["referral_fte_deficit"]}
     assert deficit["PRO"] == ("< 0", "Region:  PRO<br>Referral FTE Deficit:  -0.47")
+    assert {r.label for r in shown["current_fte_deficit"]} == {"Region:  PRO<br>Current FTE Deficit:  3.3", "Region:  NA<br>Current FTE Deficit:  NA"}
     assert deficit[None] == (None, "Region:  NA<br>Referral FTE Deficit:  NA")
     stacked = {r.series: r.label for r in shown["fte_deficits_stacked"] if r.x == "PRO"}
     assert stacked["Referral FTE Deficit"].endswith("Referral FTE Deficit:  -0.466666666666667")
     assert shown["region_monitored_bar_labels"][0].label == "Program Name:  Air"
 
 
+@pytest.mark.parametrize(
+    ("values", "wanted"),
+    [
+        ([-1.533, 12.345, 0.0347], ["-1.533", "12.345", "0.035"]),
+        ([0.5, 20.0], ["0.5", "20.0"]),
+        ([3.0, -4.0, None], ["3", "-4", "NA"]),
+        ([9.96, 11.2], ["10", "11"]),
+        ([0.0996], ["0.1"]),
+        ([123.456, 0.0], ["123", "0"]),
+        ([None], ["NA"]),
+    ],
+)
+def test_deficit_labels_share_their_decimals(spark, values, wanted):
+    """Two significant digits, with as many decimals as the number that needs most."""
+    table = spark.createDataFrame(
+        [(f"R{i}", v) for i, v in enumerate(values)], "facility_region string, referral_fte_deficit double"
+    )
+    got = charts.chart_series(table, "referral_fte_deficit").orderBy("x").collect()
+    assert [r.label.split("  ")[-1] for r in got] == wanted
+
+
+def test_pulls_are_told_apart(spark, cases):
+    earlier = prepare_cases(golden.raw(spark), golden.facilities(spark), "2019-06-01")
+    both = cases.unionByName(earlier)
+    dates = [golden.PULL_DATE, "2019-06-01"]
+    for counted in (both, cube.build_cube(both)):
+        for plan in (statewide.pending_by_region, regional.region_workload_summary, statewide.cash_by_program):
+            found = by_pull(counted, plan, dates)
+            for date, single in zip(dates, (cases, earlier)):
+                own = found.filter(F.col("pull_date") == date).drop("pull_date")
+                assert rows(own) == rows(plan(single))
+    with pytest.raises(ValueError):
+        by_pull(both, statewide.pending_by_region, [])
+
+
 def test_statewide_page_equals_its_panels(counted, cases):
     page = {(r.panel, r.x, r.series): r.y for r in charts.statewide_page(counted).collect()}
     single = {}
