@@ -18,10 +18,12 @@ from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, _lookup
 from caseflow.llm.common import arrow_pass, pieces, stored, text_of, texts_of
 
-#: A unit of fewer words may repeat by chance: it goes only within a run that has enough other words.
+#: A unit of fewer words may repeat by chance.
 LEAST_UNIT = 5
-#: Words of such larger units that a run of repeated units must have to be removed.
-LEAST_RUN = 15
+#: Words that a run of repeated units must have to be removed, and how many of them in larger units.
+LEAST_RUN, LEAST_SOLID = 20, 10
+#: A run of so many words goes whatever its units are.
+LONG_RUN = 50
 
 _END = _lookup(lambda b: chr(b) in ".!?")
 _CAPITAL = _lookup(lambda b: 0x41 <= b <= 0x5A)
@@ -82,7 +84,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """The runs of units to remove: rank, name, start, end (code points), words, units.
+    """The runs of units to remove: rank, name, start, end (code points), words, units, first_rank (least that keeps a unit of it).
 
     Digests are counted with a combine before the shuffle; the join that brings the counts back has
     plain shuffles on both sides, so a digest of very many units is split at run time.
@@ -96,7 +98,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("h1", "h2", "rank").orderBy("name", "place")
     inside = found.where("rank = first_rank").withColumn("k", F.row_number().over(same)).where("k > 1").drop("k")
     later = found.where("rank > first_rank").union(inside)
-    later = later.select("rank", "name", F.shiftright("place", 32).alias("unit"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
+    later = later.select("rank", "first_rank", "name", F.shiftright("place", 32).alias("unit"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
     of_doc = Window.partitionBy("rank", "name").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(of_doc))
     solid = F.sum(F.when(F.col("words") >= LEAST_UNIT, F.col("words")).otherwise(0))
@@ -105,9 +107,23 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"),
         F.sum("words").alias("words"),
         F.count(F.lit(1)).alias("units"),
+        F.min("first_rank").alias("first_rank"),
         solid.alias("solid"),
     )
-    return out.where(F.col("solid") >= LEAST_RUN).drop("solid", "run")
+    enough = (F.col("words") >= LEAST_RUN) & (F.col("solid") >= LEAST_SOLID) | (F.col("words") >= LONG_RUN)
+    return out.where(enough).drop("solid", "run")
+
+
+def removed_runs(docs: DataFrame) -> DataFrame:
+    """One row for every run of units that goes: doc_id, start, end (code points), words, units, kept_doc_id.
+
+    kept_doc_id is the smallest doc_id that keeps a unit of the run, the document itself where it
+    repeats itself. Which units go is said in ``substring_duplicates``; documents that lose nothing have
+    no row.
+    """
+    told = repeated_runs(docs)
+    back = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
+    return told.select(back("rank").alias("doc_id"), "start", "end", "words", "units", back("first_rank").alias("kept_doc_id"))
 
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
@@ -115,9 +131,10 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
 
     A unit goes if it occurred before: in a document of smaller doc_id (missing ones come last, of equal
     ones the text with the smaller hash), or earlier in the same text. It goes as part of a run of such
-    neighbouring units with at least ``LEAST_RUN`` words in units of ``LEAST_UNIT`` words or more. Rows
-    that repeat doc_id and text are one document. Missing and empty texts have no unit. Other columns
-    are not read. No rows in, no rows out.
+    neighbouring units with at least ``LEAST_RUN`` words, ``LEAST_SOLID`` of them in units of
+    ``LEAST_UNIT`` words or more, or with ``LONG_RUN`` words in any units. Rows that repeat doc_id and
+    text are one document. Missing and empty texts have no unit. Other columns are not read. No rows
+    in, no rows out.
     """
     span = F.struct("start", "end", "words")
     spans = repeated_runs(docs).groupBy("rank", "name").agg(F.array_sort(F.collect_list(span)).alias("removed"))

@@ -35,7 +35,7 @@ def brute(rows):
                 runs[-1][2] += len(u)
                 runs[-1][3] += len(u) if len(u) >= substrings.LEAST_UNIT else 0
                 last = k
-        spans[key] = [tuple(r[:3]) for r in runs if r[3] >= substrings.LEAST_RUN]
+        spans[key] = [tuple(r[:3]) for r in runs if r[2] >= substrings.LEAST_RUN and r[3] >= substrings.LEAST_SOLID or r[2] >= substrings.LONG_RUN]
     return {(d, tuple(spans[(d is None, d or 0, t or "")]), len(t or "")) for d, t in rows}
 
 
@@ -45,6 +45,9 @@ def test_like_brute_force(documents, odd, none):
         got = substrings.substring_duplicates(docs).collect()
         assert len(got) == len(rows)
         assert {(r.doc_id, tuple(map(tuple, r.removed)), r.n_chars) for r in got} == brute(rows)
+        runs = substrings.removed_runs(docs).collect()
+        assert {(r.doc_id, r.start, r.end, r.words) for r in runs} == {(r.doc_id, *x) for r in got for x in r.removed}
+        assert all(r.kept_doc_id <= r.doc_id for r in runs)
     assert substrings.substring_duplicates(none).count() == 0
 
 
