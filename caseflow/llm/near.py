@@ -167,28 +167,57 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """n1, n2 and the weighted set of every row: 32-bit keys in order, then their weights, as bytes."""
+    """n1, n2, the weighted set of every row (48-bit keys in order, then their weights, as bytes) and its total weight."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = texts_of(batch.column(0))
-        names, sets = [], []
+        names, sets, total = [], [], []
         for first, last, part, at in pieces(data, offsets):
             doc, shingle, weight, name = weighted_sets(part, at, idf)
             names.append(name.view(np.int64))
             edge = np.searchsorted(doc, np.arange(last - first + 1))
-            short = (shingle >> U(16)).astype(np.uint32)
-            sets += [short[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+            sets += [shingle[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+            total.append(np.bincount(doc, weight, last - first))
         names = np.concatenate(names)
-        return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary())], ["n1", "n2", "shingles"])
+        columns = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary()), pa.array(np.concatenate(total))]
+        return pa.RecordBatch.from_arrays(columns, ["n1", "n2", "shingles", "total"])
 
-    return arrow_pass(docs.select("text"), "n1 bigint, n2 bigint, shingles binary", work)
+    return arrow_pass(docs.select("text"), "n1 bigint, n2 bigint, shingles binary, total double", work)
+
+
+def opened(shingles: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights of a set as ``sets_of`` writes it: 8 and 4 bytes each."""
+    n = len(shingles) // 12
+    return np.frombuffer(shingles, U, n), np.frombuffer(shingles, np.float32, n, 8 * n)
+
+
+def shared_enough(sets: DataFrame) -> DataFrame:
+    """The sets that can be ``SIMILARITY`` alike to another one of them: node, shingles, total, most.
+
+    What a set has to itself counts against it. With a weight of W, of which V is shared with any
+    other set, its similarity t to a set of weight X needs (1 + t) V >= t (W + X): X is at most ``most``,
+    and at least t W. So what this drops, and pairs with a weight above the other's ``most``, are no links.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, weight = opened(shingles)
+                columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node)), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "weight"])
+
+    rows = sets.select("node", "shingles").mapInArrow(listed, "key bigint, node bigint, weight float")
+    alone = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("of"), F.min("weight").alias("weight")).where("n = 1")
+    own = alone.groupBy("of").agg(F.sum("weight").alias("own"))
+    both = sets.join(own, sets["node"] == own["of"], "left")
+    shared = F.col("total") - F.coalesce("own", F.lit(0.0))
+    most = (1 + 1e-4) * ((1 + SIMILARITY) / SIMILARITY * shared - F.col("total"))
+    return both.withColumn("most", most).where(F.col("most") >= (SIMILARITY - 1e-4) * F.col("total")).select("node", "shingles", "total", "most")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Sum of the smaller weights over sum of the larger ones, of two sets as ``sets_of`` writes them."""
-    half_a, half_b = len(a) // 2, len(b) // 2
-    keys_a, keys_b = np.frombuffer(a[:half_a], np.uint32), np.frombuffer(b[:half_b], np.uint32)
-    weight_a, weight_b = np.frombuffer(a[half_a:], np.float32), np.frombuffer(b[half_b:], np.float32)
+    (keys_a, weight_a), (keys_b, weight_b) = opened(a), opened(b)
     if not len(keys_a) or not len(keys_b):
         return 0.0
     at = np.searchsorted(keys_b, keys_a)
@@ -233,26 +262,35 @@ def near_classes(docs: DataFrame) -> DataFrame:
     named = rows.groupBy("n1", "n2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     nodes = stored(named.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod("node", F.lit(SALTS)))
-    shared = keyed.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
+    shared = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     # A large bucket is dealt over salts.
-    spread = shared.select("band", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = stored(keyed.join(spread, ["band", "salt"]).select("band", "node", "pivot"))
+    spread = shared.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = stored(keyed.join(spread, ["band", "salt"]).select("band", "node"))
     sought = stored(members.select("node").distinct().join(nodes.select("node", "n1", "n2", "first_id"), "node"))
     ids = sought.select("first_id").distinct()
     again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    sets = stored(sets_of(again, idf).join(sought.select("node", "n1", "n2"), ["n1", "n2"]).select("node", "shingles").dropDuplicates(["node"]))
-    # First every member against the least of its bucket.
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    found = sets_of(again, idf).join(sought.select("node", "n1", "n2"), ["n1", "n2"])
+    sets = stored(shared_enough(stored(found.select("node", "shingles", "total").dropDuplicates(["node"]))))
+    # First every member against one of its bucket: the one that meets most others in its buckets.
+    live = members.join(sets.select("node", "total", "most"), "node")
+    sizes = live.groupBy("band").agg((F.count(F.lit(1)) - 1).alias("others"), F.min("total").alias("least")).where("others > 0")
+    # A member that even the lightest of its bucket is too heavy for has no link there.
+    live = stored(live.join(sizes, "band").where("most >= least").drop("least"))
+    met = live.groupBy("node").agg(F.sum("others").alias("met"))
+    best = F.max(F.struct("met", "node"))["node"].alias("pivot")
+    pivots = live.join(met, "node").groupBy("band").agg(best)
+    stars = live.join(pivots, "band").where("node <> pivot")
+    stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     edges = stored(verified(stars, sets))
-    labels = components(sets.select("node"), edges)
+    labels = components(live.select("node").distinct(), edges)
     # Then, in buckets that hold more than one class by now, members of different classes.
-    told = members.join(labels, "node").select("band", "node", "comp")
+    told = live.join(labels, "node").select("band", "node", "comp", "total", "most")
     split = told.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     still = stored(told.join(split, "band"))
-    other = still.select("band", F.col("node").alias("b"), F.col("comp").alias("of_b"))
-    cross = still.join(other, "band").where("comp < of_b").select(F.col("node").alias("a"), "b").distinct()
+    other = still.select("band", F.col("node").alias("b"), F.col("comp").alias("of_b"), F.col("total").alias("total_b"), F.col("most").alias("most_b"))
+    cross = still.join(other, "band").where("comp < of_b and total_b <= most and total <= most_b").select(F.col("node").alias("a"), "b").distinct()
     edges = edges.union(verified(cross, sets))
-    labels = components(sets.select("node"), edges)
+    labels = components(live.select("node").distinct(), edges)
     classes = nodes.select("n1", "n2", "node").join(labels, "node", "left").select("n1", "n2", F.coalesce("comp", "node").alias("class_key"))
     classes = classes.select(F.expr("n1 ^ 0L").alias("m1"), F.expr("n2 ^ 0L").alias("m2"), "class_key")
     same = (rows["n1"] == classes["m1"]) & (rows["n2"] == classes["m2"])
