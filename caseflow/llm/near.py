@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, mixed
-from caseflow.llm.common import arrow_pass, fixed_binary, fixed_list, pieces, stored, text_of, texts_of, unpacked, whole_rows
+from caseflow.llm.common import arrow_pass, fixed_binary, fixed_list, partitions, pieces, stored, text_of, texts_of, unpacked, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,6 +27,7 @@ ROWS = 4
 IDF_BITS = 18
 SLICES = 16
 SALTS = 16
+PAIRS_IN_A_PLACE = 1000
 #: Quantised draws of (r, c, beta): a sample picks one by 16 bits of a hash of the shingle.
 DRAWS = 1 << 16
 SEED = 11
@@ -192,7 +193,7 @@ def opened(shingles: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_enough(sets: DataFrame) -> DataFrame:
-    """The sets that can be ``SIMILARITY`` alike to another one of them: node, shingles, total, most.
+    """Which sets can be ``SIMILARITY`` alike to another one of them: node, total, most.
 
     What a set has to itself counts against it. With a weight of W, of which V is shared with any
     other set, its similarity t to a set of weight X needs (1 + t) V >= t (W + X): X is at most ``most``,
@@ -209,10 +210,10 @@ def shared_enough(sets: DataFrame) -> DataFrame:
     rows = sets.select("node", "shingles").mapInArrow(listed, "key bigint, node bigint, weight float")
     alone = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("of"), F.min("weight").alias("weight")).where("n = 1")
     own = alone.groupBy("of").agg(F.sum("weight").alias("own"))
-    both = sets.join(own, sets["node"] == own["of"], "left")
+    both = sets.select("node", "total").join(own, F.col("node") == F.col("of"), "left")
     shared = F.col("total") - F.coalesce("own", F.lit(0.0))
     most = (1 + 1e-4) * ((1 + SIMILARITY) / SIMILARITY * shared - F.col("total"))
-    return both.withColumn("most", most).where(F.col("most") >= (SIMILARITY - 1e-4) * F.col("total")).select("node", "shingles", "total", "most")
+    return both.withColumn("most", most).where(F.col("most") >= (SIMILARITY - 1e-4) * F.col("total")).select("node", "total", "most")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -235,8 +236,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         alike = np.fromiter((weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(a, b)), bool, len(a))
         return pa.RecordBatch.from_arrays([c.filter(pa.array(alike)) for c in batch.columns[:2]], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    # The first node of very many pairs is sent to as many places as it has thousands of them.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_A_PLACE).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    left = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = left.join(heads, ["a", "part"])
     return arrow_pass(both.select("a", "b", "of_a", "of_b"), "a bigint, b bigint", work)
 
 
@@ -261,18 +267,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # One node for each word sequence; copies meet in the aggregate and go no further.
     named = rows.groupBy("n1", "n2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     nodes = stored(named.withColumn("node", F.monotonically_increasing_id()))
-    keyed = nodes.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    keyed = nodes.select("node", F.posexplode("bands").alias("number", "band")).withColumn("salt", F.pmod("node", F.lit(SALTS)))
     shared = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     # A large bucket is dealt over salts.
     spread = shared.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = stored(keyed.join(spread, ["band", "salt"]).select("band", "node"))
+    members = stored(keyed.join(spread, ["band", "salt"]).select("band", "number", "node"))
     sought = stored(members.select("node").distinct().join(nodes.select("node", "n1", "n2", "first_id"), "node"))
     ids = sought.select("first_id").distinct()
     again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
     found = sets_of(again, idf).join(sought.select("node", "n1", "n2"), ["n1", "n2"])
-    sets = stored(shared_enough(stored(found.select("node", "shingles", "total").dropDuplicates(["node"]))))
+    # Dealt out by node once: the joins that follow bring their pairs here and leave the sets where they are.
+    found = found.select("node", "shingles", "total").repartition(partitions(docs.sparkSession), "node")
+    sets = stored(found.dropDuplicates(["node"]))
     # First every member against one of its bucket: the one that meets most others in its buckets.
-    live = members.join(sets.select("node", "total", "most"), "node")
+    live = members.join(stored(shared_enough(sets)), "node")
     sizes = live.groupBy("band").agg((F.count(F.lit(1)) - 1).alias("others"), F.min("total").alias("least")).where("others > 0")
     # A member that even the lightest of its bucket is too heavy for has no link there.
     live = stored(live.join(sizes, "band").where("most >= least").drop("least"))
@@ -280,15 +288,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct("met", "node"))["node"].alias("pivot")
     pivots = live.join(met, "node").groupBy("band").agg(best)
     stars = live.join(pivots, "band").where("node <> pivot")
-    stars = stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    stars = stored(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     edges = stored(verified(stars, sets))
     labels = components(live.select("node").distinct(), edges)
-    # Then, in buckets that hold more than one class by now, members of different classes.
-    told = live.join(labels, "node").select("band", "node", "comp", "total", "most")
+    # Then, in buckets that hold more than one class by now, members of different classes; a pair in the
+    # first bucket that it shares.
+    told = live.join(labels, "node").select("band", "number", "node", "comp", "total", "most")
     split = told.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    still = stored(told.join(split, "band"))
-    other = still.select("band", F.col("node").alias("b"), F.col("comp").alias("of_b"), F.col("total").alias("total_b"), F.col("most").alias("most_b"))
-    cross = still.join(other, "band").where("comp < of_b and total_b <= most and total <= most_b").select(F.col("node").alias("a"), "b").distinct()
+    still = stored(told.join(split, "band").join(nodes.select("node", "bands"), "node"))
+    other = still.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "total", "most", "bands")])
+    first = "number = array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) - 1"
+    cross = still.join(other, "band").where(f"comp < comp_b and total_b <= most and total <= most_b and {first}")
+    cross = stored(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
     edges = edges.union(verified(cross, sets))
     labels = components(live.select("node").distinct(), edges)
     classes = nodes.select("n1", "n2", "node").join(labels, "node", "left").select("n1", "n2", F.coalesce("comp", "node").alias("class_key"))
