@@ -28,7 +28,6 @@ from caseflow.llm.common import partitions, pieces, text_of, texts_of
 HASH_LANES = 16
 SKETCH_LANES = 128
 TRIPLE = 3
-_NOT_NEWLINE = bytescan._lookup(lambda b: b != 0x0A)
 
 
 def fingerprints(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
