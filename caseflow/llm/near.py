@@ -28,6 +28,8 @@ IDF_BITS = 18
 SLICES = 16
 SALTS = 16
 PAIRS_IN_A_PLACE = 1000
+#: Cells that a set's weight is summed in by key, for a bound on what two sets share.
+CELLS = 256
 #: Quantised draws of (r, c, beta): a sample picks one by 16 bits of a hash of the shingle.
 DRAWS = 1 << 16
 SEED = 11
@@ -168,22 +170,25 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """n1, n2, the weighted set of every row (48-bit keys in order, then their weights, as bytes) and its total weight."""
+    """n1, n2, the weighted set of every row (48-bit keys in order, then their weights, as bytes), its total weight and its weight by cell."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = texts_of(batch.column(0))
-        names, sets, total = [], [], []
+        names, sets, total, cells = [], [], [], []
         for first, last, part, at in pieces(data, offsets):
             doc, shingle, weight, name = weighted_sets(part, at, idf)
             names.append(name.view(np.int64))
             edge = np.searchsorted(doc, np.arange(last - first + 1))
             sets += [shingle[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
             total.append(np.bincount(doc, weight, last - first))
+            cell = doc * CELLS + (shingle & U(CELLS - 1)).astype(np.int64)
+            cells.append(np.bincount(cell, weight, (last - first) * CELLS).reshape(-1, CELLS))
         names = np.concatenate(names)
         columns = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary()), pa.array(np.concatenate(total))]
-        return pa.RecordBatch.from_arrays(columns, ["n1", "n2", "shingles", "total"])
+        columns.append(fixed_list(np.concatenate(cells).astype(np.float32), pa.float32()))
+        return pa.RecordBatch.from_arrays(columns, ["n1", "n2", "shingles", "total", "cells"])
 
-    return arrow_pass(docs.select("text"), "n1 bigint, n2 bigint, shingles binary, total double", work)
+    return arrow_pass(docs.select("text"), "n1 bigint, n2 bigint, shingles binary, total double, cells array<float>", work)
 
 
 def opened(shingles: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +282,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
     found = sets_of(again, idf).join(sought.select("node", "n1", "n2"), ["n1", "n2"])
     # Dealt out by node once: the joins that follow bring their pairs here and leave the sets where they are.
-    found = found.select("node", "shingles", "total").repartition(partitions(docs.sparkSession), "node")
+    found = found.select("node", "shingles", "total", "cells").repartition(partitions(docs.sparkSession), "node")
     sets = stored(found.dropDuplicates(["node"]))
     # First every member against one of its bucket: the one that meets most others in its buckets.
     live = members.join(stored(shared_enough(sets)), "node")
@@ -292,13 +297,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     edges = stored(verified(stars, sets))
     labels = components(live.select("node").distinct(), edges)
     # Then, in buckets that hold more than one class by now, members of different classes; a pair in the
-    # first bucket that it shares.
+    # first bucket that it shares, and only if weights, and cells that hold no less than what two sets
+    # share, leave room for a link.
     told = live.join(labels, "node").select("band", "number", "node", "comp", "total", "most")
     split = told.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    still = stored(told.join(split, "band").join(nodes.select("node", "bands"), "node"))
-    other = still.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "total", "most", "bands")])
+    still = stored(told.join(split, "band").join(nodes.select("node", "bands"), "node").join(sets.select("node", "cells"), "node"))
+    other = still.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "total", "most", "bands", "cells")])
     first = "number = array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) - 1"
-    cross = still.join(other, "band").where(f"comp < comp_b and total_b <= most and total <= most_b and {first}")
+    room = "aggregate(zip_with(cells, cells_b, (x, y) -> least(x, y)), 0d, (s, x) -> s + x)"
+    room = f"{(1 + 1e-4) * (1 + SIMILARITY) / SIMILARITY}d * {room} >= total + total_b"
+    cross = still.join(other, "band").where(f"comp < comp_b and total_b <= most and total <= most_b and {first} and {room}")
     cross = stored(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
     edges = edges.union(verified(cross, sets))
     labels = components(live.select("node").distinct(), edges)
