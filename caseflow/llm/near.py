@@ -28,6 +28,7 @@ IDF_BITS = 18
 SLICES = 16
 SALTS = 16
 PAIRS_IN_A_PLACE = 1000
+ROWS_IN_A_PART = 25_000
 #: Cells that a set's weight is summed in by key, for a bound on what two sets share.
 CELLS = 256
 #: Quantised draws of (r, c, beta): a sample picks one by 16 bits of a hash of the shingle.
@@ -170,7 +171,10 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """n1, n2, the weighted set of every row (48-bit keys in order, then their weights, as bytes), its total weight and its weight by cell."""
+    """node, the weighted set of the text (48-bit keys in order, then their weights, as bytes), its total weight and its weight by cell.
+
+    Rows of text, node, n1, n2; one whose text doesn't have the name (n1, n2) is left out.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = texts_of(batch.column(0))
@@ -184,11 +188,12 @@ def sets_of(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             cell = doc * CELLS + (shingle & U(CELLS - 1)).astype(np.int64)
             cells.append(np.bincount(cell, weight, (last - first) * CELLS).reshape(-1, CELLS))
         names = np.concatenate(names)
-        columns = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary()), pa.array(np.concatenate(total))]
+        same = pa.array((names[:, 0] == np.asarray(batch.column(2))) & (names[:, 1] == np.asarray(batch.column(3))))
+        columns = [batch.column(1), pa.array(sets, pa.binary()), pa.array(np.concatenate(total))]
         columns.append(fixed_list(np.concatenate(cells).astype(np.float32), pa.float32()))
-        return pa.RecordBatch.from_arrays(columns, ["n1", "n2", "shingles", "total", "cells"])
+        return pa.RecordBatch.from_arrays([c.filter(same) for c in columns], ["node", "shingles", "total", "cells"])
 
-    return arrow_pass(docs.select("text"), "n1 bigint, n2 bigint, shingles binary, total double, cells array<float>", work)
+    return arrow_pass(docs.select("text", "node", "n1", "n2"), "node bigint, shingles binary, total double, cells array<float>", work)
 
 
 def opened(shingles: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +238,13 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return shared / (float(weight_a.sum(dtype=np.float64)) + float(weight_b.sum(dtype=np.float64)) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a weighted Jaccard similarity of ``SIMILARITY`` or more."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` short rows in as many partitions as they need, where a session's shuffles have more."""
+    return df.coalesce(max(1, -(-rows // ROWS_IN_A_PART)))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Those of ``n`` pairs (a, b) whose sets have a weighted Jaccard similarity of ``SIMILARITY`` or more."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -242,8 +252,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([c.filter(pa.array(alike)) for c in batch.columns[:2]], ["a", "b"])
 
     # The first node of very many pairs is sent to as many places as it has thousands of them.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_A_PLACE).alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    parts = few(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_A_PLACE).alias("parts")), n)
+    dealt = few(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), n)
     heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     heads = heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     left = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -251,15 +261,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_pass(both.select("a", "b", "of_a", "of_b"), "a bigint, b bigint", work)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and comp, the least node that links lead to: least label of the neighbours, then of the label, until none changes."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = stored(nodes.select("node", F.col("node").alias("comp")))
+def components(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """node and comp, the least node that links lead to: least label of the neighbours, then of the label, until none changes. ``n``: about how many nodes and links there are."""
+    both = stored(few(few(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), n).distinct(), n))
+    labels = stored(few(nodes.select("node", F.col("node").alias("comp")), n))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        heard = few(both.join(labels.select(F.col("node").alias("b"), "comp"), "b"), n).groupBy("a").agg(F.min("comp").alias("near"))
         told = labels.join(heard, labels["node"] == heard["a"], "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        told = stored(few(told, n))
         up = told.select(F.col("node").alias("head"), F.col("comp").alias("above"))
-        jumped = stored(told.join(up, told["comp"] == up["head"], "left").select("node", "old", F.least("comp", "above").alias("comp")))
+        jumped = stored(few(told.join(up, told["comp"] == up["head"], "left").select("node", "old", F.least("comp", "above").alias("comp")), n))
         labels = jumped.select("node", "comp")
         if jumped.where("comp <> old").isEmpty():
             return labels
@@ -269,51 +280,56 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and class_key of every row of ``docs`` (doc_id, text); see ``near_duplicates``."""
     idf = word_idf(docs)
     rows = stored(signed(docs, idf))
+    total = rows.count()
     # One node for each word sequence; copies meet in the aggregate and go no further.
-    named = rows.groupBy("n1", "n2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    nodes = stored(named.withColumn("node", F.monotonically_increasing_id()))
+    one = F.min(F.struct("doc_id", "text_key")).alias("one")
+    named = rows.groupBy("n1", "n2").agg(one, F.first("bands").alias("bands"))
+    nodes = stored(few(named, total).withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.posexplode("bands").alias("number", "band")).withColumn("salt", F.pmod("node", F.lit(SALTS)))
     shared = keyed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     # A large bucket is dealt over salts.
-    spread = shared.select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = stored(keyed.join(spread, ["band", "salt"]).select("band", "number", "node"))
-    sought = stored(members.select("node").distinct().join(nodes.select("node", "n1", "n2", "first_id"), "node"))
-    ids = sought.select("first_id").distinct()
-    again = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    found = sets_of(again, idf).join(sought.select("node", "n1", "n2"), ["n1", "n2"])
+    spread = few(shared, BANDS * total).select("band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = stored(few(keyed.join(spread, ["band", "salt"]).select("band", "number", "node"), BANDS * total))
+    n = members.count()
+    sought = few(members.select("node").distinct(), n).join(nodes.select("node", "n1", "n2", "one.*"), "node")
+    sought = stored(few(sought, n).select("node", "n1", "n2", F.col("doc_id").alias("one_id"), F.col("text_key").alias("one_key")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    same = texts["doc_id"].eqNullSafe(sought["one_id"]) & (texts["text_key"] == sought["one_key"])
     # Dealt out by node once: the joins that follow bring their pairs here and leave the sets where they are.
-    found = found.select("node", "shingles", "total", "cells").repartition(partitions(docs.sparkSession), "node")
+    found = sets_of(texts.join(sought, same), idf).repartition(partitions(docs.sparkSession), "node")
     sets = stored(found.dropDuplicates(["node"]))
     # First every member against one of its bucket: the one that meets most others in its buckets.
-    live = members.join(stored(shared_enough(sets)), "node")
+    live = few(members.join(stored(few(shared_enough(sets), n)), "node"), n)
     sizes = live.groupBy("band").agg((F.count(F.lit(1)) - 1).alias("others"), F.min("total").alias("least")).where("others > 0")
     # A member that even the lightest of its bucket is too heavy for has no link there.
-    live = stored(live.join(sizes, "band").where("most >= least").drop("least"))
-    met = live.groupBy("node").agg(F.sum("others").alias("met"))
+    live = stored(few(live.join(sizes, "band").where("most >= least").drop("least"), n))
+    met = few(live.groupBy("node").agg(F.sum("others").alias("met")), n)
     best = F.max(F.struct("met", "node"))["node"].alias("pivot")
-    pivots = live.join(met, "node").groupBy("band").agg(best)
-    stars = live.join(pivots, "band").where("node <> pivot")
-    stars = stored(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    edges = stored(verified(stars, sets))
-    labels = components(live.select("node").distinct(), edges)
+    pivots = few(live.join(met, "node"), n).groupBy("band").agg(best)
+    stars = few(live.join(pivots, "band").where("node <> pivot"), n)
+    stars = stored(few(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), n))
+    edges = stored(few(verified(stars, sets, n), n))
+    heads = stored(few(live.select("node").distinct(), n))
+    labels = components(heads, edges, n)
     # Then, in buckets that hold more than one class by now, members of different classes; a pair in the
     # first bucket that it shares, and only if weights, and cells that hold no less than what two sets
     # share, leave room for a link.
-    told = live.join(labels, "node").select("band", "number", "node", "comp", "total", "most")
+    told = few(live.join(labels, "node").select("band", "number", "node", "comp", "total", "most"), n)
     split = told.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    still = stored(told.join(split, "band").join(nodes.select("node", "bands"), "node").join(sets.select("node", "cells"), "node"))
+    still = few(told.join(split, "band"), n).join(nodes.select("node", "bands"), "node")
+    still = stored(few(still.join(sets.select("node", "cells"), "node"), n))
     other = still.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "total", "most", "bands", "cells")])
     first = "number = array_position(zip_with(bands, bands_b, (x, y) -> x = y), true) - 1"
     room = "aggregate(zip_with(cells, cells_b, (x, y) -> least(x, y)), 0d, (s, x) -> s + x)"
     room = f"{(1 + 1e-4) * (1 + SIMILARITY) / SIMILARITY}d * {room} >= total + total_b"
     cross = still.join(other, "band").where(f"comp < comp_b and total_b <= most and total <= most_b and {first} and {room}")
-    cross = stored(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
-    edges = edges.union(verified(cross, sets))
-    labels = components(live.select("node").distinct(), edges)
+    cross = stored(few(cross.select(F.col("node").alias("a"), F.col("node_b").alias("b")), n))
+    edges = few(edges.union(verified(cross, sets, n)), n)
+    labels = components(heads, edges, n)
     classes = nodes.select("n1", "n2", "node").join(labels, "node", "left").select("n1", "n2", F.coalesce("comp", "node").alias("class_key"))
-    classes = classes.select(F.expr("n1 ^ 0L").alias("m1"), F.expr("n2 ^ 0L").alias("m2"), "class_key")
-    same = (rows["n1"] == classes["m1"]) & (rows["n2"] == classes["m2"])
-    return rows.select("doc_id", "text_key", "n1", "n2").join(classes, same).select("doc_id", "text_key", "class_key")
+    classes = few(classes, total).select(F.expr("n1 ^ 0L").alias("m1"), F.expr("n2 ^ 0L").alias("m2"), "class_key")
+    alike = (rows["n1"] == classes["m1"]) & (rows["n2"] == classes["m2"])
+    return rows.select("doc_id", "text_key", "n1", "n2").join(classes, alike).select("doc_id", "text_key", "class_key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
