@@ -31,7 +31,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": _on_documents(packing.packed_documents),
     "op5_source_mixing": _on_documents(mixture.source_mix),
     "op6_line_dedup": _on_documents(templates.line_dedup),
-    "op7_substring_dedup": _on_documents(substrings.removed_runs),
+    "op7_substring_dedup": _on_documents(substrings.removed_spans),
     "op8_exact_dedup": _on_documents(exact.exact_duplicates),
     "op9_language_id": _on_documents(langid.languages),
     "op10_token_counts": _on_documents(tokens.token_counts),

@@ -4,10 +4,16 @@ A unit is a line or a part of one: it also ends after a word that ends in a full
 question mark, and before a word with a capital that follows a word without one. So a passage that was
 set into another document's line is found by its own units. Units are normalised to small letters and
 single blanks, and grouped over all documents by a 128-bit digest.
+
+A passage is any ``LONG_RUN`` words in a row, wherever they start. Documents agree on some of their
+windows of ``SEED`` words (the one of least hash among those of a passage), so passages are hashed and
+grouped only where such a seed repeats.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +30,8 @@ LEAST_UNIT = 5
 LEAST_RUN, LEAST_SOLID = 20, 10
 #: A run of so many words goes whatever its units are.
 LONG_RUN = 50
+#: Words of a seed; every passage of LONG_RUN words holds a seed that depends on nothing but its words.
+SEED = 25
 
 _END = _lookup(lambda b: chr(b) in ".!?")
 _CAPITAL = _lookup(lambda b: 0x41 <= b <= 0x5A)
@@ -57,7 +65,7 @@ def units(docs: DataFrame) -> DataFrame:
     """A row for every unit of every whole text.
 
     h1, h2: digest; rank: doc_id, a missing one as the largest number; name: hash of the text; place:
-    number of the unit and its words (32 bits each); span: start and end in code points (32 bits each).
+    first word of the unit and its words (32 bits each); span: start and end in code points (32 bits each).
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -72,10 +80,9 @@ def units(docs: DataFrame) -> DataFrame:
             doc = np.searchsorted(bounds, first, "right") - 1
             chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
             from_doc = chars[at[:-1]][doc]
-            number = np.arange(len(first)) - np.searchsorted(doc, doc)
             names = bytescan.hash_spans(part, at[:-1], at[1:])
             span = ((chars[starts[first]] - from_doc) << 32) | (chars[ends[last - 1]] - from_doc)
-            for column, values in zip(out, (h1.view(np.int64), h2.view(np.int64), ids[begin:stop][doc], names.view(np.int64)[doc], (number << 32) | (last - first), span)):
+            for column, values in zip(out, (h1.view(np.int64), h2.view(np.int64), ids[begin:stop][doc], names.view(np.int64)[doc], ((first - bounds[:-1][doc]) << 32) | (last - first), span)):
                 column.append(values)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h1", "h2", "rank", "name", "place", "span"])
 
@@ -83,28 +90,36 @@ def units(docs: DataFrame) -> DataFrame:
     return arrow_pass(rows, UNITS, work)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """The runs of units to remove: rank, name, start, end (code points), words, units, first_rank (least that keeps a unit of it).
+def _later(rows: DataFrame) -> DataFrame:
+    """The rows whose digest occurred before, with the first rank that has it and, in a text that has it first, the place there.
 
     Digests are counted with a combine before the shuffle; the join that brings the counts back has
-    plain shuffles on both sides, so a digest of very many units is split at run time.
+    plain shuffles on both sides, so a digest of very many rows is split at run time.
     """
-    all_units = units(docs)
-    groups = all_units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank")).where("n > 1")
+    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank")).where("n > 1")
     again = groups.select(F.expr("h1 ^ 0L").alias("g1"), F.expr("h2 ^ 0L").alias("g2"), "first_rank")
-    found = all_units.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    found = rows.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     found = stored(found.select("h1", "h2", "rank", "name", "place", "span", "first_rank").distinct())
-    # Units of the first document repeat within it at most.
+    # Rows of the first document repeat within it at most.
     same = Window.partitionBy("h1", "h2", "rank").orderBy("name", "place")
-    inside = found.where("rank = first_rank").withColumn("k", F.row_number().over(same)).where("k > 1").drop("k")
-    later = found.where("rank > first_rank").union(inside)
-    later = later.select("rank", "first_rank", "name", F.shiftright("place", 32).alias("unit"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
-    of_doc = Window.partitionBy("rank", "name").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(of_doc))
+    inside = found.where("rank = first_rank").withColumn("k", F.row_number().over(same))
+    at = F.when(F.first("name").over(same) == F.col("name"), F.first("place").over(same))
+    inside = inside.withColumn("first_place", at).where("k > 1").drop("k")
+    return found.where("rank > first_rank").withColumn("first_place", F.lit(None).cast("bigint")).union(inside)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The runs of units to remove: rank, name, start, end (code points), first word, words, units, first_rank (least that keeps a unit of it)."""
+    later = _later(units(docs))
+    later = later.select("rank", "first_rank", "name", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
+    # Neighbours have as many words before them that go as stand before them, less what stands before the run.
+    before = Window.partitionBy("rank", "name").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    runs = later.withColumn("run", F.col("first") - F.coalesce(F.sum("words").over(before), F.lit(0)))
     solid = F.sum(F.when(F.col("words") >= LEAST_UNIT, F.col("words")).otherwise(0))
     out = runs.groupBy("rank", "name", "run").agg(
         F.min(F.shiftright("span", 32)).alias("start"),
         F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"),
+        F.min("first").alias("first"),
         F.sum("words").alias("words"),
         F.count(F.lit(1)).alias("units"),
         F.min("first_rank").alias("first_rank"),
@@ -114,19 +129,148 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return out.where(enough).drop("solid", "run")
 
 
-def removed_runs(docs: DataFrame) -> DataFrame:
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of every ``width`` values in a row is; of equal ones the last."""
+    value, at, have = values, np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        n = len(value) - step
+        right = value[step:] <= value[:n]
+        value, at = np.where(right, value[step:], value[:n]), np.where(right, at[step:], at[:n])
+        have += step
+    return at
+
+
+def _seeded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words (starts, ends, before each document, hashes); first words of all passages, documents and seeds (first words) of these; hashes of the seeds by first word."""
+    starts, ends, bounds = bytescan.spans(data, offsets, bytescan.SOLID)
+    words = bytescan.hash_spans(data, starts, ends, bytescan.SMALL)
+    n = len(words)
+    if n < LONG_RUN:
+        none = np.zeros(0, np.int64)
+        return starts, ends, bounds, words, none, none, none, np.zeros(0, U)
+    first = np.arange(n - SEED + 1)
+    hashes = bytescan.fold_runs(words, first, first + SEED)
+    at = _least(hashes, LONG_RUN - SEED + 1)
+    passage = np.arange(len(at))
+    doc = np.searchsorted(bounds, passage, "right") - 1
+    whole = passage + LONG_RUN <= bounds[1:][doc]
+    return starts, ends, bounds, words, passage[whole], doc[whole], at[whole], hashes
+
+
+def _keys(ids: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return bytescan.mixed(names + bytescan.mixed(ids.astype(np.int64).view(U) + U(1))).view(np.int64)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """A row, as ``units`` has them, for every passage whose seed repeats; each once for rows that repeat doc_id and text."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("rank"), text_of().alias("text"))
+
+    def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = texts_of(batch.column(1))
+        ids = np.asarray(batch.column(0))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for begin, stop, part, at in pieces(data, offsets):
+            _, _, bounds, _, _, doc, seed, hashes = _seeded(part, at)
+            fresh = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else seed
+            keys = _keys(ids[begin:stop], bytescan.hash_spans(part, at[:-1], at[1:]))
+            doc, seed = doc[fresh], seed[fresh]
+            for column, values in zip(out, (hashes[seed].view(np.int64), keys[doc], seed - bounds[:-1][doc])):
+                column.append(values)
+        h, key, seed = map(np.concatenate, out)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(seed.astype(np.int32))], ["h", "key", "seed"])
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = texts_of(batch.column(1))
+        name = np.concatenate([np.zeros(0, U), *(bytescan.hash_spans(part, at[:-1], at[1:]) for _, _, part, at in pieces(data, offsets))])
+        return pa.RecordBatch.from_arrays([pa.array(_keys(np.asarray(batch.column(0)), name)), *batch.columns], ["key", "rank", "text"])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = texts_of(batch.column(1))
+        ids, marks = np.asarray(batch.column(0)), batch.column(2)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+        for begin, stop, part, at in pieces(data, offsets):
+            starts, ends, bounds, words, passage, doc, seed, _ = _seeded(part, at)
+            mark = marks.slice(begin, stop - begin)
+            marked = np.zeros(len(words) + 1, bool)
+            marked[mark.flatten().to_numpy() + np.repeat(bounds[:-1], mark.value_lengths().to_numpy())] = True
+            keep = marked[seed]
+            passage, doc = passage[keep], doc[keep]
+            h1, h2 = (bytescan.fold_runs(words, passage, passage + LONG_RUN, base) for base in (0, 1))
+            chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
+            from_doc = chars[at[:-1]][doc]
+            names = bytescan.hash_spans(part, at[:-1], at[1:])
+            span = ((chars[starts[passage]] - from_doc) << 32) | (chars[ends[passage + LONG_RUN - 1]] - from_doc)
+            for column, values in zip(out, (h1.view(np.int64), h2.view(np.int64), ids[begin:stop][doc], names.view(np.int64)[doc], ((passage - bounds[:-1][doc]) << 32) | LONG_RUN, span)):
+                column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h1", "h2", "rank", "name", "place", "span"])
+
+    all_seeds = arrow_pass(rows, "h bigint, key bigint, seed int", seeds)
+    again = all_seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.expr("h ^ 0L").alias("g"))
+    marks = all_seeds.join(again, F.col("h") == F.col("g")).groupBy("key").agg(F.collect_set("seed").alias("seeds"))
+    marks = marks.select(F.expr("key ^ 0L").alias("of_key"), "seeds")
+    texts = arrow_pass(rows, "key bigint, rank bigint, text string", keyed)
+    both = texts.join(marks, texts["key"] == marks["of_key"]).select("rank", "text", "seeds")
+    return stored(arrow_pass(both, UNITS, work))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """What is to be removed, as ``repeated_runs`` has it: the words of its runs and of every passage that occurred before.
+
+    Of one text, a passage goes that does not overlap the first occurrence. Spans that overlap or touch
+    are one; ``units`` counts the units of its runs, so it is 0 for a passage that holds none.
+    """
+    word = lambda c: F.shiftright(c, 32)
+    apart = F.col("first_place").isNull() | (word("place") >= word("first_place") + LONG_RUN)
+    later = _later(passages(docs)).where(apart)
+    low = F.col("span").bitwiseAND(0xFFFFFFFF)
+    parts = later.select("rank", "name", F.struct(word("place").alias("first"), F.lit(LONG_RUN).cast("bigint").alias("words"), word("span").alias("start"), low.alias("end"), F.lit(0).cast("bigint").alias("units"), "first_rank").alias("part"))
+    runs = repeated_runs(docs).select("rank", "name", F.struct("first", "words", "start", "end", "units", "first_rank").alias("part"))
+    by_doc = runs.union(parts).groupBy("rank", "name").agg(F.collect_list("part").alias("parts"))
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(2)
+        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        first, words, start, end, units_, rank = (c.to_numpy() for c in lists.flatten().flatten())
+        order = np.lexsort((first, doc))
+        doc, first, words, start, end, units_, rank = (x[order] for x in (doc, first, words, start, end, units_, rank))
+        base = doc << 32
+        reach = np.maximum.accumulate(base + first + words)
+        fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | ((base + first)[1:] > reach[:-1])]))
+        last = np.append(fresh[1:], len(doc)) - 1
+        columns = [
+            np.asarray(batch.column(0))[doc[fresh]],
+            np.asarray(batch.column(1))[doc[fresh]],
+            np.minimum.reduceat(start, fresh),
+            np.maximum.reduceat(end, fresh),
+            first[fresh],
+            reach[last] - (base + first)[fresh],
+            np.add.reduceat(units_, fresh),
+            np.minimum.reduceat(rank, fresh),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "name", "start", "end", "first", "words", "units", "first_rank"])
+
+    return arrow_pass(by_doc, "rank bigint, name bigint, start bigint, end bigint, first bigint, words bigint, units bigint, first_rank bigint", merge)
+
+
+def removed_runs(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = repeated_runs) -> DataFrame:
     """One row for every run of units that goes: doc_id, start, end (code points), words, units, kept_doc_id.
 
     kept_doc_id is the smallest doc_id that keeps a unit of the run, the document itself where it
     repeats itself. Which units go is said in ``substring_duplicates``; documents that lose nothing have
-    no row.
+    no row. With ``find=repeated_spans`` repeated passages go too.
     """
-    told = repeated_runs(docs)
+    told = find(docs)
     back = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
     return told.select(back("rank").alias("doc_id"), "start", "end", "words", "units", back("first_rank").alias("kept_doc_id"))
 
 
-def substring_duplicates(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """``removed_runs`` with every repeated passage of ``LONG_RUN`` words, wherever it starts."""
+    return removed_runs(docs, repeated_spans)
+
+
+def substring_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = repeated_runs) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, removed (spans start, end, words in code points, in order), removed_chars, removed_words.
 
     A unit goes if it occurred before: in a document of smaller doc_id (missing ones come last, of equal
@@ -134,10 +278,11 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
     neighbouring units with at least ``LEAST_RUN`` words, ``LEAST_SOLID`` of them in units of
     ``LEAST_UNIT`` words or more, or with ``LONG_RUN`` words in any units. Rows that repeat doc_id and
     text are one document. Missing and empty texts have no unit. Other columns are not read. No rows
-    in, no rows out.
+    in, no rows out. With ``find=repeated_spans`` every passage of ``LONG_RUN`` words that occurred
+    before goes too, wherever it starts.
     """
     span = F.struct("start", "end", "words")
-    spans = repeated_runs(docs).groupBy("rank", "name").agg(F.array_sort(F.collect_list(span)).alias("removed"))
+    spans = find(docs).groupBy("rank", "name").agg(F.array_sort(F.collect_list(span)).alias("removed"))
     spans = spans.select(F.col("rank").alias("of_rank"), F.col("name").alias("of_name"), "removed")
     rows = named(docs)
     both = rows.join(spans, (rows["rank"] == spans["of_rank"]) & (rows["name"] == spans["of_name"]), "left")

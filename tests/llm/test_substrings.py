@@ -65,3 +65,56 @@ def test_passage_inside_other_lines_goes_once(spark):
     clean = docs.join(got.select("doc_id", "removed"), "doc_id").select("doc_id", substrings.without_spans("text", "removed").alias("t"))
     texts = {r.doc_id: r.t for r in clean.collect()}
     assert texts[3] == rows[3][1].replace(passage, "") and texts[0] == rows[0][1]
+
+
+def brute_passages(rows, n):
+    """Per document which words are in a passage that occurred before."""
+    texts = sorted({(d is None, d or 0, t or "") for d, t in rows})
+    small = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    first, out = {}, {}
+    for key in texts:
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", key[2])]
+        same = [small(key[2][s:e]) for s, e in words]
+        gone = set()
+        for i in range(len(words) - n + 1):
+            kept, at = first.setdefault(tuple(same[i : i + n]), (key, i))
+            if kept != key or i >= at + n:
+                gone.update(range(i, i + n))
+        out[key] = words, gone
+    return out
+
+
+def test_passages_like_brute_force(documents, odd, none):
+    for docs in (documents, odd):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        plain, whole = brute(rows), brute_passages(rows, substrings.LONG_RUN)
+        expected = set()
+        for d, spans, _ in plain:
+            for t in {t or "" for e, t in rows if e == d}:
+                words, gone = whole[(d is None, d or 0, t)]
+                if (d, spans, len(t)) not in plain:
+                    continue
+                gone = gone | {k for k, (s, e) in enumerate(words) for a, b, _ in spans if a <= s and e <= b}
+                runs = []
+                for k in sorted(gone):
+                    if runs and runs[-1][1] == k - 1:
+                        runs[-1][1] = k
+                    else:
+                        runs.append([k, k])
+                expected |= {(d, words[a][0], words[b][1], b - a + 1) for a, b in runs}
+        got = substrings.removed_spans(docs).collect()
+        assert {(r.doc_id, r.start, r.end, r.words) for r in got} == expected
+        assert len(got) == len(expected)
+    assert substrings.removed_spans(none).count() == 0
+
+
+def test_passage_set_mid_line_goes(spark):
+    word = lambda k, i: "".join(chr(97 + (k * 7919 + i * 104729) // 26**j % 26) for j in range(5))
+    passage = " ".join(word(1, i) for i in range(60))
+    rows = [(i, " ".join(word(1000 + i, j) for j in range(30)) + f" {passage} " + " ".join(word(2000 + i, j) for j in range(30))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in substrings.removed_spans(docs).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert all(rows[i][1][got[i].start : got[i].end] == passage and got[i].kept_doc_id == 0 for i in got)
+    twice = spark.createDataFrame([(1, f"{passage} then {passage}")], "doc_id bigint, text string")
+    assert [(r.start, r.words) for r in substrings.removed_spans(twice).collect()] == [(len(passage) + 6, 60)]
