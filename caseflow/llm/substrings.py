@@ -108,14 +108,15 @@ def _later(rows: DataFrame) -> DataFrame:
     return found.where("rank > first_rank").withColumn("first_place", F.lit(None).cast("bigint")).union(inside)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """The runs of units to remove: rank, name, start, end (code points), first word, words, units, first_rank (least that keeps a unit of it)."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """All runs of units that occurred before, as ``repeated_runs`` has them; ``enough``: long enough to go; ``alone``: else its units of ``LEAST_UNIT`` words."""
     later = _later(units(docs))
     later = later.select("rank", "first_rank", "name", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
     # Neighbours have as many words before them that go as stand before them, less what stands before the run.
     before = Window.partitionBy("rank", "name").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     runs = later.withColumn("run", F.col("first") - F.coalesce(F.sum("words").over(before), F.lit(0)))
     solid = F.sum(F.when(F.col("words") >= LEAST_UNIT, F.col("words")).otherwise(0))
+    one = F.struct(F.col("first"), F.col("words"), F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("end"), F.lit(1).cast("bigint").alias("units"), "first_rank")
     out = runs.groupBy("rank", "name", "run").agg(
         F.min(F.shiftright("span", 32)).alias("start"),
         F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"),
@@ -124,9 +125,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("units"),
         F.min("first_rank").alias("first_rank"),
         solid.alias("solid"),
+        F.collect_list(F.when(F.col("words") >= LEAST_UNIT, one)).alias("alone"),
     )
     enough = (F.col("words") >= LEAST_RUN) & (F.col("solid") >= LEAST_SOLID) | (F.col("words") >= LONG_RUN)
-    return out.where(enough).drop("solid", "run")
+    return out.withColumn("enough", enough).drop("solid", "run")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The runs of units to remove: rank, name, start, end (code points), first word, words, units, first_rank (least that keeps a unit of it)."""
+    return _runs(docs).where("enough").drop("enough", "alone")
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -215,17 +222,18 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """What is to be removed, as ``repeated_runs`` has it: the words of its runs and of every passage that occurred before.
+    """What is to be removed, as ``repeated_runs`` has it: its runs, every unit of ``LEAST_UNIT`` words and every passage that occurred before.
 
     Of one text, a passage goes that does not overlap the first occurrence. Spans that overlap or touch
-    are one; ``units`` counts the units of its runs, so it is 0 for a passage that holds none.
+    are one; ``units`` counts the units that go as such, so it is 0 for a passage that holds none.
     """
     word = lambda c: F.shiftright(c, 32)
     apart = F.col("first_place").isNull() | (word("place") >= word("first_place") + LONG_RUN)
     later = _later(passages(docs)).where(apart)
     low = F.col("span").bitwiseAND(0xFFFFFFFF)
     parts = later.select("rank", "name", F.struct(word("place").alias("first"), F.lit(LONG_RUN).cast("bigint").alias("words"), word("span").alias("start"), low.alias("end"), F.lit(0).cast("bigint").alias("units"), "first_rank").alias("part"))
-    runs = repeated_runs(docs).select("rank", "name", F.struct("first", "words", "start", "end", "units", "first_rank").alias("part"))
+    whole = F.array(F.struct("first", "words", "start", "end", "units", "first_rank"))
+    runs = _runs(docs).select("rank", "name", F.explode(F.when(F.col("enough"), whole).otherwise(F.col("alone"))).alias("part"))
     by_doc = runs.union(parts).groupBy("rank", "name").agg(F.collect_list("part").alias("parts"))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,7 +266,7 @@ def removed_runs(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = repea
 
     kept_doc_id is the smallest doc_id that keeps a unit of the run, the document itself where it
     repeats itself. Which units go is said in ``substring_duplicates``; documents that lose nothing have
-    no row. With ``find=repeated_spans`` repeated passages go too.
+    no row. With ``find=repeated_spans`` single units and repeated passages go too.
     """
     told = find(docs)
     back = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
@@ -266,7 +274,7 @@ def removed_runs(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = repea
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """``removed_runs`` with every repeated passage of ``LONG_RUN`` words, wherever it starts."""
+    """``removed_runs`` with every repeated unit of ``LEAST_UNIT`` words and every repeated passage of ``LONG_RUN`` words, wherever it starts."""
     return removed_runs(docs, repeated_spans)
 
 
@@ -278,8 +286,8 @@ def substring_duplicates(docs: DataFrame, find: Callable[[DataFrame], DataFrame]
     neighbouring units with at least ``LEAST_RUN`` words, ``LEAST_SOLID`` of them in units of
     ``LEAST_UNIT`` words or more, or with ``LONG_RUN`` words in any units. Rows that repeat doc_id and
     text are one document. Missing and empty texts have no unit. Other columns are not read. No rows
-    in, no rows out. With ``find=repeated_spans`` every passage of ``LONG_RUN`` words that occurred
-    before goes too, wherever it starts.
+    in, no rows out. With ``find=repeated_spans`` a unit of ``LEAST_UNIT`` words goes on its own, and
+    every passage of ``LONG_RUN`` words that occurred before goes too, wherever it starts.
     """
     span = F.struct("start", "end", "words")
     spans = find(docs).groupBy("rank", "name").agg(F.array_sort(F.collect_list(span)).alias("removed"))

@@ -84,9 +84,23 @@ def brute_passages(rows, n):
     return out
 
 
+def brute_units(rows):
+    """Per document which words are in a unit of LEAST_UNIT words that occurred before."""
+    seen, out = set(), {}
+    for key in sorted({(d is None, d or 0, t or "") for d, t in rows}):
+        at, out[key] = 0, set()
+        for _, _, u in units(key[2]):
+            if u in seen and len(u) >= substrings.LEAST_UNIT:
+                out[key].update(range(at, at + len(u)))
+            seen.add(u)
+            at += len(u)
+    return out
+
+
 def test_passages_like_brute_force(documents, odd, none):
     for docs in (documents, odd):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        later_units = brute_units(rows)
         plain, whole = brute(rows), brute_passages(rows, substrings.LONG_RUN)
         expected = set()
         for d, spans, _ in plain:
@@ -94,7 +108,7 @@ def test_passages_like_brute_force(documents, odd, none):
                 words, gone = whole[(d is None, d or 0, t)]
                 if (d, spans, len(t)) not in plain:
                     continue
-                gone = gone | {k for k, (s, e) in enumerate(words) for a, b, _ in spans if a <= s and e <= b}
+                gone = gone | later_units[(d is None, d or 0, t)] | {k for k, (s, e) in enumerate(words) for a, b, _ in spans if a <= s and e <= b}
                 runs = []
                 for k in sorted(gone):
                     if runs and runs[-1][1] == k - 1:
@@ -118,3 +132,11 @@ def test_passage_set_mid_line_goes(spark):
     assert all(rows[i][1][got[i].start : got[i].end] == passage and got[i].kept_doc_id == 0 for i in got)
     twice = spark.createDataFrame([(1, f"{passage} then {passage}")], "doc_id bigint, text string")
     assert [(r.start, r.words) for r in substrings.removed_spans(twice).collect()] == [(len(passage) + 6, 60)]
+
+
+def test_line_that_recurs_alone_goes(spark):
+    line = "released under the very same seven words"
+    rows = [(i, f"{sentence(50 + i, 12)}\n{line}\nback {i}\nto top") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = substrings.removed_spans(docs).collect()
+    assert sorted((r.doc_id, rows[r.doc_id][1][r.start : r.end], r.units, r.kept_doc_id) for r in got) == [(i, line, 1, 0) for i in range(1, 5)]
