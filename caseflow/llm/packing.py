@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,18 +18,19 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 ATTENTION = 65536
 PIECES_IN_A_SHARD = 50_000
-#: How many remaining pieces are tried to fill a bin of each size before the cheapest is opened.
-LOOK_AHEAD = 32
+#: Steps after which a plain search for the fill of a bin has ended: no bin holds more pieces than tokens.
+LOOK_AHEAD = max(CAPACITIES)
 
 
 def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of every size (largest first), and the capacity of every bin.
 
     A piece goes where it leaves the least room. If it fits nowhere, each permitted length is tried
-    with the largest remaining pieces that still fit, and the one that costs least a token is opened;
+    with all the largest remaining pieces that still fit, and the one that costs least a token is opened;
     ties go to the shorter. In the end every bin shrinks to the least length that holds its contents.
     """
     rising = sizes[::-1]
+    below = [0, *accumulate(rising)]
     bins, offsets, used, opened = [], [], [], []
     rooms: list[int] = []
     by_room: dict[int, list[int]] = {}
@@ -53,11 +55,10 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tupl
                 if capacity < size:
                     continue
                 gap, high = capacity - size, len(sizes) - i - 1
-                for _ in range(LOOK_AHEAD):
-                    high = bisect_right(rising, gap, 0, high) - 1
-                    if high < 0 or rising[high] <= 0:
-                        break
-                    gap -= rising[high]
+                # Neighbours that fit together are one step, and each step leaves less than half of the gap.
+                while gap > 0 and (top := bisect_right(rising, gap, 0, high)) > 0:
+                    high = bisect_left(below, below[top] - gap, 0, top)
+                    gap -= below[top] - below[high]
                 price = (OVERHEAD + capacity + capacity * capacity / ATTENTION) / (capacity - gap)
                 if least is None or price < least:
                     least, best = price, capacity

@@ -81,3 +81,11 @@ def test_shards_hold_a_bounded_number(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("id % 3 as doc_id", "1 + id % 700 as length")  # repeated identifiers
     got = packing.packed(rows).collect()
     assert len(got) == 1000 and len({r.bin_id >> 32 for r in got}) > 10
+
+
+def test_small_pieces_open_the_cheapest_length():
+    for size in (8, 16, 30):
+        _, _, opened = packing.best_fit([size] * 4096)
+        fill = {c: c // size * size for c in packing.CAPACITIES}
+        cheapest = min(packing.CAPACITIES, key=lambda c: (packing.OVERHEAD + c + c * c / packing.ATTENTION) / fill[c])
+        assert cheapest == 1024 and set(opened[:-1]) == {cheapest}
