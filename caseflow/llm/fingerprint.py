@@ -5,7 +5,7 @@ paragraphs may come in any order and be added or removed later. A paragraph's ve
 
 - 16 lanes modulo 2^64 hashed from the whole paragraph, which make fingerprints of unequal multisets
   differ;
-- 128 lanes modulo 2^16 in which every three words in a row of the paragraph add plus or minus one
+- 128 lanes modulo 2^32 in which every three words in a row of the paragraph add plus or minus one
   to one lane. The squared length of a difference of such sums estimates how many word triples
   differ, which gives a likeness without the texts.
 """
@@ -31,11 +31,11 @@ TRIPLE = 3
 
 
 def fingerprints(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Both parts for every text: uint64[n, HASH_LANES] and uint16[n, SKETCH_LANES]."""
+    """Both parts for every text: uint64[n, HASH_LANES] and uint32[n, SKETCH_LANES]."""
     column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
     data, offsets = texts_of(column)
     wide = np.zeros((len(offsets) - 1, HASH_LANES), U)
-    sketch = np.zeros((len(offsets) - 1, SKETCH_LANES), np.uint16)
+    sketch = np.zeros((len(offsets) - 1, SKETCH_LANES), np.uint32)
     for first, last, part, at in pieces(data, offsets):
         wide[first:last], sketch[first:last] = _of_piece(part, at)
     return wide, sketch
@@ -69,7 +69,7 @@ def _of_piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     lane = (triple >> U(57)).astype(np.int64) + owner[paragraph] * SKETCH_LANES
     sign = np.where(triple & U(1), 1.0, -1.0)
     sums = np.bincount(lane, sign, n * SKETCH_LANES).reshape(n, SKETCH_LANES)
-    return wide, sums.astype(np.int64).astype(np.uint16)
+    return wide, sums.astype(np.int64).astype(np.uint32)
 
 
 def encoded(wide: np.ndarray, sketch: np.ndarray) -> list[str]:
@@ -81,7 +81,7 @@ def encoded(wide: np.ndarray, sketch: np.ndarray) -> list[str]:
 def decoded(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(map(base64.b64decode, prints)), np.uint8).reshape(len(prints), -1)
     cut = HASH_LANES * 8
-    return np.ascontiguousarray(raw[:, :cut]).view(U), np.ascontiguousarray(raw[:, cut:]).view(np.uint16)
+    return np.ascontiguousarray(raw[:, :cut]).view(U), np.ascontiguousarray(raw[:, cut:]).view(np.uint32)
 
 
 def added(print_a: str, print_b: str) -> str:
@@ -98,7 +98,7 @@ def removed(print_a: str, print_b: str) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How alike fingerprints are, 0 to 1, row by row: shared word triples over all, as estimated; 1 where equal."""
-    length = lambda x: np.square(x.astype(np.int16).astype(np.float64)).sum(axis=1)
+    length = lambda x: np.square(x.astype(np.int32).astype(np.float64)).sum(axis=1)
     left, right, apart = length(a[1]), length(b[1]), length(a[1] - b[1])
     shared = (left + right - apart) / 2
     union = left + right - shared

@@ -58,3 +58,11 @@ def test_edited_texts_are_likelier_than_next_ones(documents):
     rows = fp.with_edits(documents).collect()
     mean = lambda k: np.mean([r[k] for r in rows])
     assert mean("near_edited") > 0.25 and mean("near_next") < 0.1
+
+
+def test_likeness_of_very_many_equal_triples():
+    for n in (60_000, 80_000):
+        whole, part = (fp.fingerprints(["w " * k]) for k in (n + 2, n // 2 + 2))
+        # Lengths n and n / 2 in one lane: shared n^2 / 2 over 3 n^2 / 4.
+        assert abs(fp.likeness(whole, part)[0] - 2 / 3) < 0.001
+        assert abs(fp.likeness(*(fp.decoded(fp.encoded(*x)) for x in (whole, part)))[0] - 2 / 3) < 0.001
