@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact, fingerprint, langid, mixture, near, packing, quality, substrings, templates, tokens
+from caseflow.llm import crf, exact, fingerprint, langid, mixture, near, packing, quality, search, spelling, substrings, templates, tokens
 from caseflow.llm.common import reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(reachable(spark), folder, "documents"), table(spark, folder, "labels"))
 
 
+def _rules(spark: SparkSession, folder: str) -> DataFrame:
+    return crf.quality_rules(table(reachable(spark), folder, "documents"), table(spark, folder, "labels"))
+
+
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(table(reachable(spark), folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def _near(docs: DataFrame) -> DataFrame:
     return near.near_duplicates(docs).drop("text_key")
 
@@ -35,6 +43,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": _on_documents(exact.exact_duplicates),
     "op9_language_id": _on_documents(langid.languages),
     "op10_token_counts": _on_documents(tokens.token_counts),
+    "op11_line_rules": _rules,
+    "op12_ranked_search": _ranked,
+    "op13_spelling_variants": _on_documents(spelling.spelling_variants),
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -69,4 +80,17 @@ q AS (SELECT d.doc_id, d.size, coalesce(p.source_size, 0) AS source_size, coales
   FROM d LEFT JOIN p ON p.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
   CAST(coalesce(whole * size + least(size, greatest(more - before, 0)), 0) AS BIGINT) AS taken FROM q""",
+    "op12_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+i AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM benchmark),
+size AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(found)) AS BIGINT) AS words FROM d WHERE len(found) > 0),
+asked AS (SELECT DISTINCT item_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM (SELECT item_id, unnest(found) AS term FROM i)),
+held AS (SELECT row, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row, unnest(found) AS term FROM d) GROUP BY 1, 2),
+weight AS (SELECT term, CAST(floor(1000.0::DOUBLE * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, size GROUP BY term),
+length AS (SELECT row, doc_id, 100 - 50 + ((50 * len(found) * documents) // words) AS m FROM d, size),
+scored AS (SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN length USING (row) GROUP BY item_id, doc_id, row),
+placed AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50""",
 }
