@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -32,8 +34,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a session that names none (a test, say) gets one beside its warehouse."""
+    """The folder in spark.checkpoint.dir. A local session that names none (a test, say) gets one beside its warehouse; a cluster has to name one."""
     if checkpoint_folder(spark) is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
     return checkpoint_folder(spark)
 
@@ -44,6 +48,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder, removed when it is done with them.
+
+    What is written is compressed, unlike a checkpoint, and cuts the lineage like one: once nothing else refers to the plan
+    that made it, Spark removes the shuffle files of that plan.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop()
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, number: int | None = None) -> None:
+        """Remove one table or the whole folder."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder if number is None else f"{self.folder}/{number}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more: it does so when the driver's memory is tidied."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,17 +12,17 @@ grouped only where such a seed repeats.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, _lookup
-from caseflow.llm.common import arrow_pass, pieces, stored, text_of, texts_of
+from caseflow.llm.common import Scratch, arrow_pass, let_go, partitions, pieces, stored, text_of, texts_of
 
 #: A unit of fewer words may repeat by chance.
 LEAST_UNIT = 5
@@ -38,9 +38,6 @@ _CAPITAL = _lookup(lambda b: 0x41 <= b <= 0x5A)
 _LEAD = _lookup(lambda b: b & 0xC0 != 0x80)
 _NO_ID = (1 << 63) - 1
 
-UNITS = "h1 bigint, h2 bigint, rank bigint, name bigint, place bigint, span bigint"
-
-
 def unit_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (starts, ends, before each document) and the first word of every unit."""
     starts, ends, bounds = bytescan.spans(data, offsets, bytescan.SOLID)
@@ -61,79 +58,78 @@ def unit_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, bounds, np.flatnonzero(doc_first | broken | ended | rising)
 
 
+UNITS = "h1 bigint, h2 bigint, rank bigint, name bigint, first int, words int, start bigint, end bigint"
+
+#: What goes of a document: units (kind 0) and stretches (1) that occurred before, and the rank of a document that keeps them.
+PARTS = "rank bigint, name bigint, kind int, first int, words int, start bigint, end bigint, keeper bigint"
+
+
+def _names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return bytescan.digests(data, offsets)[:, 0].view(np.int64)
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("rank"), text_of().alias("text"))
+
+
+def _once(work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray | pa.Array]], names: list[str]) -> Callable:
+    """A pass over (rank, text) that leaves out rows whose rank and text the same task has seen: they are one document.
+
+    ``work`` gets bytes, offsets, ranks and names of a run of documents and returns columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            data, offsets = texts_of(batch.column(1))
+            ids, name = np.asarray(batch.column(0)), _names(data, offsets)
+            fresh = np.ones(len(ids), bool)
+            for i, key in enumerate(zip(ids.tolist(), name.tolist())):
+                fresh[i] = key not in seen
+                seen.add(key)
+            if not fresh.all():
+                data, offsets = texts_of(batch.column(1).filter(pa.array(fresh)))
+                ids, name = ids[fresh], name[fresh]
+            for begin, stop, part, at in pieces(data, offsets):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(part, at, ids[begin:stop], name[begin:stop])], names)
+
+    return run
+
+
 def units(docs: DataFrame) -> DataFrame:
     """A row for every unit of every whole text.
 
-    h1, h2: digest; rank: doc_id, a missing one as the largest number; name: hash of the text; place:
-    first word of the unit and its words (32 bits each); span: start and end in code points (32 bits each).
+    h1, h2: digest; rank: doc_id, a missing one as the largest number; name: digest of the text; first:
+    its first word; words; start and end in code points.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = texts_of(batch.column(1))
-        ids = np.asarray(batch.column(0))
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for begin, stop, part, at in pieces(data, offsets):
-            starts, ends, bounds, first = unit_bounds(part, at)
-            last = np.append(first[1:], len(starts)) if len(first) else first
-            words = bytescan.hash_spans(part, starts, ends, bytescan.SMALL)
-            h1, h2 = (bytescan.fold_runs(words, first, last, base) for base in (0, 1))
-            doc = np.searchsorted(bounds, first, "right") - 1
-            chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
-            from_doc = chars[at[:-1]][doc]
-            names = bytescan.hash_spans(part, at[:-1], at[1:])
-            span = ((chars[starts[first]] - from_doc) << 32) | (chars[ends[last - 1]] - from_doc)
-            for column, values in zip(out, (h1.view(np.int64), h2.view(np.int64), ids[begin:stop][doc], names.view(np.int64)[doc], ((first - bounds[:-1][doc]) << 32) | (last - first), span)):
-                column.append(values)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h1", "h2", "rank", "name", "place", "span"])
+    def work(part: np.ndarray, at: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[np.ndarray]:
+        starts, ends, bounds, first = unit_bounds(part, at)
+        last = np.append(first[1:], len(starts)) if len(first) else first
+        words = bytescan.hash_spans(part, starts, ends, bytescan.SMALL)
+        h1, h2 = (bytescan.fold_runs(words, first, last, base).view(np.int64) for base in (0, 1))
+        doc = np.searchsorted(bounds, first, "right") - 1
+        chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
+        from_doc = chars[at[:-1]][doc]
+        place = (first - bounds[:-1][doc]).astype(np.int32)
+        return [h1, h2, ids[doc], names[doc], place, (last - first).astype(np.int32), chars[starts[first]] - from_doc, chars[ends[last - 1]] - from_doc]
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("rank"), text_of().alias("text"))
-    return arrow_pass(rows, UNITS, work)
+    return _ranked(docs).mapInArrow(_once(work, ["h1", "h2", "rank", "name", "first", "words", "start", "end"]), UNITS)
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    """The rows whose digest occurred before, with the first rank that has it and, in a text that has it first, the place there.
+def later_units(docs: DataFrame) -> DataFrame:
+    """Units that occurred before, as ``PARTS``: in a document of smaller rank, of equal ones of smaller name, or earlier in the text.
 
-    Digests are counted with a combine before the shuffle; the join that brings the counts back has
+    Digests are counted with a combine before the shuffle; the join that brings the first occurrence back has
     plain shuffles on both sides, so a digest of very many rows is split at run time.
     """
-    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank")).where("n > 1")
-    again = groups.select(F.expr("h1 ^ 0L").alias("g1"), F.expr("h2 ^ 0L").alias("g2"), "first_rank")
+    rows = units(docs)
+    one = F.min(F.struct("rank", "name", "first")).alias("one")
+    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), one).where("n > 1")
+    again = groups.select(F.expr("h1 ^ 0L").alias("g1"), F.expr("h2 ^ 0L").alias("g2"), "one")
     found = rows.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    found = stored(found.select("h1", "h2", "rank", "name", "place", "span", "first_rank").distinct())
-    # Rows of the first document repeat within it at most.
-    same = Window.partitionBy("h1", "h2", "rank").orderBy("name", "place")
-    inside = found.where("rank = first_rank").withColumn("k", F.row_number().over(same))
-    at = F.when(F.first("name").over(same) == F.col("name"), F.first("place").over(same))
-    inside = inside.withColumn("first_place", at).where("k > 1").drop("k")
-    return found.where("rank > first_rank").withColumn("first_place", F.lit(None).cast("bigint")).union(inside)
-
-
-def _runs(docs: DataFrame) -> DataFrame:
-    """All runs of units that occurred before, as ``repeated_runs`` has them; ``enough``: long enough to go; ``alone``: else its units of ``LEAST_UNIT`` words."""
-    later = _later(units(docs))
-    later = later.select("rank", "first_rank", "name", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("words"), "span")
-    # Neighbours have as many words before them that go as stand before them, less what stands before the run.
-    before = Window.partitionBy("rank", "name").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    runs = later.withColumn("run", F.col("first") - F.coalesce(F.sum("words").over(before), F.lit(0)))
-    solid = F.sum(F.when(F.col("words") >= LEAST_UNIT, F.col("words")).otherwise(0))
-    one = F.struct(F.col("first"), F.col("words"), F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("end"), F.lit(1).cast("bigint").alias("units"), "first_rank")
-    out = runs.groupBy("rank", "name", "run").agg(
-        F.min(F.shiftright("span", 32)).alias("start"),
-        F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"),
-        F.min("first").alias("first"),
-        F.sum("words").alias("words"),
-        F.count(F.lit(1)).alias("units"),
-        F.min("first_rank").alias("first_rank"),
-        solid.alias("solid"),
-        F.collect_list(F.when(F.col("words") >= LEAST_UNIT, one)).alias("alone"),
-    )
-    enough = (F.col("words") >= LEAST_RUN) & (F.col("solid") >= LEAST_SOLID) | (F.col("words") >= LONG_RUN)
-    return out.withColumn("enough", enough).drop("solid", "run")
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """The runs of units to remove: rank, name, start, end (code points), first word, words, units, first_rank (least that keeps a unit of it)."""
-    return _runs(docs).where("enough").drop("enough", "alone")
+    found = found.where(F.struct("rank", "name", "first") > F.col("one"))
+    return found.select("rank", "name", F.lit(0).alias("kind"), "first", "words", "start", "end", F.col("one.rank").alias("keeper"))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,59 +162,224 @@ def _seeded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keys(ids: np.ndarray, names: np.ndarray) -> np.ndarray:
-    return bytescan.mixed(names + bytescan.mixed(ids.astype(np.int64).view(U) + U(1))).view(np.int64)
+    return bytescan.mixed(names.view(U) + bytescan.mixed(ids.view(U) + U(1))).view(np.int64)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """A row, as ``units`` has them, for every passage whose seed repeats; each once for rows that repeat doc_id and text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("rank"), text_of().alias("text"))
+#: A stretch: all passages in a row that have one seed. h: the seed; c1, c2: digest of all its words and of the seed's place
+#: in it; at: first word of the seed; low: words from there back to the first passage; of each passage its
+#: hash, the start of its first word and the end of its last one.
+STRETCHES = "h bigint, c1 bigint, c2 bigint, rank bigint, name bigint, at int, low int, hashes array<bigint>, starts array<bigint>, ends array<bigint>"
 
-    def seeds(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = texts_of(batch.column(1))
-        ids = np.asarray(batch.column(0))
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for begin, stop, part, at in pieces(data, offsets):
-            _, _, bounds, _, _, doc, seed, hashes = _seeded(part, at)
-            fresh = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else seed
-            keys = _keys(ids[begin:stop], bytescan.hash_spans(part, at[:-1], at[1:]))
-            doc, seed = doc[fresh], seed[fresh]
-            for column, values in zip(out, (hashes[seed].view(np.int64), keys[doc], seed - bounds[:-1][doc])):
-                column.append(values)
-        h, key, seed = map(np.concatenate, out)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(seed.astype(np.int32))], ["h", "key", "seed"])
 
-    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = texts_of(batch.column(1))
-        name = np.concatenate([np.zeros(0, U), *(bytescan.hash_spans(part, at[:-1], at[1:]) for _, _, part, at in pieces(data, offsets))])
-        return pa.RecordBatch.from_arrays([pa.array(_keys(np.asarray(batch.column(0)), name)), *batch.columns], ["key", "rank", "text"])
+def stretches(docs: DataFrame) -> DataFrame:
+    """A row for every stretch of every whole text whose seed occurs twice or more.
+
+    Seeds are counted by their hash alone; what is shuffled for each is its hash, its document and its place. Only
+    documents with a seed that occurs again are read a second time, beside the list of their seeds.
+    """
+    rows = _ranked(docs)
+
+    def seeds(part: np.ndarray, at: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[np.ndarray]:
+        _, _, bounds, _, _, doc, seed, hashes = _seeded(part, at)
+        fresh = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else seed
+        doc, seed = doc[fresh], seed[fresh]
+        return [hashes[seed].view(np.int64), _keys(ids, names)[doc], (seed - bounds[:-1][doc]).astype(np.int32)]
+
+    def keyed(part: np.ndarray, at: np.ndarray, ids: np.ndarray, names: np.ndarray) -> list[np.ndarray | pa.Array]:
+        raw = memoryview(np.ascontiguousarray(part))
+        packed = [pa.compress(raw[a:b], codec="zstd", asbytes=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return [_keys(ids, names), ids, names, np.diff(at), pa.array(packed, pa.binary())]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = texts_of(batch.column(1))
-        ids, marks = np.asarray(batch.column(0)), batch.column(2)
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+        ids, names, size, marks = (batch.column(k) for k in (0, 1, 2, 4))
+        ids, names, size = np.asarray(ids), np.asarray(names), np.asarray(size)
+        text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(batch.column(3).to_pylist(), size.tolist()))
+        data, offsets = np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size)])
+        out: list[list] = [[np.zeros(0, np.int64)] for _ in range(10)]
         for begin, stop, part, at in pieces(data, offsets):
-            starts, ends, bounds, words, passage, doc, seed, _ = _seeded(part, at)
+            starts, ends, bounds, words, passage, doc, seed, hashes = _seeded(part, at)
             mark = marks.slice(begin, stop - begin)
             marked = np.zeros(len(words) + 1, bool)
             marked[mark.flatten().to_numpy() + np.repeat(bounds[:-1], mark.value_lengths().to_numpy())] = True
             keep = marked[seed]
-            passage, doc = passage[keep], doc[keep]
-            h1, h2 = (bytescan.fold_runs(words, passage, passage + LONG_RUN, base) for base in (0, 1))
+            passage, doc, seed = passage[keep], doc[keep], seed[keep]
+            if not len(passage):
+                continue
+            begin_of = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+            many = np.diff(np.append(begin_of, len(passage)))
+            first, of, one = passage[begin_of], doc[begin_of], seed[begin_of]
+            c1, c2 = (bytescan.mixed(bytescan.fold_runs(words, first, first + many + LONG_RUN - 1, base) + (one - first).astype(U)) for base in (0, 1))
             chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
             from_doc = chars[at[:-1]][doc]
-            names = bytescan.hash_spans(part, at[:-1], at[1:])
-            span = ((chars[starts[passage]] - from_doc) << 32) | (chars[ends[passage + LONG_RUN - 1]] - from_doc)
-            for column, values in zip(out, (h1.view(np.int64), h2.view(np.int64), ids[begin:stop][doc], names.view(np.int64)[doc], ((passage - bounds[:-1][doc]) << 32) | LONG_RUN, span)):
+            each = bytescan.fold_runs(words, passage, passage + LONG_RUN).view(np.int64)
+            columns = (hashes[one].view(np.int64), c1.view(np.int64), c2.view(np.int64), ids[begin:stop][of], names[begin:stop][of], one - bounds[:-1][of], one - first, many)
+            for column, values in zip(out, (*columns, np.stack([each, chars[starts[passage]] - from_doc, chars[ends[passage + LONG_RUN - 1]] - from_doc], axis=1))):
                 column.append(values)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h1", "h2", "rank", "name", "place", "span"])
-
-    all_seeds = arrow_pass(rows, "h bigint, key bigint, seed int", seeds)
+        flat = [np.concatenate(c) for c in out[:8]]
+        lists = np.concatenate([np.zeros((0, 3), np.int64), *out[8][1:]])
+        edge = pa.array(np.concatenate([[0], np.cumsum(flat[7])]).astype(np.int32))
+        columns = [*(pa.array(c) for c in flat[:5]), *(pa.array(c.astype(np.int32)) for c in flat[5:7])]
+        columns += [pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(lists[:, k]))) for k in range(3)]
+        return pa.RecordBatch.from_arrays(columns, ["h", "c1", "c2", "rank", "name", "at", "low", "hashes", "starts", "ends"])
+
+    all_seeds = rows.mapInArrow(_once(seeds, ["h", "key", "seed"]), "h bigint, key bigint, seed int")
     again = all_seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.expr("h ^ 0L").alias("g"))
     marks = all_seeds.join(again, F.col("h") == F.col("g")).groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     marks = marks.select(F.expr("key ^ 0L").alias("of_key"), "seeds")
-    texts = arrow_pass(rows, "key bigint, rank bigint, text string", keyed)
-    both = texts.join(marks, texts["key"] == marks["of_key"]).select("rank", "text", "seeds")
-    return stored(arrow_pass(both, UNITS, work))
+    texts = rows.mapInArrow(_once(keyed, ["key", "rank", "name", "size", "packed"]), "key bigint, rank bigint, name bigint, size bigint, packed binary")
+    both = texts.join(marks, texts["key"] == marks["of_key"]).select("rank", "name", "size", "packed", "seeds")
+    return arrow_pass(both, STRETCHES, work)
+
+
+def _first_passages(found: DataFrame) -> DataFrame:
+    """For every kind of stretch (c1, c2) where each of its passages occurred first: a list of (d, rank, name, at), d its number.
+
+    Equal stretches have equal passages, so only the first stretch of a kind is unfolded.
+    """
+    one = F.min(F.struct("rank", "name", "at", "hashes")).alias("one")
+    kinds = found.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("low").alias("low"), one)
+    each = kinds.select("h", "c1", "c2", "low", F.col("one.rank").alias("rank"), F.col("one.name").alias("name"), F.col("one.at").alias("at"), F.posexplode("one.hashes").alias("d", "p"))
+    # The seed's place in a passage belongs to the passage, as does the seed's hash.
+    firsts = each.groupBy("h", "p").agg(F.min(F.struct("rank", "name", "at")).alias("f")).select(F.expr("h ^ 0L").alias("g"), F.expr("p ^ 0L").alias("q"), "f")
+    told = each.join(firsts, (F.col("h") == F.col("g")) & (F.col("p") == F.col("q")))
+    return told.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("d", "f.rank", "f.name", "f.at"))).alias("firsts"))
+
+
+def _later_stretches(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Passages that occurred before, as ``PARTS``: those in a row with one keeper are one row.
+
+    In one text a passage goes that starts ``LONG_RUN`` words after its first occurrence or later.
+    """
+    known = firsts.select(F.expr("c1 ^ 0L").alias("k1"), F.expr("c2 ^ 0L").alias("k2"), "firsts")
+    both = found.join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rank, name, at, low = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
+        starts, ends, lists = (batch.column(k) for k in (4, 5, 6))
+        many = lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), many)
+        d, f_rank, f_name, f_at = (np.asarray(c).astype(np.int64) for c in lists.flatten().flatten())
+        same = (f_rank == rank[row]) & (f_name == name[row])
+        goes = ~same | (at[row] >= f_at + LONG_RUN)
+        start, end = starts.flatten().to_numpy(), ends.flatten().to_numpy()
+        row, d, f_rank, start, end = row[goes], d[goes], f_rank[goes], start[goes], end[goes]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (d[1:] != d[:-1] + 1) | (f_rank[1:] != f_rank[:-1])
+        begin = np.flatnonzero(fresh)
+        last = np.append(begin[1:], len(row)) - 1
+        of = row[begin]
+        first = at[of] - low[of] + d[begin]
+        words = d[last] - d[begin] + LONG_RUN
+        columns = [rank[of], name[of], np.ones(len(of), np.int32), first.astype(np.int32), words.astype(np.int32), start[begin], end[last], f_rank[begin]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "name", "kind", "first", "words", "start", "end", "keeper"])
+
+    return arrow_pass(both.select("rank", "name", "at", "low", "starts", "ends", "firsts"), PARTS, work)
+
+
+def later_passages(docs: DataFrame) -> DataFrame:
+    """All passages of ``LONG_RUN`` words that occurred before, as ``PARTS``, stored; each step's shuffles go before the next."""
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        found = scratch.table(stretches(docs))
+        let_go(spark)
+        firsts = scratch.table(_first_passages(found))
+        let_go(spark)
+        out = stored(_later_stretches(found, firsts))
+    let_go(spark)
+    return out
+
+
+SPANS = "rank bigint, name bigint, start bigint, end bigint, first bigint, words bigint, units bigint, keepers array<bigint>"
+
+
+def _spans(rows: np.ndarray, alone: bool) -> list[np.ndarray]:
+    """What goes of whole documents: rows of ``PARTS`` (in columns) in order of rank, name, first and kind.
+
+    Columns of ``SPANS``, the keepers as numbers of the row's span and ranks.
+    """
+    rank, name, kind, first, words, start, end, keeper = rows
+    doc = np.zeros(len(rank), np.int64)
+    doc[1:] = np.cumsum((rank[1:] != rank[:-1]) | (name[1:] != name[:-1]))
+    # Runs of units next to each other; a unit once, should rows repeat their document.
+    unit = np.flatnonzero(kind == 0)
+    if len(unit):
+        again = np.zeros(len(unit), bool)
+        again[1:] = (doc[unit][1:] == doc[unit][:-1]) & (first[unit][1:] == first[unit][:-1])
+        unit = unit[~again]
+    new = np.ones(len(unit), bool)
+    new[1:] = (doc[unit][1:] != doc[unit][:-1]) | (first[unit][1:] != first[unit][:-1] + words[unit][:-1])
+    run = np.cumsum(new) - 1
+    total = np.bincount(run, words[unit], minlength=1)
+    solid = np.bincount(run, np.where(words[unit] >= LEAST_UNIT, words[unit], 0), minlength=1)
+    enough = (total >= LEAST_RUN) & (solid >= LEAST_SOLID) | (total >= LONG_RUN)
+    goes = np.zeros(len(rank), bool)
+    goes[unit] = enough[run] | (alone & (words[unit] >= LEAST_UNIT))
+    goes[kind == 1] = True
+    at = np.flatnonzero(goes)
+    if not len(at):
+        return [np.zeros(0, np.int64) for _ in range(9)]
+    doc, first, words, start, end, keeper, kind, rank, name = (x[at] for x in (doc, first, words, start, end, keeper, kind, rank, name))
+    base = doc << 32
+    reach = np.maximum.accumulate(base + first + words)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | ((base + first)[1:] > reach[:-1])
+    begin = np.flatnonzero(fresh)
+    last = np.append(begin[1:], len(at)) - 1
+    span = np.cumsum(fresh) - 1
+    order = np.lexsort((keeper, span))
+    kept = np.ones(len(at), bool)
+    kept[1:] = (span[order][1:] != span[order][:-1]) | (keeper[order][1:] != keeper[order][:-1])
+    return [
+        rank[begin],
+        name[begin],
+        np.minimum.reduceat(start, begin),
+        np.maximum.reduceat(end, begin),
+        first[begin],
+        reach[last] - (base + first)[begin],
+        np.add.reduceat((kind == 0).astype(np.int64), begin),
+        span[order][kept],
+        keeper[order][kept],
+    ]
+
+
+def merged(parts: DataFrame, alone: bool) -> DataFrame:
+    """``SPANS`` that go, from ``PARTS``: runs of units, single ones if ``alone``, and stretches; what overlaps or touches is one span.
+
+    Rows come to a task by document and in order; it holds a batch and one document's rows at a time.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            *columns, of, keeper = _spans(rows, alone)
+            edge = pa.array(np.searchsorted(of, np.arange(len(columns[0]) + 1)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.ListArray.from_arrays(edge, pa.array(keeper))], ["rank", "name", "start", "end", "first", "words", "units", "keepers"])
+
+        for batch in batches:
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+            if not rows.shape[1]:
+                continue
+            # The last document may go on in the next batch.
+            open_ = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            cut = int(open_[-1]) + 1 if len(open_) else 0
+            if held and (cut or held[-1][0, -1] != rows[0, 0] or held[-1][1, -1] != rows[1, 0]):
+                before = np.concatenate([*held, rows[:, :cut]], axis=1)
+                held = []
+                yield told(before)
+            elif cut:
+                yield told(rows[:, :cut])
+            held.append(rows[:, cut:])
+        if held:
+            yield told(np.concatenate(held, axis=1))
+
+    dealt = parts.repartition(partitions(parts.sparkSession), "rank", "name").sortWithinPartitions("rank", "name", "first", "kind")
+    return dealt.mapInArrow(work, SPANS)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The runs of units to remove, as ``SPANS``: rank, name, start, end (code points), first word, words, units, keepers (ranks that keep a unit of it)."""
+    return merged(later_units(docs), False)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -227,50 +388,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Of one text, a passage goes that does not overlap the first occurrence. Spans that overlap or touch
     are one; ``units`` counts the units that go as such, so it is 0 for a passage that holds none.
     """
-    word = lambda c: F.shiftright(c, 32)
-    apart = F.col("first_place").isNull() | (word("place") >= word("first_place") + LONG_RUN)
-    later = _later(passages(docs)).where(apart)
-    low = F.col("span").bitwiseAND(0xFFFFFFFF)
-    parts = later.select("rank", "name", F.struct(word("place").alias("first"), F.lit(LONG_RUN).cast("bigint").alias("words"), word("span").alias("start"), low.alias("end"), F.lit(0).cast("bigint").alias("units"), "first_rank").alias("part"))
-    whole = F.array(F.struct("first", "words", "start", "end", "units", "first_rank"))
-    runs = _runs(docs).select("rank", "name", F.explode(F.when(F.col("enough"), whole).otherwise(F.col("alone"))).alias("part"))
-    by_doc = runs.union(parts).groupBy("rank", "name").agg(F.collect_list("part").alias("parts"))
-
-    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(2)
-        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-        first, words, start, end, units_, rank = (c.to_numpy() for c in lists.flatten().flatten())
-        order = np.lexsort((first, doc))
-        doc, first, words, start, end, units_, rank = (x[order] for x in (doc, first, words, start, end, units_, rank))
-        base = doc << 32
-        reach = np.maximum.accumulate(base + first + words)
-        fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | ((base + first)[1:] > reach[:-1])]))
-        last = np.append(fresh[1:], len(doc)) - 1
-        columns = [
-            np.asarray(batch.column(0))[doc[fresh]],
-            np.asarray(batch.column(1))[doc[fresh]],
-            np.minimum.reduceat(start, fresh),
-            np.maximum.reduceat(end, fresh),
-            first[fresh],
-            reach[last] - (base + first)[fresh],
-            np.add.reduceat(units_, fresh),
-            np.minimum.reduceat(rank, fresh),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "name", "start", "end", "first", "words", "units", "first_rank"])
-
-    return arrow_pass(by_doc, "rank bigint, name bigint, start bigint, end bigint, first bigint, words bigint, units bigint, first_rank bigint", merge)
+    return merged(later_units(docs).unionByName(later_passages(docs)), True)
 
 
 def removed_runs(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = repeated_runs) -> DataFrame:
-    """One row for every run of units that goes: doc_id, start, end (code points), words, units, kept_doc_id.
+    """One row for every run of units that goes: doc_id, start, end (code points), words, units, kept_doc_id, kept_doc_ids.
 
-    kept_doc_id is the smallest doc_id that keeps a unit of the run, the document itself where it
-    repeats itself. Which units go is said in ``substring_duplicates``; documents that lose nothing have
+    kept_doc_ids has, in order, the doc_id of every document that keeps a unit or passage of the run, the document
+    itself where it repeats itself, and NULL last for documents without one; kept_doc_id is the first of them.
+    Which units go is said in ``substring_duplicates``; documents that lose nothing have
     no row. With ``find=repeated_spans`` single units and repeated passages go too.
     """
     told = find(docs)
-    back = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
-    return told.select(back("rank").alias("doc_id"), "start", "end", "words", "units", back("first_rank").alias("kept_doc_id"))
+    back = lambda c: F.nullif(c, F.lit(_NO_ID))
+    return told.select(back(F.col("rank")).alias("doc_id"), "start", "end", "words", "units", back(F.col("keepers")[0]).alias("kept_doc_id"), F.transform("keepers", back).alias("kept_doc_ids"))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -312,7 +443,7 @@ def named(docs: DataFrame) -> DataFrame:
         data, offsets = texts_of(batch.column(1))
         name, chars = np.zeros(batch.num_rows, U), np.zeros(batch.num_rows, np.int64)
         for first, last, part, at in pieces(data, offsets):
-            name[first:last] = bytescan.hash_spans(part, at[:-1], at[1:])
+            name[first:last] = _names(part, at).view(U)
             chars[first:last] = bytescan.counts(_LEAD[part], at)
         ids = batch.column(0)
         return pa.RecordBatch.from_arrays([ids, ids.fill_null(_NO_ID), pa.array(name.view(np.int64)), pa.array(chars)], ["doc_id", "rank", "name", "n_chars"])
