@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.dates import as_date
 from caseflow.operators.joins import lookup
 
 
@@ -30,6 +32,21 @@ def group_keys(region: str | None, *keys: str) -> list[str]:
     return [*keys] if region is not None else ["facility_region", *keys]
 
 
+def pull_keys(pulls: Sequence[dt.date | str] | None) -> list[str]:
+    """The leading grouping key where a table is wanted for several pulls."""
+    return ["pull_date"] if pulls else []
+
+
+def of_pulls(df: DataFrame, pulls: Sequence[dt.date | str] | None) -> DataFrame:
+    """Rows of the given pulls, in one reading; all rows without any."""
+    return df.filter(F.col("pull_date").isin(*map(as_date, pulls))) if pulls else df
+
+
+def for_pulls(df: DataFrame, pulls: Sequence[dt.date | str] | None) -> DataFrame:
+    """Every row once for each of the pulls, as ``pull_date``."""
+    return df.withColumn("pull_date", F.explode(F.array(*map(as_date, pulls)))) if pulls else df
+
+
 def first_row_per(
     df: DataFrame, keys: str | Sequence[str], order: str, *aggregates: Column
 ) -> DataFrame:

@@ -40,5 +40,7 @@ def export_rows(cases: DataFrame, kind: str, region: str | None = None) -> DataF
 
 
 def export_detail(cases: DataFrame, kind: str, folder: str, region: str | None = None) -> None:
-    """Write detail as CSV, one directory per region, each in as many files as its size asks for."""
-    write_csv(with_labels(export_rows(cases, kind, region)), f"{folder}/{kind}", "export_file", True)
+    """Write detail as CSV below ``folder``, one file per region and pull date under the name users
+    know it by, or numbered parts of a region that is too large for one task. Files of other regions
+    and pulls stay; a failed export leaves everything as it was."""
+    write_csv(with_labels(export_rows(cases, kind, region)), f"{folder}/{kind}", "export_file")

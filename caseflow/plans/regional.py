@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -20,8 +21,10 @@ from caseflow.operators.reshape import to_long, to_wide
 from caseflow.operators.rows import (
     columns_between,
     first_row_per,
+    for_pulls,
     group_keys,
     in_region,
+    pull_keys,
     with_group_value,
 )
 from caseflow.session import cut_lineage
@@ -79,10 +82,15 @@ def with_region_total(rows: DataFrame, totals: DataFrame | None = None) -> DataF
     return with_group_value(rows, "facility_region", "region_total", F.count(F.lit(1)), totals)
 
 
-def _pending_counts(cases: DataFrame, region: str | None, statuses: Sequence[str]) -> DataFrame:
+def _pending_counts(
+    cases: DataFrame,
+    region: str | None,
+    statuses: Sequence[str],
+    pulls: Sequence[dt.date | str] | None = None,
+) -> DataFrame:
     over = over_year(cases)
     pending = in_region(cases, region).filter(has_status(statuses))
-    return pending.groupBy("facility_region", "program").agg(
+    return pending.groupBy(*pull_keys(pulls), "facility_region", "program").agg(
         case_count(cases).alias("program_total"),
         null_if_zero(case_count_where(cases, ~over)).alias("active_lt_365"),
         null_if_zero(case_count_where(cases, over)).alias("active_gt_365"),
@@ -94,35 +102,45 @@ def region_pending_by_program(
     region: str | None = None,
     statuses: Sequence[str] = domain.PENDING,
     fill_cells: bool = False,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
     """Pending per program with both buckets. A bucket no program of the region has is 0, other
-    empty cells are NULL; ``fill_cells`` makes those 0 too. The window sees aggregated rows only."""
-    counts = _pending_counts(cases, region, statuses)
+    empty cells are NULL; ``fill_cells`` makes those 0 too. The window sees aggregated rows only.
+    With ``pulls`` the pull date leads, and a bucket counts as missing within its own pull."""
+    counts = _pending_counts(cases, region, statuses, pulls)
     if fill_cells:
         filled = counts.fillna(0, subset=[*BUCKETS])
     else:
-        of_region = Window.partitionBy("facility_region")
+        of_region = Window.partitionBy(*pull_keys(pulls), "facility_region")
         none_at_all = {b: F.max(b).over(of_region).isNull() for b in BUCKETS}
         filled = counts.withColumns(
             {b: F.when(none_at_all[b], F.lit(0)).otherwise(F.col(b)) for b in BUCKETS}
         )
-    return filled.select(*group_keys(region, "program"), "program_total", *BUCKETS)
+    return filled.select(*pull_keys(pulls), *group_keys(region, "program"), "program_total", *BUCKETS)
 
 
-def region_terminated_by_program(cases: DataFrame, region: str | None = None) -> DataFrame:
+def region_terminated_by_program(
+    cases: DataFrame, region: str | None = None, pulls: Sequence[dt.date | str] | None = None
+) -> DataFrame:
     rows = in_region(cases, region).filter(terminated_lately(cases))
-    return rows.groupBy(*group_keys(region, "program")).agg(case_count(cases).alias("program_total"))
+    return rows.groupBy(*pull_keys(pulls), *group_keys(region, "program")).agg(case_count(cases).alias("program_total"))
 
 
-def region_monitored_by_program(cases: DataFrame, region: str | None = None) -> DataFrame:
+def region_monitored_by_program(
+    cases: DataFrame, region: str | None = None, pulls: Sequence[dt.date | str] | None = None
+) -> DataFrame:
     rows = in_region(cases, region).filter(has_status(domain.EFFECTIVE))
-    return rows.groupBy(*group_keys(region, "program")).agg(case_count(cases).alias("program_total"))
+    return rows.groupBy(*pull_keys(pulls), *group_keys(region, "program")).agg(case_count(cases).alias("program_total"))
 
 
 def region_workload_summary(
-    cases: DataFrame, region: str | None = None, statuses: Sequence[str] = domain.PENDING
+    cases: DataFrame,
+    region: str | None = None,
+    statuses: Sequence[str] = domain.PENDING,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
-    """The five workload counters in one aggregate; one row for a given region, also when empty."""
+    """The five workload counters in one aggregate; one row for a given region, also when empty.
+    With ``pulls`` so for each pull."""
     pending = has_status(statuses)
     measures = [
         case_count_where(cases, pending).alias("pending"),
@@ -132,7 +150,12 @@ def region_workload_summary(
         case_count_where(cases, terminated_lately(cases)).alias("terminated"),
     ]
     rows = in_region(cases, region)
-    return (rows if region is not None else rows.groupBy("facility_region")).agg(*measures)
+    if region is None:
+        return rows.groupBy(*pull_keys(pulls), "facility_region").agg(*measures)
+    if not pulls:
+        return rows.agg(*measures)
+    asked = for_pulls(cases.sparkSession.range(0, 1, 1, 1), pulls).select("pull_date")
+    return asked.join(rows.groupBy("pull_date").agg(*measures), "pull_date", "left").fillna(0)
 
 
 def workload_sentences(summary: DataFrame) -> DataFrame:

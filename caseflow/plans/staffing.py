@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from caseflow.functions import text
 from caseflow.functions.categories import deficit_color, has_status, position_class
 from caseflow.operators.joins import lookup
 from caseflow.operators.measures import case_count, strict_total
-from caseflow.operators.rows import in_region
+from caseflow.operators.rows import for_pulls, in_region, pull_keys
 
 
 def capacity_by_region(org_chart: DataFrame) -> DataFrame:
@@ -20,9 +21,11 @@ def capacity_by_region(org_chart: DataFrame) -> DataFrame:
     return org_chart.groupBy("region").agg(strict_total(F.col("capacity")).alias("region_capacity"))
 
 
-def _pending_by_region(cases: DataFrame, statuses: Sequence[str]) -> DataFrame:
+def _pending_by_region(
+    cases: DataFrame, statuses: Sequence[str], pulls: Sequence[dt.date | str] | None
+) -> DataFrame:
     pending = cases.filter(has_status(statuses))
-    return pending.groupBy("facility_region").agg(case_count(cases).alias("pending_total"))
+    return pending.groupBy(*pull_keys(pulls), "facility_region").agg(case_count(cases).alias("pending_total"))
 
 
 def _fte(capacity: Column, load: Column) -> Column:
@@ -35,18 +38,21 @@ def fte_deficit_by_region(
     referral_rates: DataFrame,
     statuses: Sequence[str] = domain.PENDING,
     all_regions: bool = False,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
     """Capacity against referrals and against pending cases, in full-time positions.
 
     Only regions with a pending case appear; ``all_regions`` lists those of the staffing chart
-    instead, with 0 pending where there is none.
+    instead, with 0 pending where there is none. With ``pulls`` so for each pull.
     """
-    pending = _pending_by_region(cases, statuses)
+    pending = _pending_by_region(cases, statuses, pulls)
     capacity = capacity_by_region(org_chart)
     if all_regions:
-        chart = capacity.withColumnRenamed("region", "facility_region")
-        counts = pending.withColumnRenamed("facility_region", "region")
-        joined = lookup(chart, counts, "facility_region", "region").select(
+        chart = for_pulls(capacity.withColumnRenamed("region", "facility_region"), pulls)
+        at = F.struct(*pull_keys(pulls), "facility_region")
+        counts = pending.select(at.alias("at"), "pending_total")
+        joined = lookup(chart.withColumn("at", at), counts, "at", "at").select(
+            *pull_keys(pulls),
             "facility_region",
             F.coalesce("pending_total", F.lit(0)).alias("pending_total"),
             "region_capacity",
@@ -56,6 +62,7 @@ def fte_deficit_by_region(
     rated = lookup(joined, referral_rates, "facility_region", "region")
     current = _fte(F.col("region_capacity"), F.col("pending_total"))
     return rated.select(
+        *pull_keys(pulls),
         "facility_region",
         "pending_total",
         "region_capacity",
@@ -72,21 +79,25 @@ def region_capacity_fte(
     referral_rates: DataFrame,
     region: str | None = None,
     statuses: Sequence[str] = domain.PENDING,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
     """Capacity box of a region, or of every region with staff or pending cases: figures, printed
-    figures, colours and the two equations. No staff is capacity 0, no pending case is 0."""
+    figures, colours and the two equations. No staff is capacity 0, no pending case is 0. With
+    ``pulls`` so for each pull."""
+    keys = [*pull_keys(pulls), "region"]
     staff = in_region(org_chart, region, "region").groupBy("region").agg(
         strict_total(F.col("capacity")).alias("staffed"), F.lit(True).alias("has_staff")
     )
-    pending = _pending_by_region(in_region(cases, region), statuses)
-    known = staff.join(pending.withColumnRenamed("facility_region", "region"), "region", "full")
+    pending = _pending_by_region(in_region(cases, region), statuses, pulls)
+    staff = for_pulls(staff, pulls)
+    known = staff.join(pending.withColumnRenamed("facility_region", "region"), keys, "full")
     if region is None:
         known = known.filter(F.col("region").isNotNull())
     else:
         asked = cases.sparkSession.range(0, 1, 1, 1).select(F.lit(region).alias("region"))
-        known = asked.join(known, "region", "left")
+        known = for_pulls(asked, pulls).join(known, keys, "left")
     figures = known.join(in_region(referral_rates, region, "region"), "region", "left").select(
-        "region",
+        *keys,
         F.when(F.col("has_staff"), F.col("staffed")).otherwise(0).alias("capacity"),
         F.coalesce("pending_total", F.lit(0)).alias("pending_total"),
         "referral_rate",

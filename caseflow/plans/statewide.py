@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from caseflow.operators.measures import (
     cash_total,
     null_if_zero,
 )
-from caseflow.operators.rows import first_row_per, template_row, with_group_value
+from caseflow.operators.rows import first_row_per, for_pulls, pull_keys, template_row, with_group_value
 
 REGION, PROGRAM = "facility_region", "program"
 COUNT_NAMES = {REGION: "region_total", PROGRAM: "program_total"}
@@ -27,16 +28,19 @@ def pending_by(
     key: str,
     statuses: Sequence[str] = domain.PENDING,
     include_template: bool = True,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
     """Pending cases per key in two age buckets; an empty bucket is NULL.
 
     The template is one more row without key, kept in the result. It shares its total with the
-    cases that have no key. Only the aggregated rows pass the window.
+    cases that have no key. Only the aggregated rows pass the window. With ``pulls`` the pull date
+    leads the key, and each pull has a template row.
     """
+    keys = [*pull_keys(pulls), key]
     over = over_year(cases)
     counted = (
         cases.filter(has_status(statuses))
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(
             null_if_zero(case_count_where(cases, ~over)).alias("active_lt_365"),
             null_if_zero(case_count_where(cases, over)).alias("active_gt_365"),
@@ -45,19 +49,23 @@ def pending_by(
     both = F.coalesce("active_lt_365", F.lit(0)) + F.coalesce("active_gt_365", F.lit(0))
     if not include_template:
         return counted.withColumn("total_pending", both)
-    with_template = counted.unionByName(template_row(counted))
-    return with_template.withColumn("total_pending", F.sum(both).over(Window.partitionBy(key)))
+    template = for_pulls(template_row(counted), pulls)
+    return counted.unionByName(template).withColumn("total_pending", F.sum(both).over(Window.partitionBy(*keys)))
 
 
 def count_by(
-    cases: DataFrame, key: str, statuses: Sequence[str] | None = None, lately: bool = False
+    cases: DataFrame,
+    key: str,
+    statuses: Sequence[str] | None = None,
+    lately: bool = False,
+    pulls: Sequence[dt.date | str] | None = None,
 ) -> DataFrame:
     """Cases per key: all, of some statuses, or terminated in the last twelve months."""
     if lately:
         cases = cases.filter(terminated_lately(cases))
     elif statuses is not None:
         cases = cases.filter(has_status(statuses))
-    return cases.groupBy(key).agg(case_count(cases).alias(COUNT_NAMES[key]))
+    return cases.groupBy(*pull_keys(pulls), key).agg(case_count(cases).alias(COUNT_NAMES[key]))
 
 
 def pending_by_region(cases: DataFrame, **settings) -> DataFrame:
@@ -68,46 +76,48 @@ def pending_by_program(cases: DataFrame, **settings) -> DataFrame:
     return pending_by(cases, PROGRAM, **settings)
 
 
-def monitored_by_region(cases: DataFrame) -> DataFrame:
-    return count_by(cases, REGION, domain.EFFECTIVE)
+def monitored_by_region(cases: DataFrame, **settings) -> DataFrame:
+    return count_by(cases, REGION, domain.EFFECTIVE, **settings)
 
 
-def monitored_by_program(cases: DataFrame) -> DataFrame:
-    return count_by(cases, PROGRAM, domain.EFFECTIVE)
+def monitored_by_program(cases: DataFrame, **settings) -> DataFrame:
+    return count_by(cases, PROGRAM, domain.EFFECTIVE, **settings)
 
 
 def actions_by_region(
-    cases: DataFrame, statuses: Sequence[str] | None = domain.EFFECTIVE
+    cases: DataFrame, statuses: Sequence[str] | None = domain.EFFECTIVE, **settings
 ) -> DataFrame:
     """Enforcement actions; ``statuses=None`` counts cases of every status."""
-    return count_by(cases, REGION, statuses)
+    return count_by(cases, REGION, statuses, **settings)
 
 
 def actions_by_program(
-    cases: DataFrame, statuses: Sequence[str] | None = domain.EFFECTIVE
+    cases: DataFrame, statuses: Sequence[str] | None = domain.EFFECTIVE, **settings
 ) -> DataFrame:
-    return count_by(cases, PROGRAM, statuses)
+    return count_by(cases, PROGRAM, statuses, **settings)
 
 
-def terminated_by_region(cases: DataFrame) -> DataFrame:
-    return count_by(cases, REGION, lately=True)
+def terminated_by_region(cases: DataFrame, **settings) -> DataFrame:
+    return count_by(cases, REGION, lately=True, **settings)
 
 
-def terminated_by_program(cases: DataFrame) -> DataFrame:
-    return count_by(cases, PROGRAM, lately=True)
+def terminated_by_program(cases: DataFrame, **settings) -> DataFrame:
+    return count_by(cases, PROGRAM, lately=True, **settings)
 
 
-def cash_by(cases: DataFrame, key: str) -> DataFrame:
+def cash_by(
+    cases: DataFrame, key: str, pulls: Sequence[dt.date | str] | None = None
+) -> DataFrame:
     """Penalty total per key, straight from an aggregate."""
-    return cases.groupBy(key).agg(cash_total(cases).alias(CASH_NAMES[key]))
+    return cases.groupBy(*pull_keys(pulls), key).agg(cash_total(cases).alias(CASH_NAMES[key]))
 
 
-def cash_by_region(cases: DataFrame) -> DataFrame:
-    return cash_by(cases, REGION)
+def cash_by_region(cases: DataFrame, **settings) -> DataFrame:
+    return cash_by(cases, REGION, **settings)
 
 
-def cash_by_program(cases: DataFrame) -> DataFrame:
-    return cash_by(cases, PROGRAM)
+def cash_by_program(cases: DataFrame, **settings) -> DataFrame:
+    return cash_by(cases, PROGRAM, **settings)
 
 
 def cash_drill_region(cases: DataFrame, selections: Sequence[str] = ()) -> DataFrame:

@@ -1,13 +1,17 @@
-"""The prepared case table on disk, and CSV export of case detail."""
+"""The prepared case table on disk, pulls that meet by case number, and CSV export of case detail."""
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow import domain
+from caseflow.sources.named_csv import NamedCsv
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
@@ -43,16 +47,64 @@ def read_cases(spark: SparkSession, path: str, pull_date: dt.date | str | None =
     return cases.filter(F.col("pull_date") == F.lit(pull_date).cast("date"))
 
 
-def write_csv(rows: DataFrame, path: str, split_on: str | None = None, balance: bool = False) -> None:
-    """Header CSV, one file per task; with ``split_on`` one directory per value of that column, and
-    only the directories of values that occur in ``rows`` are replaced.
+KEY = "ea_number"
 
-    ``balance`` first evens the rows out by that column: small groups end in one file each, a
-    large one in several, never in one task.
+
+def _columns(cases: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema.fields)
+
+
+def _pull_folder(path: str, buckets: int, pull_date: dt.date | str) -> str:
+    return f"{path.rstrip('/')}/{KEY}-{buckets}/{pull_date}"
+
+
+@contextlib.contextmanager
+def _own_name(spark: SparkSession) -> Iterator[str]:
+    """A table name for one statement; what it named stays on disk, and the catalogue as it was."""
+    name = f"pull_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def write_pull(cases: DataFrame, path: str, pull_date: dt.date | str, buckets: int = 64) -> None:
+    """Store one pull dealt out by case number: ``buckets`` files, each sorted by it.
+
+    Pulls of one number of buckets meet by case number without a shuffle (``recon.reconcile_stored``),
+    so choose it once, for the largest pull to come, at some 128 MB a file. Only this pull is
+    replaced. Cases without a number share a bucket; of prepared cases there are none.
+    """
+    dealt = cases.filter(F.col("pull_date") == F.lit(pull_date).cast("date")).repartition(buckets, KEY)
+    with _own_name(cases.sparkSession) as name:
+        writer = dealt.write.format("parquet").bucketBy(buckets, KEY).sortBy(KEY).mode("overwrite")
+        writer.option("path", _pull_folder(path, buckets, pull_date)).saveAsTable(name)
+
+
+def read_pull(spark: SparkSession, path: str, pull_date: dt.date | str, buckets: int = 64) -> DataFrame:
+    """A pull that ``write_pull`` stored, with its dealing known to Spark. The number of buckets is
+    part of where it lies: another one finds nothing instead of wrong matches."""
+    folder = _pull_folder(path, buckets, pull_date)
+    columns = _columns(spark.read.parquet(folder).select(*domain.CASES_COLUMNS))
+    with _own_name(spark) as name:
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet "
+            f"CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {buckets} BUCKETS LOCATION '{folder}'"
+        )
+        return spark.table(name)
+
+
+def write_csv(rows: DataFrame, path: str, name: str) -> None:
+    """Header CSV below ``path`` in files that bear the text of the column ``name``: see ``named_csv``.
+
+    Rows are evened out by that column first: small groups end in one file each, a large one in
+    several with numbers, never in one task. Values are put into lines by Spark itself.
     """
-    if balance:
-        rows = rows.hint("rebalance", split_on) if split_on else rows.hint("rebalance")
-    writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
-    if split_on:
-        writer = writer.partitionBy(split_on).option("partitionOverwriteMode", "dynamic")
-    writer.csv(path)
+    values = [c for c in rows.columns if c != name]
+    texts = [F.col(f"`{c}`").cast("string").alias(c) if k in ("date",) else F.col(f"`{c}`") for c, k in rows.dtypes if c != name]
+    line = F.to_csv(F.struct(*texts), {"escape": '"'})
+    header = F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(values)]), {"escape": '"'})
+    first = rows.sparkSession.range(1).select(header.alias("header")).first()["header"]
+    lines = rows.select(F.col(f"`{name}`").alias("file"), line.alias("line")).hint("rebalance", "file")
+    rows.sparkSession.dataSource.register(NamedCsv)
+    lines.write.format(NamedCsv.name()).mode("append").options(path=path, header=first).save()

@@ -61,9 +61,13 @@ def read_view_table(spark: SparkSession, view: str, database: str | None = None)
 
 
 def available_views(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Which of the known views the session catalogue holds. The catalogue keeps names in lower
-    case, so they are matched without regard to case."""
+    """Which of the known views a namespace holds: a database, or a schema of a catalogue such as
+    ``jdbc_catalogue`` sets up. Views that the session registered for itself are in no namespace;
+    without one the current database and they are listed together. Names are matched without regard
+    to case, as most catalogues keep them in lower case."""
     tables = spark.sql(f"SHOW TABLES IN {database}" if database else "SHOW TABLES")
+    if database:
+        tables = tables.filter(~F.col("isTemporary"))
     known = [v.lower() for v in domain.VIEWS]
     return tables.filter(F.lower("tableName").isin(*known)).select(F.col("tableName").alias("view"))
 

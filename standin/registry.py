@@ -56,7 +56,7 @@ def _reconciled(t: CaseTables) -> DataFrame:
 
 
 def _both_pulls(plan: Callable[[DataFrame], DataFrame]) -> Callable[[CaseTables], DataFrame]:
-    return lambda t: pulls.by_pull(t.cases_of_both_pulls(), plan, [PULL_DATE, EARLIER_PULL])
+    return lambda t: pulls.by_pull(t.cases_of_pulls(PULL_DATE, EARLIER_PULL), plan, [PULL_DATE, EARLIER_PULL])
 
 
 def _with_stored_totals(key: str) -> Callable[[DataFrame], DataFrame]:
@@ -95,7 +95,7 @@ QUERIES: dict[str, Query] = {
     "pending_by_region_two_pulls": _on_tables(_both_pulls(statewide.pending_by_region)),
     "region_workload_two_pulls": _on_tables(_both_pulls(regional.region_workload_summary)),
     "pull_date_banner_two_pulls": _on_tables(
-        lambda t: recon.pull_date_banner(t.cases_of_both_pulls())
+        lambda t: recon.pull_date_banner(t.cases_of_pulls(PULL_DATE, EARLIER_PULL))
     ),
     # statewide panels
     "pending_by_region": _on_cases(statewide.pending_by_region),

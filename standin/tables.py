@@ -8,6 +8,7 @@ in no list; every row of every table stays in the view.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,15 +112,15 @@ class CaseTables:
         rate = "if(r_regionkey <> 4, cast(20.5 + 13 * r_regionkey AS double), NULL) AS referral_rate"
         return self.table("region").selectExpr("r_name AS region", rate)
 
-    def cases_of_both_pulls(self) -> DataFrame:
-        """The same orders as two pulls, the earlier one with the ages of its own day."""
-        earlier = prepare_cases(self.raw_cases(), self.facilities(), EARLIER_PULL)
-        return self.cases().unionByName(earlier)
+    def cases_of_pulls(self, *pull_dates: str) -> DataFrame:
+        """The same orders as several pulls, each with the ages of its own day, in one reading."""
+        pulls = F.explode(F.array(*[F.lit(d).cast("date") for d in pull_dates]))
+        raw = self.raw_cases().withColumn("pull", pulls)
+        return prepare_cases(raw, self.facilities(), F.col("pull"))
 
-    def source_views(self) -> None:
-        """The case and facility views as the source has them, registered in the session: source
-        column names in another order, and dates as month/day/year text, padded or not, with blank
-        and impossible ones."""
+    def source_views(self) -> dict[str, DataFrame]:
+        """The case and facility views as the source has them: source column names in another order,
+        and dates as month/day/year text, padded or not, with blank and impossible ones."""
         raw = self.raw_cases()
         order = F.col("nov_number")
         odd = F.substring(order, -1, 1).isin("1", "3", "5", "7", "9")
@@ -131,12 +132,20 @@ class CaseTables:
         texts["term_date"] = F.coalesce(texts["term_date"], F.when(odd, F.lit(" ")))
         view = raw.withColumns(texts).withColumn("unused", F.lit(1))
         view = view.withColumnsRenamed({n: s for n, (s, _) in domain.CASE_COLUMNS.items()})
-        view.select(*view.columns[::-1]).createOrReplaceTempView(domain.CASES_VIEW)
         named = self.facilities().withColumnsRenamed({n: s for n, (s, _) in domain.FACILITY_COLUMNS.items()})
-        named.createOrReplaceTempView(domain.FACILITIES_VIEW)
+        return {domain.CASES_VIEW: view.select(*view.columns[::-1]), domain.FACILITIES_VIEW: named}
 
     def cases_from_views(self) -> DataFrame:
-        self.source_views()
-        raw = views.select_cases(views.read_view_table(self.spark, domain.CASES_VIEW))
-        facilities = views.select_facilities(views.read_view_table(self.spark, domain.FACILITIES_VIEW))
+        """Prepared cases by way of the session's catalogue, which is left as it was: the views have
+        names of their own in each call and go when they are resolved."""
+        found = {}
+        for view, frame in self.source_views().items():
+            name = f"{view}_{uuid.uuid4().hex}"
+            frame.createTempView(name)
+            try:
+                found[view] = views.read_view_table(self.spark, name)
+            finally:
+                self.spark.catalog.dropTempView(name)
+        raw = views.select_cases(found[domain.CASES_VIEW])
+        facilities = views.select_facilities(found[domain.FACILITIES_VIEW])
         return prepare_cases(raw, facilities, PULL_DATE)

@@ -19,21 +19,17 @@ _CASES = [
     (1, "EA11", None, "VPDES", "04/14/2020", None, None, "Pending"),
 ]
 _FACILITIES = [(1, "Acme"), (2, "Beta"), (3, None), (None, "Ghost")]
-# region, position, number, capacity
+# region, position, number, capacity: what each row is for
 ORG_CHART = [
-    ("PRO", "Manager", "X101", 5),
-    ("PRO", "Enforcement Specialist/Vacant", "X102", 21),
-    ("PRO", "Enforcement Specialist", "X103", 27),
-    ("PRO", "Administrative and Staff Assistant", "X104", 0),
-    ("TRO", "Manager", "X201", 9),
-    ("TRO", "Enforcement Specialist", "X202", 59),
-    ("CO", "Director/Vacant", "X301", 11),
-    ("CO", "Administrative and Staff Assistant/Vacant", "X302", 2),
-    ("CO", "Manager/Vacant", "X303", 6),
-    ("CO", "Program Coordinator", "X304", 7),
-    ("CO", "Enforcement Specialist/Vacant", "X305", 10),
-]
-REFERRAL_RATES = [("PRO", 60.0), ("TRO", 40.0)]
+    ("PRO", "Team Leader/Vacant", "T-1", 12),  # a manager, in a region with pending cases and a rate
+    ("PRO", "Enforcement Specialist", "T-2", 30),  # a specialist
+    ("TRO", "Director/Vacant", "T-3", 7),  # in neither list
+    ("TRO", "Manager", "T-4", 9),  # a region with a rate and no pending case
+    ("TRO", "Administrative and Staff Assistant/Vacant", "T-5", 4),
+    ("NRO", "Program Coordinator", "T-6", None),  # a missing capacity
+    ("NRO", "Enforcement Specialist/Vacant", "T-7", 15),  # a region without cases and without a rate
+]  # BRRO has cases and no staff
+REFERRAL_RATES = [("PRO", 50.0), ("TRO", 17.5)]
 
 
 def raw_rows():

@@ -164,7 +164,7 @@ def test_fte(spark, counted):
     expect(
         staffing.fte_deficit_by_region(*inputs),
         [
-            ("PRO", 3, 53, 60.0, -0.4667, 3.3333, "#1E90FF"),
+            ("PRO", 3, 42, 50.0, -0.5333, 2.6, "#1E90FF"),
             (None, 1, None, None, None, None, None),
         ],
         digits=4,
@@ -172,9 +172,9 @@ def test_fte(spark, counted):
     expect(
         staffing.fte_deficit_by_region(*inputs, all_regions=True),
         [
-            ("CO", 0, 36, None, None, 2.4, "#1E90FF"),
-            ("PRO", 3, 53, 60.0, -0.4667, 3.3333, "#1E90FF"),
-            ("TRO", 0, 68, 40.0, 1.8667, 4.5333, "#1E90FF"),
+            ("NRO", 0, None, None, None, None, None),
+            ("PRO", 3, 42, 50.0, -0.5333, 2.6, "#1E90FF"),
+            ("TRO", 0, 20, 17.5, 0.1667, 1.3333, "#1E90FF"),
         ],
         digits=4,
     )
@@ -190,27 +190,27 @@ def test_capacity_box(spark, counted):
     pro = staffing.region_capacity_fte(*inputs, region="PRO").collect()
     assert len(pro) == 1
     box = pro[0].asDict()
-    assert (box["capacity"], box["pending_total"], box["referral_rate"]) == (53, 3, 60.0)
-    assert box["capacity_text"] == "Regional Case Capacity: 53"
-    assert box["referral_text"] == "Average Referral Rate: 60"
-    assert box["referral_deficit_text"] == "Referral FTE Deficit: -0.47"
-    assert box["current_deficit_text"] == "Current FTE Deficit: 3.33"
+    assert (box["capacity"], box["pending_total"], box["referral_rate"]) == (42, 3, 50.0)
+    assert box["capacity_text"] == "Regional Case Capacity: 42"
+    assert box["referral_text"] == "Average Referral Rate: 50"
+    assert box["referral_deficit_text"] == "Referral FTE Deficit: -0.53"
+    assert box["current_deficit_text"] == "Current FTE Deficit: 2.60"
     assert box["referral_deficit_color"] == "#ff5733"
     assert box["current_deficit_color"] == "#1E90FF"
-    assert box["referral_equation"] == "Referral Deficit Eq. (53-60)/ 15= -0.47"
-    assert box["current_equation"] == "Current Deficit Eq. (53- 3)/ 15= 3.33"
-    nobody = staffing.region_capacity_fte(*inputs, region="SWRO").first()
+    assert box["referral_equation"] == "Referral Deficit Eq. (42-50)/ 15= -0.53"
+    assert box["current_equation"] == "Current Deficit Eq. (42- 3)/ 15= 2.60"
+    nobody = staffing.region_capacity_fte(*inputs, region="BRRO").first()
     assert (nobody.capacity, nobody.pending_total, nobody.current_deficit) == (0, 0, 0.0)
     everywhere = staffing.region_capacity_fte(*inputs)
-    assert sorted(r.region for r in everywhere.collect()) == ["CO", "PRO", "TRO"]
+    assert sorted(r.region for r in everywhere.collect()) == ["NRO", "PRO", "TRO"]
 
 
 def test_roster(spark):
-    roster = staffing.region_roster(golden.org_chart(spark), "CO")
+    roster = staffing.region_roster(golden.org_chart(spark), "TRO")
     classes = {r["class"]: r["count"] for r in roster.groupBy("class").count().collect()}
-    assert classes == {"manager": 2, "specialist": 2, "unlisted": 1}
+    assert classes == {"manager": 1, "specialist": 1, "unlisted": 1}
     vacant = roster.filter(F.col("class") == "unlisted").first()
-    assert (vacant.title, vacant.subtitle) == ("Director/Vacant- X301", "Capacity: 11")
+    assert (vacant.title, vacant.subtitle) == ("Director/Vacant- T-3", "Capacity: 7")
 
 
 def test_regional_detail(cases):
@@ -355,11 +355,11 @@ def test_every_panel_has_chart_data(spark, cases):
     shown = {name: charts.chart_series(t, name).collect() for name, t in tables.items()}
     assert all(shown.values())
     deficit = {r.x: (r.series, r.label) for r in shown["referral_fte_deficit"]}
-    assert deficit["PRO"] == ("< 0", "Region:  PRO<br>Referral FTE Deficit:  -0.47")
-    assert {r.label for r in shown["current_fte_deficit"]} == {"Region:  PRO<br>Current FTE Deficit:  3.3", "Region:  NA<br>Current FTE Deficit:  NA"}
+    assert deficit["PRO"] == ("< 0", "Region:  PRO<br>Referral FTE Deficit:  -0.53")
+    assert {r.label for r in shown["current_fte_deficit"]} == {"Region:  PRO<br>Current FTE Deficit:  2.6", "Region:  NA<br>Current FTE Deficit:  NA"}
     assert deficit[None] == (None, "Region:  NA<br>Referral FTE Deficit:  NA")
     stacked = {r.series: r.label for r in shown["fte_deficits_stacked"] if r.x == "PRO"}
-    assert stacked["Referral FTE Deficit"].endswith("Referral FTE Deficit:  -0.466666666666667")
+    assert stacked["Referral FTE Deficit"].endswith("Referral FTE Deficit:  -0.533333333333333")
     assert shown["region_monitored_bar_labels"][0].label == "Program Name:  Air"
 
 

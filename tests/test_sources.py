@@ -1,7 +1,9 @@
 """Readers, the stored case table, and CSV export."""
 
+import contextlib
 import csv
 import os
+import uuid
 
 import golden
 import pytest
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 
 from caseflow import domain
 from caseflow.operators.joins import duplicate_keys
-from caseflow.plans import export
+from caseflow.plans import export, recon
 from caseflow.plans.prepare import prepare_cases, prepare_extract
 from caseflow.session import cut_lineage
 from caseflow.sources import files, store, views
+from caseflow.sources.named_csv import NamedCsv
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +35,17 @@ def test_jdbc_options_split_the_scan():
         views.jdbc_options("jdbc:x", domain.CASES_VIEW, split_on="Enc_Id")
 
 
+@contextlib.contextmanager
+def database(spark):
+    """A namespace of the test's own, gone afterwards."""
+    name = f"enf_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def test_views_from_parquet_and_catalogue(spark, tmp_path):
     source = golden.raw(spark).withColumnsRenamed({n: s for n, (s, _) in domain.CASE_COLUMNS.items()})
     source.withColumn("unused", F.lit(1)).write.parquet(f"{tmp_path}/{domain.CASES_VIEW}")
@@ -41,13 +55,20 @@ def test_views_from_parquet_and_catalogue(spark, tmp_path):
     plan = raw.select("ea_number")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<Enc_Ea_Number:string>" in plan
     named = golden.facilities(spark).toDF("Efc_Id", "Efc_Facility_Name")
-    named.createOrReplaceTempView(domain.FACILITIES_VIEW)
-    found = views.available_views(spark)
-    assert [r.view for r in found.collect()] == [domain.FACILITIES_VIEW.lower()]
-    facilities = views.select_facilities(views.read_view_table(spark, domain.FACILITIES_VIEW))
-    assert facilities.columns == ["efc_id", "facility_name"]
-    assert prepare_cases(raw, facilities, golden.PULL_DATE).count() == 8
-    spark.catalog.dropTempView(domain.FACILITIES_VIEW)
+    with database(spark) as own:
+        named.write.saveAsTable(f"{own}.{domain.FACILITIES_VIEW}")
+        spark.range(1).write.saveAsTable(f"{own}.something_else")
+        spark.range(1).createOrReplaceTempView(domain.CASES_VIEW)
+        try:  # a session's views are no views of the namespace
+            found = views.available_views(spark, own)
+            assert [r.view for r in found.collect()] == [domain.FACILITIES_VIEW.lower()]
+            here = [r.view for r in views.available_views(spark).collect()]
+            assert domain.CASES_VIEW.lower() in here
+        finally:
+            spark.catalog.dropTempView(domain.CASES_VIEW)
+        facilities = views.select_facilities(views.read_view_table(spark, domain.FACILITIES_VIEW, own))
+        assert facilities.columns == ["efc_id", "facility_name"]
+        assert prepare_cases(raw, facilities, golden.PULL_DATE).count() == 8
 
 
 @pytest.mark.parametrize("view", domain.VIEWS)
@@ -143,31 +164,27 @@ def test_store_replaces_its_own_pull_only(spark, cases, tmp_path):
 
 
 def _written(folder):
+    """Rows by file name; nothing but files may be there."""
     out = {}
-    for directory, _, names in os.walk(folder):
-        for name in names:
-            if name.endswith(".csv"):
-                with open(os.path.join(directory, name), newline="") as f:
-                    out.setdefault(os.path.basename(directory), []).extend(csv.DictReader(f))
+    for name in os.listdir(folder):
+        with open(os.path.join(folder, name), newline="") as f:
+            out[name] = list(csv.DictReader(f))
     return out
 
 
-def test_export_writes_one_folder_per_region(spark, cases, tmp_path):
+def test_export_writes_one_file_per_region(spark, cases, tmp_path):
     export.export_detail(cases, "monitored", str(tmp_path))
     found = _written(tmp_path / "monitored")
-    assert set(found) == {
-        "export_file=monitoredConsent_PRO_2020-04-14.csv",
-        "export_file=monitoredConsent_TRO_2020-04-14.csv",
-    }
-    parts = [n for _, _, names in os.walk(tmp_path / "monitored") for n in names if n.endswith(".csv")]
-    assert len(parts) == 2, "a small region is a single file"
-    row = found["export_file=monitoredConsent_PRO_2020-04-14.csv"][0]
+    assert set(found) == {"monitoredConsent_PRO_2020-04-14.csv", "monitoredConsent_TRO_2020-04-14.csv"}
+    (row,) = found["monitoredConsent_PRO_2020-04-14.csv"]
     assert list(row) == ["Program", *_extract_header()]
     assert (row["Program"], row["EA Number"], row["Facility Region"]) == ("Air", "EA10", "PRO")
-    assert row["Comments"] == 'said "no", twice'
+    assert row["Comments"] == 'said "no", twice' and row["NOV Date"] == ""
     export.export_detail(cases, "pending", str(tmp_path), region="PRO")
     (rows,) = _written(tmp_path / "pending").values()
     assert sorted(r["EA Number"] for r in rows) == ["EA1", "EA2", "EA3"]
+    (first,) = [r for r in rows if r["EA Number"] == "EA1"]
+    assert first["NOV Date"].startswith("2019-04-15") and float(first["Cash Civil Charge"]) == 1000.0
 
 
 def test_exports_of_regions_and_pulls_live_side_by_side(spark, cases, tmp_path):
@@ -178,7 +195,7 @@ def test_exports_of_regions_and_pulls_live_side_by_side(spark, cases, tmp_path):
     export.export_detail(two, "pending", folder, "TRO")
     export.export_detail(later, "pending", folder)
     export.export_detail(two.filter("ea_number <> 'EA3'"), "pending", folder, "PRO")
-    found = {k.split("=")[1]: sorted(r["EA Number"] for r in v) for k, v in _written(tmp_path / "pending").items()}
+    found = {k: sorted(r["EA Number"] for r in v) for k, v in _written(tmp_path / "pending").items()}
     assert found == {
         "pendingConsent_PRO_2020-04-14.csv": ["EA1"],
         "pendingConsent_TRO_2020-04-14.csv": ["EA2"],
@@ -187,6 +204,72 @@ def test_exports_of_regions_and_pulls_live_side_by_side(spark, cases, tmp_path):
     }
 
 
+def test_a_large_export_has_numbered_parts(spark, tmp_path):
+    """Parts replace a single file of the name and the other way round."""
+    lines = spark.range(9000).selectExpr("if(id < 8000, 'a.csv', 'b.csv') AS file", "concat(id, ',x') AS line", "id")
+    spark.dataSource.register(NamedCsv)
+
+    def write(df):
+        df.select("file", "line").write.format("named_csv").mode("append").options(path=str(tmp_path), header="n,t").save()
+
+    write(lines.coalesce(1))
+    assert set(os.listdir(tmp_path)) == {"a.csv", "b.csv"}
+    write(lines.where("id < 8000").repartition(3, "id"))
+    assert set(os.listdir(tmp_path)) == {"a-1.csv", "a-2.csv", "a-3.csv", "b.csv"}
+    found = _written(tmp_path)
+    assert sorted(int(r["n"]) for k in range(1, 4) for r in found[f"a-{k}.csv"]) == [*range(8000)]
+    write(lines.where("id < 8000").repartition(2, "id"))
+    assert set(os.listdir(tmp_path)) == {"a-1.csv", "a-2.csv", "b.csv"}
+    write(lines.where("id < 8000").coalesce(1))
+    assert set(os.listdir(tmp_path)) == {"a.csv", "b.csv"}
+
+
+def test_a_failed_export_leaves_everything_as_it_was(spark, tmp_path):
+    spark.dataSource.register(NamedCsv)
+    good = spark.createDataFrame([("a.csv", "1")], "file string, line string")
+    good.write.format("named_csv").mode("append").options(path=str(tmp_path), header="n").save()
+    bad = spark.range(0, 40, 1, 4).selectExpr("if(id = 39, 'b/c.csv', 'a.csv') AS file", "cast(id AS string) AS line")
+    with pytest.raises(Exception, match="slash"):
+        bad.write.format("named_csv").mode("append").options(path=str(tmp_path), header="n").save()
+    assert os.listdir(tmp_path) == ["a.csv"] and (tmp_path / "a.csv").read_text() == "n\n1\n"
+
+
+def _exchanges(plan):
+    return [line.strip() for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_stored_pulls_meet_without_a_shuffle(spark, cases, tmp_path):
+    lost = cases.limit(1).withColumn("ea_number", F.lit(None).cast("string"))
+    later = cases.unionByName(lost)
+    earlier = cases.where("ea_number IN ('EA1', 'EA4')").unionByName(cases.where("ea_number = 'EA1'")).unionByName(lost)
+    earlier = earlier.withColumn("pull_date", F.lit("2020-03-31").cast("date"))
+    path, before = str(tmp_path), {t.name for t in spark.catalog.listTables()}
+    store.write_pull(later, path, golden.PULL_DATE, 4)
+    store.write_pull(later.limit(2), path, "2020-03-31", 4)  # no such rows: an empty pull
+    store.write_pull(earlier, path, "2020-03-31", 4)
+    one, other = store.read_pull(spark, path, golden.PULL_DATE, 4), store.read_pull(spark, path, "2020-03-31", 4)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert one.columns == list(domain.CASES_COLUMNS) and one.count() == 9
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for pulls too large to broadcast
+    try:
+        known = one.where("ea_number IS NOT NULL").join(other.select("ea_number"), "ea_number", "left_semi")
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not _exchanges(plan)
+        found = recon.reconcile_stored(one, other)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and all("SinglePartition" in x for x in _exchanges(plan))
+        rows = sorted(map(tuple, found.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert rows == sorted(map(tuple, recon.reconcile_cases(later, earlier).collect()), key=repr)
+    assert sorted((r[1] or "") for r in rows) == ["", "EA1", "EA4"]
+    without = recon.reconcile_stored(one, other.where("ea_number IS NOT NULL"))
+    assert sorted(r.ea_number for r in without.collect()) == ["EA1", "EA4"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.read_pull(spark, path, golden.PULL_DATE, 8)
+
+
 def test_lineage_is_cut_in_the_shared_folder(spark, cases):
     folder = spark.sparkContext.getCheckpointDir()
     cut = cut_lineage(cases.groupBy("program").count())
