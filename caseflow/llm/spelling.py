@@ -8,7 +8,8 @@ are one edit apart the one whose prefix ends earlier in the order has a pivot in
 There the places of a shared bigram are limited: as the edit is before or behind it, either all that
 stands before it, or all behind it, is equal in both, and the lengths differ by one at most. Pivots and
 prefixes therefore meet by bigram with all before it (or all behind it) and by length. What meets is
-verified by the edit distance of the whole words.
+verified by the edit distance of the whole words. Where the equal letters are few, half of the others is
+equal as well, and the words meet by that too, so that common beginnings and endings make no large groups.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SPOILED = 97
 RATIO = 2
 #: Letters: a-z and U+00C0 to U+00FF, so bigrams are no more than the square of their number.
 LETTERS = 26 + 64
+#: Letters that tell words apart well enough to meet by them alone.
+KNOWN = 5
 #: Rows of longer words carry a digest in place of the word, and what meets is verified afterwards.
 LONG_WORD = 64
 
@@ -210,11 +213,20 @@ def _running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hashed(letter: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    order = np.argsort(first, kind="stable")
+    out = np.empty(len(first), U)
+    out[order] = bytescan.fold_runs(letter, first[order], last[order])
+    return out
+
+
 def entries(words: DataFrame, rank: np.ndarray, pivots: bool) -> DataFrame:
     """Rows of key, last and ``of``, for the pivots of all words or for their prefixes.
 
-    A bigram has two keys, one for all letters up to its end and one for all from its start, each with a
-    length: of a prefix that of its word, of a pivot those of the words that can be one edit away.
+    A bigram has two kinds of key, of all letters up to its end and of all from its start: the edit is in
+    the rest. Each goes with the lengths of a pivot's word and of the other word. Where these letters are
+    few (``KNOWN``), many words share them, and so the edit is narrowed down further: either the first half of the rest is
+    equal too, or the last one, and there is a key for each.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +236,31 @@ def entries(words: DataFrame, rank: np.ndarray, pivots: bool) -> DataFrame:
             if pivots:
                 doc, place = doc[pivot], place[pivot]
             letter = mixed(code.astype(U) + U(1))
-            first, end = at[:-1][doc], at[1:][doc]
-            upto = bytescan.fold_runs(letter, first, first + place + 2)
-            after = bytescan.fold_runs(letter, first + place, end)
+            begin, end = at[:-1][doc], at[1:][doc]
+            size = end - begin
             keys, of = [], []
-            for apart in (-1, 0, 1) if pivots else (0,):
-                size = (end - first + apart).astype(U)
-                keys += [mixed(upto + mixed(size * U(2))), mixed(after + mixed(size * U(2) + U(1)))]
-                of += [doc, doc]
-            of = np.concatenate(of) if of else doc
+
+            def add(kind: int, rows: np.ndarray, own: np.ndarray, apart: int, known: np.ndarray) -> None:
+                mine, other = (own, own + apart) if pivots else (own + apart, own)
+                keys.append(mixed(known + mixed((mine * 4096 + other).astype(U) * U(8) + U(kind))))
+                of.append(doc[rows])
+
+            upto, after = _hashed(letter, begin, begin + place + 2), _hashed(letter, begin + place, end)
+            for apart in (-1, 0, 1):
+                for kind, held, known in ((0, place + 2, upto), (1, size - place, after)):
+                    few = np.flatnonzero(held <= KNOWN)
+                    rows = np.flatnonzero(held > KNOWN)
+                    add(kind, rows, size[rows], apart, known[rows])
+                    rest = np.maximum(size[few] - held[few] + min(apart, 0), 0)
+                    half = rest // 2
+                    b, e, p, k = begin[few], end[few], place[few], known[few]
+                    if kind == 0:
+                        near, far = _hashed(letter, b, b + p + 2 + half), k + mixed(_hashed(letter, e - (rest - half), e))
+                    else:
+                        near, far = _hashed(letter, b + p - (rest - half), e), k + mixed(_hashed(letter, b, b + half))
+                    add(2 + 2 * kind, few, size[few], apart, near)
+                    add(3 + 2 * kind, few, size[few], apart, far)
+            of = np.concatenate(of)
             columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(last[of].astype(np.int32)), batch.column(1).take(pa.array(of))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "last", "of"])
 
