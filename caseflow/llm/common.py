@@ -125,12 +125,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about ``size`` bytes, one longer document alone: first, last, bytes, offsets."""
+def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20, rows: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents of about ``size`` bytes and ``rows`` documents at most, one longer document alone: first, last, bytes, offsets."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, first + rows, max(first + 1, last))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -146,6 +146,47 @@ def arrow_pass(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+#: Partial sums of one key that are added up before the last step.
+FAN = 64
+
+
+def summed_lines(rows: DataFrame, kind: type, *keys: str) -> DataFrame:
+    """Sums of binary lines (arrays of ``kind``) by ``keys``: one row a key, from one row a key and partition.
+
+    Lines are added up as they come, in ``FAN`` places a key and then in one, so a task holds one sum
+    and a batch of lines whatever the number of partitions. Lines should be short (some kilobytes).
+    """
+    rows = rows.withColumn("place", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    return _summed(_summed(rows, kind, [*keys, "place"]), kind, [*keys])
+
+
+def _summed(rows: DataFrame, kind: type, names: list[str]) -> DataFrame:
+    """One level of ``summed_lines``: rows come to a task by key and in order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, kinds = None, None, None
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([v], k) for v, k in zip(at, kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([total.tobytes()], pa.binary())], [*names, "line"])
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:-1]]
+            for *head, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if head == at:
+                    total += np.frombuffer(line, kind)
+                    continue
+                if at is not None:
+                    yield told()
+                at, total = head, np.frombuffer(line, kind).copy()
+        if at is not None:
+            yield told()
+
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "line binary"])
+    dealt = rows.select(*names, "line").repartition(partitions(rows.sparkSession), *names)
+    return dealt.sortWithinPartitions(*names).mapInArrow(work, schema)
+
+
 def fixed_binary(values: np.ndarray) -> pa.Array:
     """Rows of a two-dimensional array as binary values."""
     values = np.ascontiguousarray(values)

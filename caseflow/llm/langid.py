@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.bytescan import _lookup, counts
-from caseflow.llm.common import arrow_pass, fixed_binary, pieces, remainder_of_id, text_of, texts_of
+from caseflow.llm.common import arrow_pass, fixed_binary, pieces, remainder_of_id, summed_lines, text_of, texts_of
 
 #: Trigrams are told apart by this many bits of a hash: a language's model has ``2 ** CELL_BITS`` counts.
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
-SLICES = 16
+SLICES = 64
 SMOOTHING = 0.1
 ROUNDS = 30
 TOLERANCE = 1e-3
@@ -64,8 +63,8 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and ln p(cell | language), from rows of text and lang (NULL ones are left out).
 
-    Every partition counts on its own and sends one array a language, in slices; slices are summed by
-    language, so a language of most documents is no hot group. The driver gets the counts alone:
+    Every partition counts on its own and sends one array a language, in slices; slices are summed in two levels, as a
+    stream, so neither a language of most documents nor the number of partitions makes a large group. The driver gets the counts alone:
     ``2 ** CELL_BITS`` numbers a language.
     """
 
@@ -85,13 +84,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             lines = fixed_binary(sums.reshape(SLICES, -1))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * SLICES), pa.array(range(SLICES), pa.int32()), lines], ["lang", "slice", "line"])
 
-    def summed(lines: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in lines["line"])
-        return pd.DataFrame({"lang": lines["lang"].iloc[:1], "slice": lines["slice"].iloc[:1], "line": [total.tobytes()]})
-
     schema = "lang string, slice int, line binary"
     taught = docs.select("text", "lang").where(F.col("lang").isNotNull())
-    rows = taught.mapInArrow(counted, schema).groupBy("lang", "slice").applyInPandas(summed, schema).collect()
+    rows = summed_lines(taught.mapInArrow(counted, schema), np.float64, "lang", "slice").collect()
     langs = sorted({r["lang"] for r in rows})
     table = np.zeros((len(langs), SLICES, CELLS // SLICES))
     for r in rows:

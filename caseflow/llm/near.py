@@ -2,30 +2,30 @@
 
 A document is the weighted set of its five-word shingles: a shingle weighs its count times the mean
 inverse document frequency of its words. Words are runs of letters and digits, small letters; their
-document frequencies are taken over all documents and kept in ``2 ** IDF_BITS`` hashed cells, so that
-the table has one size whatever the corpus.
+document frequencies are counted over all documents, word by word; below a share of the documents words count as
+equally rare, so that the table has a bound whatever the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, mixed
-from caseflow.llm.common import arrow_pass, fixed_binary, fixed_list, partitions, pieces, stored, text_of, texts_of, unpacked, whole_rows
+from caseflow.llm.common import arrow_pass, fixed_list, partitions, pieces, stored, text_of, texts_of, unpacked, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
-IDF_BITS = 18
-SLICES = 16
+#: A word in fewer documents than one of so many counts as one in as many.
+RAREST = 4096
 SALTS = 16
 PAIRS_IN_A_PLACE = 1000
 ROWS_IN_A_PART = 25_000
@@ -41,42 +41,54 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bytescan.hash_spans(data, starts, ends, bytescan.SMALL), bounds
 
 
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """ln((1 + N) / (1 + documents of the cell)) + 1 for every cell of words, over all rows of text.
+class Idf(NamedTuple):
+    """Inverse document frequencies: of the words in ``words`` (hashes, in order) ``values``, of all others ``rare``."""
 
-    Every partition counts into one array; arrays are summed in slices.
+    words: np.ndarray
+    values: np.ndarray
+    rare: float
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), self.rare, np.float32)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.values[at], np.float32(self.rare))
+
+
+def word_idf(docs: DataFrame) -> Idf:
+    """ln((1 + N) / (1 + df)) + 1 for every word, over all rows of text; df counts as N / ``RAREST`` at least.
+
+    So rare words all weigh alike at every size, and the words that have to be told apart are bounded: no more
+    than ``RAREST`` times the mean number of distinct words of a document are that frequent. Words are counted exactly,
+    in every batch before the shuffle.
     """
-    cells = 1 << IDF_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(cells, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
             data, offsets = texts_of(batch.column(0))
+            seen = []
             for _, _, part, at in pieces(data, offsets):
                 words, bounds = _words(part, at)
-                doc = np.repeat(np.arange(len(at) - 1, dtype=U), np.diff(bounds))
-                keys = (doc << U(IDF_BITS)) | (words >> U(64 - IDF_BITS))
-                keys.sort()
-                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-                total += np.bincount((keys & U(cells - 1)).astype(np.int64), minlength=cells)
-        if rows:
-            lines = fixed_binary(total.reshape(SLICES, -1))
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), lines, pa.array([rows] * SLICES, pa.int64())], ["slice", "line", "n"])
-
-    def summed(lines: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in lines["line"])
-        return pd.DataFrame({"slice": lines["slice"].iloc[:1], "line": [total.tobytes()], "n": [lines["n"].sum()]})
-
-    schema = "slice int, line binary, n bigint"
-    rows = docs.select("text").mapInArrow(counted, schema).groupBy("slice").applyInPandas(summed, schema).collect()
-    if not rows:
-        return np.ones(cells, np.float32)
-    table = np.concatenate([np.frombuffer(r["line"], np.int64) for r in sorted(rows, key=lambda r: r["slice"])])
-    return (np.log((1 + rows[0]["n"]) / (1 + table)) + 1).astype(np.float32)
-
-
-def weighted_sets(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                doc = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
+                order = np.argsort(words, kind="stable")  # documents stay in order
+                word, doc = words[order], doc[order]
+                fresh = np.ones(len(word), bool)
+                fresh[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+                seen.append(word[fresh])
+            word, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    total = docs.count()
+    floor = total / RAREST
+    found = docs.select("text").mapInArrow(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > floor)
+    rows = found.toPandas()
+    order = np.argsort(rows["word"].to_numpy().astype(np.int64).view(U))
+    words, n = rows["word"].to_numpy().astype(np.int64).view(U)[order], rows["n"].to_numpy().astype(np.float64)[order]
+    value = lambda df: np.log((1 + total) / (1 + df)) + 1
+    return Idf(words, value(n).astype(np.float32), float(np.float32(value(floor))))
+
+
+def weighted_sets(data: np.ndarray, offsets: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles in order of document and key: document, 48-bit key, weight; and 128-bit names of the word sequences.
 
     A text without words is named by its bytes other than white space, and has no shingle.
@@ -91,7 +103,7 @@ def weighted_sets(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tup
         names[i] = [bytescan.hash_spans(rest, *one, base=base)[0] if len(rest) else U(base) for base in (0, 1)]
     shingle, doc, first = bytescan.shingles(words, bounds, SHINGLE)
     rarity = np.zeros(len(words) + 1)
-    np.cumsum(idf[(words >> U(64 - IDF_BITS)).astype(np.int64)], dtype=np.float64, out=rarity[1:])
+    np.cumsum(idf.of(words), dtype=np.float64, out=rarity[1:])
     last = np.minimum(first + SHINGLE, bounds[1:][doc])
     mean = (rarity[last] - rarity[first]) / np.maximum(last - first, 1)
     keys = (doc.astype(U) << U(48)) | (shingle >> U(16))
@@ -148,7 +160,7 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return mixed(out + np.arange(BANDS, dtype=U))
 
 
-def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signed(docs: DataFrame, idf: Idf) -> DataFrame:
     """doc_id, text_key, the 128-bit name of the word sequence (n1, n2), and the band keys (none without words)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,7 +182,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return arrow_pass(rows, "doc_id bigint, text_key bigint, n1 bigint, n2 bigint, bands array<bigint>", work)
 
 
-def sets_of(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sets_of(docs: DataFrame, idf: Idf) -> DataFrame:
     """node, the weighted set of the text (48-bit keys in order, then their weights, as bytes), its total weight and its weight by cell.
 
     Rows of text, node, n1, n2; one whose text doesn't have the name (n1, n2) is left out.
@@ -343,7 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     word are alike if they have the same signs, missing and empty ones among them. Texts of fewer than
     five words have one shingle of all their words. Other columns are not read. No rows in, no rows out.
 
-    Every bucket's members are held against its least one, then only members of classes that are still
+    Every bucket's members are held against the one of them that meets most others, then only members of classes that are still
     apart against each other, so a group of copies costs one comparison each.
     """
     told = stored(near_classes(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))))

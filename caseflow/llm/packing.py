@@ -18,8 +18,6 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 ATTENTION = 65536
 PIECES_IN_A_SHARD = 50_000
-#: Steps after which a plain search for the fill of a bin has ended: no bin holds more pieces than tokens.
-LOOK_AHEAD = max(CAPACITIES)
 
 
 def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
@@ -79,19 +77,22 @@ def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> Data
     document without tokens keeps one row of length 0 and no bin. Pieces are dealt by hash into shards
     of about ``PIECES_IN_A_SHARD``, which are packed on their own, so no document, however long or often
     repeated, makes a shard grow; a shard leaves some part-filled bins at most. Rows that repeat are
-    packed each. Equal lengths go by doc_id (missing first) and piece.
+    packed each; bins are the same however the input is split. Equal lengths go by doc_id (missing first) and piece.
     """
     largest = max(capacities)
-    rows = stored(lengths.select(F.col("doc_id").cast("bigint"), F.coalesce("length", F.lit(0)).cast("bigint").alias("total")).withColumn("row", F.monotonically_increasing_id()))
+    rows = lengths.select(F.col("doc_id").cast("bigint"), F.coalesce("length", F.lit(0)).cast("bigint").alias("total"))
+    # Rows that are equal get numbers, which one has which doesn't matter: nothing depends on how the input is split.
+    rows = rows.groupBy("doc_id", "total").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    rows = stored(rows.select("doc_id", "total", "copy"))
     last = F.greatest(F.ceil(F.col("total") / largest) - 1, F.lit(0))
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     cut = cut.withColumns({"start": F.col("piece") * largest, "length": F.least(F.col("total") - F.col("piece") * largest, F.lit(largest))})
     n = cut.count()
     shards = max(1, -(-n // PIECES_IN_A_SHARD))
-    dealt = cut.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    dealt = cut.where("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "total", "copy", "piece"), F.lit(shards)))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], na_position="first", kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "total", "copy"], ascending=[False, True, True, True, True], na_position="first", kind="stable")
         bins, offsets, sizes = best_fit(group["length"].tolist(), capacities)
         out = group[["doc_id", "piece", "start", "length"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64")
@@ -101,7 +102,7 @@ def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> Data
         return out
 
     schema = "doc_id bigint, piece bigint, start bigint, length bigint, bin_id bigint, position bigint, capacity bigint"
-    full = dealt.select("doc_id", "piece", "start", "length", "row", "shard").groupBy("shard").applyInPandas(pack, schema)
+    full = dealt.select("doc_id", "piece", "start", "length", "total", "copy", "shard").groupBy("shard").applyInPandas(pack, schema)
     blank = F.lit(None).cast("bigint")
     none = cut.where("length <= 0").select("doc_id", "piece", "start", F.lit(0).cast("bigint").alias("length"), blank.alias("bin_id"), blank.alias("position"), blank.alias("capacity"))
     return full.union(none)

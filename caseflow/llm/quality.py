@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, _lookup, counts
-from caseflow.llm.common import arrow_pass, fixed_binary, fixed_list, pieces, remainder_of_id, stored, text_of, texts_of, unpacked, whole_rows
+from caseflow.llm.common import arrow_pass, fixed_binary, fixed_list, pieces, remainder_of_id, stored, summed_lines, text_of, texts_of, unpacked, whole_rows
 
 FOURIER = 256
 RIDGE = 1e-3
@@ -163,8 +163,8 @@ def _stats_of(column: pa.Array) -> np.ndarray:
 def fit(marked: DataFrame) -> Model:
     """A model from rows of stats and label (0 or 1; others are left out).
 
-    Every partition adds up its own normal equations; a row of the matrix is then summed over the
-    partitions by its index, so the driver gets one matrix of ``FOURIER + 1`` rows however large the
+    Every partition adds up its own normal equations; each row of the matrix is then summed over
+    the partitions in two levels, as a stream, so the driver gets one matrix of ``FOURIER + 1`` rows however large the
     input is. Calibration pools the scores of ``CELLS`` cells. Without a usable row every score is 0.5.
     """
     rows = stored(marked.where(F.col("label").isin(0, 1)).select("stats", F.col("label").cast("double").alias("label")))
@@ -191,11 +191,7 @@ def fit(marked: DataFrame) -> Model:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOURIER + 1, dtype=np.int32)), fixed_binary(total)], ["i", "line"])
 
-    def summed(lines: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": lines["i"].iloc[:1], "line": [sum(np.frombuffer(x) for x in lines["line"]).tobytes()]})
-
-    schema = "i int, line binary"
-    lines = rows.mapInArrow(sums, schema).groupBy("i").applyInPandas(summed, schema).collect()
+    lines = summed_lines(rows.mapInArrow(sums, "i int, line binary"), np.float64, "i").collect()
     table = np.stack([np.frombuffer(r["line"]) for r in sorted(lines, key=lambda r: r["i"])])
     gram = table[:, :-1] + RIDGE * one["n"] * np.diag([*[1.0 / FOURIER] * FOURIER, 0.0])
     model = Model(mean, scale, np.linalg.lstsq(gram, table[:, -1], rcond=None)[0])

@@ -73,15 +73,22 @@ class Automaton:
         self.classes = len(inner) + 1
         # All lonely bytes lead to nodes alike: a token without children.
         fill = children[0][lonely[0]] if lonely else 0
+        if n >= 1 << 24:
+            raise ValueError(f"a vocabulary with {n} nodes: the table holds 24 bits of them")
         table = np.zeros((n, self.classes), np.uint32)
         table[0, :-1] = [children[0][b] << 8 for b in inner]
         table[0, -1] = fill << 8
         flush = np.zeros(n, np.int64)
         fail_at, pops_at, depth_at = np.array(fail), np.array(pops, np.uint32), np.array(depth)
+        steps = np.zeros(n, np.int64)
         for level in range(1, int(depth_at.max()) + 1):
             nodes = np.flatnonzero(depth_at == level)
             table[nodes] = table[fail_at[nodes]] + pops_at[nodes, None]
             flush[nodes] = flush[fail_at[nodes]] + pops_at[nodes]
+            # The most that one step from here can pop.
+            steps[nodes] = steps[fail_at[nodes]] + pops_at[nodes]
+            if steps[nodes].max(initial=0) > 255:
+                raise ValueError("a vocabulary in which one byte ends more than 255 tokens: the table holds 8 bits of them")
             own = [(v, self.byte_class[b], c << 8) for v in nodes.tolist() for b, c in children[v].items()]
             if own:
                 v, b, c = np.array(own).T

@@ -2,6 +2,8 @@ import hashlib
 
 import numpy as np
 
+from llm_texts import balanced
+
 from caseflow.llm import fingerprint as fp
 
 
@@ -23,6 +25,15 @@ def test_many_texts_at_once_as_each_alone():
     assert len({tuple(w) for w in wide}) == len(texts)
 
 
+def test_texts_whose_letters_balance_differ():
+    one, other = balanced("a", "b"), balanced("b", "a")
+    texts = ["".join(one), "".join(other), " ".join(one), " ".join(other), "\n".join(one[:1024]), "\n".join(["a", *one[1:1024]])]
+    wide, sketch = fp.fingerprints(texts)
+    for lane in range(fp.HASH_LANES):
+        assert wide[0, lane] != wide[1, lane] and wide[2, lane] != wide[3, lane]
+    assert len({(*w, *s) for w, s in zip(wide.tolist(), sketch.tolist())}) == 5  # the last two are one text
+
+
 def test_likeness_follows_shared_triples():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(5000)]

@@ -35,6 +35,34 @@ def test_shares_are_the_best_mixture():
     assert (main[0], size[0]) == (0, 2) and abs(part[0] - 0.7) < 0.05
 
 
+def test_sets_of_languages_by_trying_all_sizes():
+    """Of the sets of the largest shares, the one with the best penalised likelihood."""
+    rng = np.random.default_rng(8)
+    logp = np.log(rng.dirichlet(np.full(400, 0.3), size=4).astype(np.float64) + 1e-6).T
+    for mix in ([1, 0, 0, 0], [0.5, 0.3, 0.2, 0], [0.4, 0.3, 0.2, 0.1], [0, 0.9, 0.1, 0]):
+        times = rng.multinomial(3000, sum(m * np.exp(logp[:, j]) for j, m in enumerate(mix)) / sum(m * np.exp(logp[:, j]).sum() for j, m in enumerate(mix)))
+        some = np.flatnonzero(times)
+        p, t = np.exp(logp[some]), times[some]
+        # Shares by plain expectation-maximisation, one trigram after the other.
+        share = np.full(4, 0.25)
+        for _ in range(400):
+            new = np.zeros(4)
+            for row, n in zip(p, t):
+                new += n * row * share / (row @ share)
+            share = new / t.sum()
+        order = sorted(range(4), key=lambda j: -share[j])
+        scores = {1: max((t * np.log(p[:, j])).sum() for j in range(4))}
+        for k in (2, 3, 4):
+            if share[order[k - 1]] >= langid.LEAST_SHARE:
+                cut = np.array([share[j] if j in order[:k] else 0 for j in range(4)])
+                scores[k] = (t * np.log(p @ (cut / cut.sum()))).sum() - langid.PENALTY * (k - 1) * np.log(t.sum()) / 2
+        best = max(scores, key=lambda k: (scores[k], -k))
+        main, part, size = langid.chosen(np.zeros(len(some), int), logp[some].astype(np.float32), t, 1)
+        assert size[0] == best == sum(m > 0 for m in mix)
+        assert main[0] == (order[0] if best > 1 else int(np.argmax((t[:, None] * np.log(p)).sum(axis=0))))
+        assert abs(part[0] - (share[order[0]] / share[order[:best]].sum() if best > 1 else 1)) < 0.02
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.languages(docs).collect()

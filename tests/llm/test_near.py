@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_texts import balanced
+
 from caseflow.llm import near
 from caseflow.llm.common import texts_of
 
@@ -18,11 +20,8 @@ def plain_words(text):
 def brute(rows):
     """Classes of doc_ids by all pairs that share a shingle."""
     words = {i: plain_words(t) for i, (_, t) in enumerate(rows)}
-    # Words that share a cell of the operator's table share a document frequency.
-    cell = lambda w: int(near._words(*texts_of(pa.array([w])))[0][0]) >> (64 - near.IDF_BITS)
-    cells = {w: cell(w) for w in {w for ws in words.values() for w in ws}}
-    df = collections.Counter(c for ws in words.values() for c in {cells[w] for w in ws})
-    idf = {w: math.log((1 + len(rows)) / (1 + df[c])) + 1 for w, c in cells.items()}
+    df = collections.Counter(w for ws in words.values() for w in {*ws})
+    idf = {w: math.log((1 + len(rows)) / (1 + max(n, len(rows) / near.RAREST))) + 1 for w, n in df.items()}
     sets = {}
     for i, ws in words.items():
         n = collections.Counter(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))) if ws else {}
@@ -112,7 +111,7 @@ def test_chains_are_one_class(spark):
 
 def test_whole_sets_of_a_batch_as_of_each_text():
     texts = ["one two three four five six", "", "one", "One  TWO, three! four five six", "a b c d e " * 50]
-    idf = np.ones(1 << near.IDF_BITS, np.float32)
+    idf = near.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
     doc, keys, weight, names = near.weighted_sets(*texts_of(pa.array(texts)), idf)
     for i, t in enumerate(texts):
         d, k, w, n = near.weighted_sets(*texts_of(pa.array([t])), idf)
@@ -120,6 +119,31 @@ def test_whole_sets_of_a_batch_as_of_each_text():
     assert (names[0] == names[3]).all()
 
 
+def test_frequencies_are_exact(documents, monkeypatch):
+    rows = [plain_words(r.text) for r in documents.select("text").collect()]
+    df = collections.Counter(w for ws in rows for w in {*ws})
+    for rarest in (4096, 20):
+        monkeypatch.setattr(near, "RAREST", rarest)
+        idf = near.word_idf(documents.repartition(5))
+        names = {w: near._words(*texts_of(pa.array([w])))[0] for w in df}
+        for w, n in df.items():
+            assert np.isclose(idf.of(names[w])[0], math.log((1 + len(rows)) / (1 + max(n, len(rows) / rarest))) + 1, rtol=1e-5)
+        assert len(idf.words) <= rarest * np.mean([len({*ws}) for ws in rows])
+
+
+def test_texts_whose_letters_balance_are_no_copies(spark):
+    """Sequences that sums of powers modulo 2^64 can't tell apart, as letters and as words."""
+    one, other = balanced("a", "b"), balanced("b", "a")
+    texts = ["".join(one), "".join(other), "see " + "".join(one) + " now", "see " + "".join(other) + " now", " ".join(one), " ".join(other)]
+    texts += [" ".join(balanced("river", "stone")), " ".join(balanced("stone", "river"))]
+    data, offsets = texts_of(pa.array(texts))
+    idf = near.Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
+    names = near.weighted_sets(data, offsets, idf)[3]
+    assert len({tuple(n) for n in names.tolist()}) == len(texts)
+    docs = spark.createDataFrame([*enumerate(texts[:4])], "doc_id bigint, text string")
+    assert {r.class_size for r in near.near_duplicates(docs).collect()} == {1}
+
+
 def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     got = near.near_duplicates(odd).collect()

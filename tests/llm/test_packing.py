@@ -17,7 +17,7 @@ def brute(sizes, capacities):
                 if c < size:
                     continue
                 gap, rest = c - size, sorted(sizes[i + 1 :], reverse=True)
-                for _ in range(packing.LOOK_AHEAD):
+                for _ in rest:
                     fit = next((j for j, x in enumerate(rest) if x <= gap), None)
                     if fit is None:
                         break
@@ -89,3 +89,11 @@ def test_small_pieces_open_the_cheapest_length():
         fill = {c: c // size * size for c in packing.CAPACITIES}
         cheapest = min(packing.CAPACITIES, key=lambda c: (packing.OVERHEAD + c + c * c / packing.ATTENTION) / fill[c])
         assert cheapest == 1024 and set(opened[:-1]) == {cheapest}
+
+
+def test_bins_do_not_follow_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_IN_A_SHARD", 50)
+    rows = [(i % 300 if i % 7 else None, (i * 7919) % 3000) for i in range(1000)]
+    lengths = spark.createDataFrame(rows, "doc_id bigint, length bigint")
+    bags = [sorted(map(str, packing.packed(lengths.repartition(n)).collect())) for n in (3, 5)]
+    assert bags[0] == bags[1] and len(bags[0]) >= 1000

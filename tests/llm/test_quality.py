@@ -3,7 +3,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from caseflow.llm import quality
+from caseflow.llm.common import FAN, summed_lines
 
 
 def test_statistics_of_a_batch_as_of_each_text():
@@ -27,6 +30,45 @@ def test_isotonic_fit_never_falls():
     assert np.isclose(fit.mean(), y.mean(), atol=0.02) and ((fit - y) ** 2).mean() < ((y.mean() - y) ** 2).mean()
 
 
+def test_isotonic_fit_by_minimax():
+    """At each place the greatest over starts of the least over ends of the mean between: the same fit by another way."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 25):
+        x, y, w = np.arange(float(n)), rng.normal(size=n).round(1), rng.integers(1, 6, n).astype(float)
+        expected = [max(min((y[a : b + 1] @ w[a : b + 1]) / w[a : b + 1].sum() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(np.interp(x, *quality.isotonic(x, y, w)), expected)
+
+
+def test_statistics_by_plain_rules():
+    """Shares and means of whole texts, counted one character and word at a time."""
+    texts = ["One two. Two!\nthree three three", "SHOUT it: 12 cats, ok", "a a a a b", "Éa b\nÉa b\n# #", "it ended..."]
+    for t in texts:
+        got = dict(zip(quality.STATISTICS, quality.text_statistics(pa.array([t]))[0]))
+        words, lines, size = t.split(), t.split("\n"), len(t.encode())
+        assert np.isclose(got["log_words"], np.log1p(len(words))) and np.isclose(got["log_lines"], np.log1p(len(lines)))
+        assert np.isclose(got["digits"], sum(c.isdigit() for c in t) / size) and np.isclose(got["capitals"], sum("A" <= c <= "Z" for c in t) / size)
+        assert np.isclose(got["distinct_words"], len({*words}) / len(words)) and np.isclose(got["top_word"], max(map(words.count, words)) / len(words))
+        triples = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        assert np.isclose(got["distinct_triples"], len({*triples}) / len(triples))
+        assert np.isclose(got["word_length"], np.mean([len(w.encode()) for w in words]))
+
+
+def test_sums_in_levels_over_many_partitions(spark):
+    """2,000 partitions: no group of the first level has more than its share of them."""
+    rows = spark.range(0, 2000, 1, 2000)
+
+    def lines(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([np.full(5, i, np.int64).tobytes(), np.arange(5).tobytes()])], ["slice", "line"])
+
+    partial = rows.mapInArrow(lines, "slice int, line binary")
+    got = {r["slice"]: np.frombuffer(r["line"], np.int64).tolist() for r in summed_lines(partial, np.int64, "slice").collect()}
+    assert got == {0: [sum(range(2000))] * 5, 1: [2000 * k for k in range(5)]}
+    placed = partial.withColumn("place", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    assert placed.groupBy("slice", "place").count().agg(F.max("count")).first()[0] <= 2000 / FAN + 1
+
+
 def test_partition_sums_give_the_one_solution(spark):
     rng = np.random.default_rng(5)
     stats = rng.normal(size=(400, len(quality.STATISTICS)))

@@ -1,7 +1,7 @@
 import re
 
 from caseflow.llm import substrings
-from llm_texts import sentence
+from llm_texts import balanced, sentence
 
 
 def units(text):
@@ -140,3 +140,29 @@ def test_line_that_recurs_alone_goes(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = substrings.removed_spans(docs).collect()
     assert sorted((r.doc_id, rows[r.doc_id][1][r.start : r.end], r.units, r.kept_doc_id) for r in got) == [(i, line, 1, 0) for i in range(1, 5)]
+
+
+def test_letters_that_balance_are_no_copy(spark):
+    one, other = "".join(balanced("a", "b")), "".join(balanced("b", "a"))
+    rows = [(1, f"see {one} now and then again"), (2, f"see {other} now and then again"), (3, " ".join(balanced("a", "b"))), (4, " ".join(balanced("b", "a")))]
+    got = substrings.removed_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    words = {d: t.split(" ") for d, t in rows}
+    expected = brute_passages(rows, substrings.LONG_RUN)
+    assert not [r for r in got if r.doc_id in (1, 2)]
+    gone = {(r.doc_id, k) for r in got for k in range(len(words[r.doc_id])) if r.start <= sum(map(len, words[r.doc_id][:k])) + k < r.end}
+    assert gone == {(d, k) for (_, d, _), (_, ks) in expected.items() if d > 2 for k in ks}
+
+
+def test_every_keeper_is_named(spark):
+    word = lambda k, i: "".join(chr(97 + (k * 7919 + i * 104729) // 26**j % 26) for j in range(5))
+    parts = [" ".join(word(k, i) for i in range(60)) for k in (1, 2, 3)]
+    rows = [(1, parts[0]), (2, parts[1]), (3, f"{parts[0]} {parts[1]}"), (None, parts[2]), (None, f"{parts[2]} {parts[0]}")]
+    got = {(r.doc_id, r.words): r for r in substrings.removed_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[3, 120].kept_doc_ids == [1, 2] and got[3, 120].kept_doc_id == 1
+    assert [r.kept_doc_ids for (d, _), r in got.items() if d is None] in ([[1, None]], [[1], [None]])
+
+
+def test_rows_that_repeat_are_one(spark):
+    docs = spark.createDataFrame([(7, sentence(1, 80))] * 40 + [(8, sentence(1, 80))] * 30, "doc_id bigint, text string").repartition(6)
+    got = substrings.removed_spans(docs).collect()
+    assert {(r.doc_id, r.words, r.kept_doc_id) for r in got if r.doc_id == 8} == {(8, 80, 7)} and len([r for r in got if r.doc_id == 8]) == 1
