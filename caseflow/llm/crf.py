@@ -256,7 +256,8 @@ def labelled_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
     part = F.pmod(F.xxhash64("of_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    told = told.where(part < share)
+    # About 2 * SAMPLE identifiers at any size: they go to the texts, so that no other text moves.
+    told = F.broadcast(told.where(part < share))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = texts_of(batch.column(0))
