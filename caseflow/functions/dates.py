@@ -14,6 +14,11 @@ NTZ = "timestamp_ntz"
 DATE_TEXT = r"^ *(\d{1,2}/ *\d{1,2}/ *\d{1,4})"
 
 
+def parsed_day(text: Column) -> Column:
+    """The day that a text starts with as month/day/year; NULL where it is no date."""
+    return F.try_to_date(F.regexp_replace(F.regexp_extract(text, DATE_TEXT, 1), " ", ""), "M/d/y")
+
+
 def wall_clock(df: DataFrame, name: str) -> Column:
     """``df[name]`` as a zone-free timestamp.
 
@@ -24,8 +29,7 @@ def wall_clock(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.TimestampNTZType):
         return column
     if isinstance(kind, T.StringType):
-        text = F.regexp_replace(F.regexp_extract(column, DATE_TEXT, 1), " ", "")
-        return F.try_to_date(text, "M/d/y").cast(NTZ)
+        return parsed_day(column).cast(NTZ)
     return column.cast(NTZ)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.text import MISSING
+
 
 def to_long(df: DataFrame, ids: Sequence[str], names_to: str, values_to: str) -> DataFrame:
     """All columns but ``ids`` as (name, value) rows; missing values stay."""
@@ -28,3 +30,17 @@ def to_wide(
     grouped = df.groupBy(*ids)
     pivoted = grouped.pivot(names_from, [*names]) if names else grouped.pivot(names_from)
     return pivoted.agg(F.sum(values_from))
+
+
+def to_map(
+    df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, to: str
+) -> DataFrame:
+    """One map column from each value of ``names_from`` to the sum of its cells.
+
+    Nothing has to be known beforehand and no number of names is too many. A missing name is the text
+    ``MISSING``, and added to one that is called so.
+    """
+    name = F.coalesce(names_from, F.lit(MISSING))
+    sums = df.groupBy(*ids, name.alias("_name")).agg(F.sum(values_from).alias("_sum"))
+    entries = F.array_sort(F.collect_list(F.struct("_name", "_sum")))
+    return sums.groupBy(*ids).agg(F.map_from_entries(entries).alias(to))

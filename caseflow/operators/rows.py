@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions.dates import as_date
 from caseflow.operators.joins import lookup
@@ -90,9 +91,15 @@ def distinct_values(df: DataFrame, name: str) -> DataFrame:
     return df.select(name).distinct()
 
 
-def in_key_order(df: DataFrame, *keys: str) -> DataFrame:
-    """Presentation order: ascending keys, missing ones last."""
-    return df.orderBy(*[F.asc_nulls_last(k) for k in keys])
+def in_key_order(df: DataFrame, *keys: str, collation: str | None = None) -> DataFrame:
+    """Presentation order: ascending keys, missing ones last.
+
+    Text is ordered by code point unless a collation is named: capitals before small letters, accents
+    behind both. ``UNICODE`` orders as dictionaries do, ``de`` or another locale as that language does.
+    """
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    by = [F.collate(k, collation) if collation and k in text else F.col(k) for k in keys]
+    return df.orderBy(*[k.asc_nulls_last() for k in by])
 
 
 def template_row(df: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ def prepare_cases(
     always_to_pull: bool = False,
     groups: Mapping[str, Sequence[str]] = domain.PROGRAM_GROUPS,
     salt: int = 1,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The prepared case table. ``facilities`` is None when ``raw`` names its facility already.
+    ``keep`` adds further columns of ``raw`` at the end.
 
     Rows without facility name or case number are dropped next to the join, which lets Spark turn
     the outer join into an inner one.
@@ -59,7 +61,7 @@ def prepare_cases(
                 always_to_pull=always_to_pull,
             ),
         )
-        .select(*domain.CASES_COLUMNS)
+        .select(*domain.CASES_COLUMNS, *keep)
     )
 
 

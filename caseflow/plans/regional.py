@@ -17,7 +17,7 @@ from caseflow.functions.categories import (
     under_year,
 )
 from caseflow.operators.measures import case_count, case_count_where, null_if_zero
-from caseflow.operators.reshape import to_long, to_wide
+from caseflow.operators.reshape import to_long, to_map, to_wide
 from caseflow.operators.rows import (
     columns_between,
     first_row_per,
@@ -177,6 +177,7 @@ def pending_transposed(
     region: str | None = None,
     programs: Sequence[str] | None = None,
     statuses: Sequence[str] = domain.PENDING,
+    as_map: bool = False,
 ) -> DataFrame:
     """Pending counts on their side: a row per bucket and for the total, a column per program.
 
@@ -184,8 +185,17 @@ def pending_transposed(
     Spark looks for them first, in the counts kept at the checkpoint folder if the session has one.
     With ``programs`` the columns are those, whatever is found; all others are summed in
     ``domain.REST_OF_PROGRAMS`` and the whole row in ``domain.ALL_PROGRAMS``, so no case is lost.
+
+    ``as_map`` puts the programs found into one column ``programs``, a map from program to count, and
+    the whole row in ``all_programs``: no job while the plan is built, however many programs there are.
     """
     counts = _pending_counts(cases, region, statuses)
+    if as_map:
+        cells = to_long(counts, ["facility_region", "program"], "pending_status", "total")
+        rows = group_keys(region, "pending_status")
+        wide = to_map(cells.filter(F.col("total").isNotNull()), rows, "program", "total", "programs")
+        whole = F.aggregate(F.map_values("programs"), F.lit(0).cast("long"), lambda a, x: a + x)
+        return wide.withColumn("all_programs", whole)
     if programs is None:
         counts = cut_lineage(counts)
     cells = to_long(counts, ["facility_region", "program"], "pending_status", "total")
@@ -200,8 +210,9 @@ def pending_transposed(
     return wide.withColumn(domain.ALL_PROGRAMS, whole.cast("long"))
 
 
-def monitored_representative(cases: DataFrame) -> DataFrame:
-    """One monitored case per region, the first by case number, with the region's count."""
+def monitored_representative(cases: DataFrame, order: str = "ea_number") -> DataFrame:
+    """One monitored case per region, the first by case number, with the region's count. With
+    ``files.PLACE`` as ``order`` it is the first one of the extract."""
     monitored = cases.filter(has_status(domain.EFFECTIVE))
     count = F.count(F.lit(1)).alias("program_total")
-    return first_row_per(monitored, "facility_region", "ea_number", count)
+    return first_row_per(monitored, "facility_region", order, count)

@@ -147,10 +147,13 @@ def with_cash_total(cases: DataFrame, key: str, totals: DataFrame | None = None)
     return with_group_value(cases, key, CASH_NAMES[key], cash_total(cases), totals)
 
 
-def cash_drill_rows(cases: DataFrame, selections: Sequence[str]) -> DataFrame:
-    """The drill-down with a whole case per program and region: the first by case number."""
+def cash_drill_rows(
+    cases: DataFrame, selections: Sequence[str], order: str = "ea_number"
+) -> DataFrame:
+    """The drill-down with a whole case per program and region: the first by case number, or by
+    ``order``."""
     chosen = cases.filter(F.col(REGION).isin(*selections))
     pair_total = cash_total(chosen).alias("pair_total")
-    first = first_row_per(chosen, [PROGRAM, REGION], "ea_number", pair_total)
+    first = first_row_per(chosen, [PROGRAM, REGION], order, pair_total)
     total = F.sum("pair_total").over(Window.partitionBy(PROGRAM))
     return first.withColumn("program_total", total).drop("pair_total")

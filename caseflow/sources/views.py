@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,62 @@ def read_view_jdbc(spark: SparkSession, url: str, view: str, **settings) -> Data
     return spark.read.format("jdbc").options(**jdbc_options(url, view, **settings)).load()
 
 
+def jdbc_catalogue(name: str, url: str, driver: str | None = None, **more: str) -> dict[str, str]:
+    """Session settings under which a database is the catalogue ``name``.
+
+    Its schemas are namespaces: ``available_views(spark, f"{name}.{domain.VIEW_SCHEMA}")`` lists them
+    and ``read_view_table(spark, view, f"{name}.{domain.VIEW_SCHEMA}")`` reads one, and the database
+    applies filters, counts, sums, limits and samples itself. ``more`` has further options of the
+    reader, user and password among them.
+    """
+    at = f"spark.sql.catalog.{name}"
+    pushed = ("pushDownPredicate", "pushDownAggregate", "pushDownLimit", "pushDownOffset", "pushDownTableSample")
+    settings = {"url": url, **{p: "true" for p in pushed}, "preferTimestampNTZ": "true", **more}
+    if driver:
+        settings["driver"] = driver
+    source = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
+    return {at: source, **{f"{at}.{k}": v for k, v in settings.items()}}
+
+
+def quantile_query(
+    view: str, split_on: str, partitions: int, schema: str | None = domain.VIEW_SCHEMA
+) -> str:
+    """A question to the database, as a table: the least key of each of ``partitions`` equal shares of the rows."""
+    table = f"{schema}.{view}" if schema else view
+    shares = f"SELECT {split_on} AS k, NTILE({partitions}) OVER (ORDER BY {split_on}) AS share FROM {table} WHERE {split_on} IS NOT NULL"
+    return f"(SELECT share, MIN(k) AS low FROM ({shares}) s GROUP BY share) q"
+
+
+def split_predicates(split_on: str, lows: Sequence[object]) -> list[str]:
+    """Conditions that deal every row to one task, cut at the least keys of equal shares.
+
+    Even bounds leave most rows to few tasks where keys are dense in one place; these follow the rows.
+    Equal cuts are one, so a key of very many rows stays whole. Rows without a key go to the first.
+    """
+    cuts = sorted({low for low in lows if low is not None})[1:]
+
+    def shown(value: object) -> str:
+        return str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
+
+    if not cuts:
+        return ["1 = 1"]
+    first = f"{split_on} < {shown(cuts[0])} OR {split_on} IS NULL"
+    inner = [f"{split_on} >= {shown(a)} AND {split_on} < {shown(b)}" for a, b in zip(cuts, cuts[1:])]
+    return [first, *inner, f"{split_on} >= {shown(cuts[-1])}"]
+
+
+def read_view_shares(
+    spark: SparkSession, url: str, view: str, split_on: str, partitions: int, **settings
+) -> DataFrame:
+    """A database view in tasks of about equal size: the database is asked for the cuts first."""
+    options = jdbc_options(url, view, **settings)
+    table = options.pop("dbtable")
+    question = quantile_query(table, split_on, partitions, None)
+    cuts = spark.read.format("jdbc").options(**options, dbtable=question).load().select("low").collect()
+    predicates = split_predicates(split_on, [r["low"] for r in cuts])
+    return spark.read.jdbc(options.pop("url"), table, predicates=predicates, properties=options)
+
+
 def read_view_parquet(spark: SparkSession, folder: str, view: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{view}")
 

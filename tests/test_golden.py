@@ -453,3 +453,58 @@ def test_decimal_money_stays_exact(spark):
     assert str(total) == "10000.00"
     bar = charts.chart_series(statewide.cash_by_region(cents), "cash_by_region").first()
     assert bar.label == "Region Name:  PRO<br>Regional Total: $ 10,000"
+
+
+def test_several_pulls_are_one_reading(spark, cases):
+    both = cases.unionByName(prepare_cases(golden.raw(spark), golden.facilities(spark), "2019-06-01"))
+    staff = golden.org_chart(spark), golden.referral_rates(spark)
+    plans = [getattr(statewide, name) for name in charts.STATEWIDE_PAGE]
+    plans += [regional.region_pending_by_program, regional.region_terminated_by_program, regional.region_monitored_by_program]
+    plans += [lambda c, **s: regional.region_workload_summary(c, "PRO", **s), lambda c, **s: regional.region_pending_by_program(c, "PRO", **s)]
+    for staffed in (staffing.fte_deficit_by_region, staffing.region_capacity_fte):
+        plans += [lambda c, f=staffed, **s: f(c, *staff, **s)]
+    plans += [lambda c, **s: staffing.fte_deficit_by_region(c, *staff, all_regions=True, **s), lambda c, **s: staffing.region_capacity_fte(c, *staff, "BRRO", **s)]
+    dates = [golden.PULL_DATE, "2019-06-01", "2000-01-01"]
+    for plan in plans:
+        found = by_pull(both, plan, dates)
+        for date in dates:  # of the last pull there is no case
+            own = both.filter(F.col("pull_date") == F.lit(date).cast("date"))
+            assert rows(found.filter(F.col("pull_date") == F.lit(date).cast("date")).drop("pull_date")) == rows(plan(own)), date
+
+
+def test_another_pull_adds_no_scan(spark, tmp_path):
+    cases = prepare_cases(golden.raw(spark), golden.facilities(spark), golden.PULL_DATE)
+    cases.write.partitionBy("pull_date").parquet(f"{tmp_path}/cases")
+    stored = spark.read.parquet(f"{tmp_path}/cases")
+    for plan in (statewide.pending_by_region, regional.region_workload_summary):
+        scans = [
+            by_pull(stored, plan, dates)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+            for dates in ([golden.PULL_DATE], [golden.PULL_DATE, "2019-06-01"], [golden.PULL_DATE, "2019-06-01", "2018-06-01"])
+        ]
+        assert scans == [1, 1, 1]
+
+
+def test_order_under_a_locale(spark):
+    names = ["PReP", "Other", "other", "Öl", "VPA", "PrEP", "Zebra", "apple", None]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "program string, n int")
+    shown = lambda *a, **s: [r.program for r in row_operators.in_key_order(df, *a, **s).collect()]
+    assert shown("program") == ["Other", "PReP", "PrEP", "VPA", "Zebra", "apple", "other", "Öl", None]
+    assert shown("program", collation="UNICODE") == ["apple", "Öl", "other", "Other", "PrEP", "PReP", "VPA", "Zebra", None]
+    assert shown("program", collation="sv") == ["apple", "other", "Other", "PrEP", "PReP", "VPA", "Zebra", "Öl", None]
+    assert [r.n for r in row_operators.in_key_order(df, "n", collation="UNICODE").collect()] == [*range(9)]
+
+
+def test_programs_not_known_beforehand(spark, cases, counted):
+    found = {r.pending_status: (r.programs, r.all_programs) for r in regional.pending_transposed(counted, "PRO", as_map=True).collect()}
+    wide = {r.pending_status: r.asDict() for r in regional.pending_transposed(counted, "PRO").collect()}
+    for status, (programs, whole) in found.items():
+        listed = {k: v for k, v in wide[status].items() if k != "pending_status" and v is not None}
+        assert programs == listed and whole == sum(listed.values())
+    assert set(found) == set(wide)
+    many = spark.range(20_000).selectExpr("concat('P', id) AS program", "'PRO' AS facility_region", "'Pending' AS status_code", "id % 800 AS days_pending")
+    many = many.unionByName(many.limit(3).withColumn("program", F.lit(None).cast("string")))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    plan = regional.pending_transposed(many, as_map=True)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    total = plan.where("pending_status = 'program_total'").first()
+    assert len(total.programs) == 20_001 and total.programs["NA"] == 3 and total.all_programs == 20_003

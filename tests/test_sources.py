@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caseflow import domain
 from caseflow.operators.joins import duplicate_keys
-from caseflow.plans import export, recon
+from caseflow.plans import export, recon, regional
 from caseflow.plans.prepare import prepare_cases, prepare_extract
 from caseflow.session import cut_lineage
 from caseflow.sources import files, store, views
@@ -35,6 +35,29 @@ def test_jdbc_options_split_the_scan():
         views.jdbc_options("jdbc:x", domain.CASES_VIEW, split_on="Enc_Id")
 
 
+def test_a_database_as_a_catalogue():
+    settings = views.jdbc_catalogue("enforcement", "jdbc:x", driver="some.Driver", user="u")
+    at = "spark.sql.catalog.enforcement"
+    assert settings[at].endswith("v2.jdbc.JDBCTableCatalog")
+    assert (settings[f"{at}.url"], settings[f"{at}.driver"], settings[f"{at}.user"]) == ("jdbc:x", "some.Driver", "u")
+    assert {settings[f"{at}.{p}"] for p in ("pushDownPredicate", "pushDownAggregate", "pushDownLimit")} == {"true"}
+    assert "driver" not in " ".join(views.jdbc_catalogue("c", "jdbc:x"))
+
+
+@pytest.mark.parametrize("keys", [[5, 1, 9, 9, 9, 9, 2, 7, None, 9], [None, None], [3], [], ["b", "a'c", "d", None, "a'c"]])
+def test_every_row_is_in_one_share(spark, keys):
+    kind = "string" if any(isinstance(k, str) for k in keys) else "long"
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {kind}, i long")
+    known = rows.where("k IS NOT NULL").selectExpr("k", "ntile(4) OVER (ORDER BY k) AS share")
+    lows = [r.low for r in known.groupBy("share").agg(F.min("k").alias("low")).collect()]
+    predicates = views.split_predicates("k", lows)
+    found = [r.i for p in predicates for r in rows.where(p).collect()]
+    assert sorted(found) == [*range(len(keys))]
+    assert 1 <= len(predicates) <= 4
+    asked = views.quantile_query("v", "k", 4)
+    assert "NTILE(4) OVER (ORDER BY k)" in asked and "FROM enf.v WHERE k IS NOT NULL" in asked
+
+
 @contextlib.contextmanager
 def database(spark):
     """A namespace of the test's own, gone afterwards."""
@@ -140,6 +163,78 @@ def test_case_extract(spark, tmp_path):
     assert found["EA1"].cash_civil_charge == 1000.5 and found["EA2"].cash_civil_charge is None
 
 
+def test_what_could_not_be_read_is_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Region,Position,Position number,Capacity\nPRO,Manager,P1,8\nPRO,Manager,P2,eight\nTRO,Manager\nCO,Manager,P3,NA\n")
+    (tmp_path / "b.csv").write_text("Region,Position,Position number,Capacity\nCO,Manager,P4,4,and more\nCO,Manager,P5,\nCO,Manager,P6,1e99\n")
+    parsed = files.parse_org_chart(spark, str(tmp_path))
+    assert parsed.rows.schema == domain.ORG_CHART_SCHEMA
+    assert sorted(map(tuple, parsed.rows.collect()), key=repr) == sorted(map(tuple, files.read_org_chart(spark, str(tmp_path)).collect()), key=repr)
+    assert [r.capacity for r in parsed.rows.where("position_number = 'P4'").collect()] == [4]
+    found = sorted((r.file.rsplit("/", 1)[1], r.record, r.field or "", r.text, r.reason) for r in parsed.rejects.collect())
+    assert found == [
+        ("a.csv", 2, "Capacity", "eight", "no int"),
+        ("a.csv", 3, "", "TRO,Manager", "another number of fields"),
+        ("b.csv", 1, "", "CO,Manager,P4,4,and more", "another number of fields"),
+        ("b.csv", 3, "Capacity", "1e99", "no int"),
+    ]
+    assert "Scan ExistingRDD" in parsed.rejects._jdf.queryExecution().executedPlan().toString()
+    empty = tmp_path / "none" / "c.csv"
+    empty.parent.mkdir()
+    empty.write_text("Region,Position,Position number,Capacity\n")
+    none = files.parse_org_chart(spark, str(empty))
+    assert none.rows.count() == none.rejects.count() == 0
+
+
+def test_records_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"R{i},{i if i % 500 else 'many'}" for i in range(1, 4001)]
+    (tmp_path / "rates.csv").write_text("Region,Referral Rate\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        parsed = files.parse_referral_rates(spark, str(tmp_path / "rates.csv"))
+        assert parsed.rows.rdd.getNumPartitions() > 3
+        assert sorted(r.record for r in parsed.rejects.collect()) == [500 * k for k in range(1, 9)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_first_row_follows_the_files(spark, tmp_path):
+    """The first case of a region as the files have it, however they are split."""
+    header = _extract_header()
+    for name, numbers in (("a.csv", range(300, 200, -1)), ("b.csv", range(1, 50))):
+        with (tmp_path / name).open("w", newline="") as out:
+            writer = csv.DictWriter(out, header)
+            writer.writeheader()
+            for i in numbers:
+                writer.writerow(dict.fromkeys(header, "") | {"Facility Name": "Acme", "EA Number": f"EA{i:03}", "Facility Region": "PRO" if i % 3 else "TRO", "Status Code": "Effective"})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for size in ("2k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            extract = files.read_case_extract(spark, str(tmp_path), multiline=False, place=True)
+            cases = prepare_extract(extract, golden.PULL_DATE, keep=[files.PLACE])
+            first = regional.monitored_representative(cases, files.PLACE)
+            found.append(sorted((r.facility_region, r.ea_number, r.program_total) for r in first.collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == [("PRO", "EA299", 99), ("TRO", "EA300", 50)]
+    by_number = regional.monitored_representative(cases.drop(files.PLACE))
+    assert sorted(r.ea_number for r in by_number.collect()) == ["EA001", "EA003"]
+
+
+def test_extract_rejects_dates_and_charges(spark, tmp_path):
+    header = _extract_header()
+    with (tmp_path / "x.csv").open("w", newline="") as out:
+        writer = csv.DictWriter(out, header)
+        writer.writeheader()
+        writer.writerow(dict.fromkeys(header, "") | {"NOV Date": "13/45/2019", "Cash Civil Charge": "unknown", "Term Date": " "})
+        writer.writerow(dict.fromkeys(header, "") | {"NOV Date": "4/5/2019 and later", "Cash Civil Charge": "7"})
+    parsed = files.parse_case_extract(spark, str(tmp_path / "x.csv"), multiline=True)
+    found = sorted((r.record, r.field, r.text, r.reason) for r in parsed.rejects.collect())
+    assert found == [(1, "Cash Civil Charge", "unknown", "no double"), (1, "NOV Date", "13/45/2019", "no date")]
+
+
 def test_store_replaces_its_own_pull_only(spark, cases, tmp_path):
     path = f"{tmp_path}/cases"
     earlier = cases.withColumn("pull_date", F.lit("2020-03-31").cast("date"))
