@@ -171,6 +171,31 @@ def _keys(ids: np.ndarray, names: np.ndarray) -> np.ndarray:
 STRETCHES = "h bigint, c1 bigint, c2 bigint, rank bigint, name bigint, at int, low int, hashes array<bigint>, starts array<bigint>, ends array<bigint>"
 
 
+_NOTHING = np.zeros(0, np.uint8)
+
+
+def _stretches_of(part: np.ndarray, at: np.ndarray, ids: np.ndarray, names: np.ndarray, marks: pa.ListArray) -> pa.RecordBatch | None:
+    """``STRETCHES`` of some texts whose seeds are in ``marks``."""
+    starts, ends, bounds, words, passage, doc, seed, hashes = _seeded(part, at)
+    marked = np.zeros(len(words) + 1, bool)
+    marked[marks.flatten().to_numpy() + np.repeat(bounds[:-1], marks.value_lengths().to_numpy())] = True
+    keep = marked[seed]
+    passage, doc, seed = passage[keep], doc[keep], seed[keep]
+    if not len(passage):
+        return None
+    begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    many = np.diff(np.append(begin, len(passage)))
+    first, of, one = passage[begin], doc[begin], seed[begin]
+    c1, c2 = (bytescan.mixed(bytescan.fold_runs(words, first, first + many + LONG_RUN - 1, base) + (one - first).astype(U)).view(np.int64) for base in (0, 1))
+    chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
+    from_doc = chars[at[:-1]][doc]
+    edge = pa.array(np.append(begin, len(passage)).astype(np.int32))
+    lists = (bytescan.fold_runs(words, passage, passage + LONG_RUN).view(np.int64), chars[starts[passage]] - from_doc, chars[ends[passage + LONG_RUN - 1]] - from_doc)
+    columns = [hashes[one].view(np.int64), c1, c2, ids[of], names[of], (one - bounds[:-1][of]).astype(np.int32), (one - first).astype(np.int32)]
+    arrays = [*(pa.array(c) for c in columns), *(pa.ListArray.from_arrays(edge, pa.array(x)) for x in lists)]
+    return pa.RecordBatch.from_arrays(arrays, ["h", "c1", "c2", "rank", "name", "at", "low", "hashes", "starts", "ends"])
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """A row for every stretch of every whole text whose seed occurs twice or more.
 
@@ -190,37 +215,16 @@ def stretches(docs: DataFrame) -> DataFrame:
         packed = [pa.compress(raw[a:b], codec="zstd", asbytes=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         return [_keys(ids, names), ids, names, np.diff(at), pa.array(packed, pa.binary())]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, names, size, marks = (batch.column(k) for k in (0, 1, 2, 4))
-        ids, names, size = np.asarray(ids), np.asarray(names), np.asarray(size)
-        text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(batch.column(3).to_pylist(), size.tolist()))
-        data, offsets = np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size)])
-        out: list[list] = [[np.zeros(0, np.int64)] for _ in range(10)]
-        for begin, stop, part, at in pieces(data, offsets):
-            starts, ends, bounds, words, passage, doc, seed, hashes = _seeded(part, at)
-            mark = marks.slice(begin, stop - begin)
-            marked = np.zeros(len(words) + 1, bool)
-            marked[mark.flatten().to_numpy() + np.repeat(bounds[:-1], mark.value_lengths().to_numpy())] = True
-            keep = marked[seed]
-            passage, doc, seed = passage[keep], doc[keep], seed[keep]
-            if not len(passage):
-                continue
-            begin_of = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
-            many = np.diff(np.append(begin_of, len(passage)))
-            first, of, one = passage[begin_of], doc[begin_of], seed[begin_of]
-            c1, c2 = (bytescan.mixed(bytescan.fold_runs(words, first, first + many + LONG_RUN - 1, base) + (one - first).astype(U)) for base in (0, 1))
-            chars = np.concatenate([[0], np.cumsum(_LEAD[part])])
-            from_doc = chars[at[:-1]][doc]
-            each = bytescan.fold_runs(words, passage, passage + LONG_RUN).view(np.int64)
-            columns = (hashes[one].view(np.int64), c1.view(np.int64), c2.view(np.int64), ids[begin:stop][of], names[begin:stop][of], one - bounds[:-1][of], one - first, many)
-            for column, values in zip(out, (*columns, np.stack([each, chars[starts[passage]] - from_doc, chars[ends[passage + LONG_RUN - 1]] - from_doc], axis=1))):
-                column.append(values)
-        flat = [np.concatenate(c) for c in out[:8]]
-        lists = np.concatenate([np.zeros((0, 3), np.int64), *out[8][1:]])
-        edge = pa.array(np.concatenate([[0], np.cumsum(flat[7])]).astype(np.int32))
-        columns = [*(pa.array(c) for c in flat[:5]), *(pa.array(c.astype(np.int32)) for c in flat[5:7])]
-        columns += [pa.ListArray.from_arrays(edge, pa.array(np.ascontiguousarray(lists[:, k]))) for k in range(3)]
-        return pa.RecordBatch.from_arrays(columns, ["h", "c1", "c2", "rank", "name", "at", "low", "hashes", "starts", "ends"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(batch.column(2))
+            # A few texts at a time are unpacked, and what they give goes on before the next.
+            for begin, stop, _, at in pieces(_NOTHING, np.concatenate([[0], np.cumsum(size)])):
+                packed = batch.column(3).slice(begin, stop - begin).to_pylist()
+                text = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(packed, size[begin:stop].tolist()) if n)
+                mine = [batch.column(k).slice(begin, stop - begin) for k in (0, 1, 4)]
+                if (told := _stretches_of(np.frombuffer(text, np.uint8), at, np.asarray(mine[0]), np.asarray(mine[1]), mine[2])) is not None:
+                    yield told
 
     all_seeds = rows.mapInArrow(_once(seeds, ["h", "key", "seed"]), "h bigint, key bigint, seed int")
     again = all_seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.expr("h ^ 0L").alias("g"))
@@ -228,7 +232,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     marks = marks.select(F.expr("key ^ 0L").alias("of_key"), "seeds")
     texts = rows.mapInArrow(_once(keyed, ["key", "rank", "name", "size", "packed"]), "key bigint, rank bigint, name bigint, size bigint, packed binary")
     both = texts.join(marks, texts["key"] == marks["of_key"]).select("rank", "name", "size", "packed", "seeds")
-    return arrow_pass(both, STRETCHES, work)
+    return both.mapInArrow(work, STRETCHES)
 
 
 def _first_passages(found: DataFrame) -> DataFrame:
