@@ -285,6 +285,9 @@ WHERE executed_date {_SINCE} OR nov_date {_SINCE} OR term_date {_SINCE}""",
     "cases_year_to_date": f"SELECT {_CASES} FROM cases WHERE {_YTD}",
     "cases_year_to_date_at_source": f"SELECT {_CASES} FROM cases WHERE {_YTD}",
     "reconcile_cases": f"""SELECT {_CASES} FROM cases y WHERE {_YTD}
+  AND EXISTS (SELECT 1 FROM cases o WHERE o.ea_number = y.ea_number
+    AND (o.executed_date {_EARLIER} OR o.nov_date {_EARLIER} OR o.term_date {_EARLIER}))""",
+    "reconcile_stored_pulls": f"""SELECT {_CASES} FROM cases y WHERE {_YTD}
   AND EXISTS (SELECT 1 FROM cases o WHERE o.ea_number = y.ea_number
     AND (o.executed_date {_EARLIER} OR o.nov_date {_EARLIER} OR o.term_date {_EARLIER}))""",
     "cases_prepared_from_view": f"""SELECT {_DETAIL.replace(" nov_date,", " CASE WHEN nov_number LIKE '%77' THEN NULL ELSE nov_date END AS nov_date,")},
@@ -379,6 +382,11 @@ SELECT region, capacity, pending_total, referral_rate, referral_deficit, current
     ELSE 'unlisted' END AS class,
   position || '- ' || position_number AS title, 'Capacity: ' || coalesce(CAST(capacity AS STRING), 'NA') AS subtitle FROM org_chart""",
     "pending_transposed": _transposed(None),
+    "pending_transposed_cells": f"""
+p AS (SELECT facility_region, program, CASE WHEN days_pending >= 365 THEN 'active_gt_365' ELSE 'active_lt_365' END AS b FROM cases WHERE {PENDING}),
+u AS (SELECT facility_region, program, b FROM p UNION ALL SELECT facility_region, program, 'program_total' AS b FROM p)
+SELECT facility_region, b AS pending_status, coalesce(program, 'NA') AS program, count(*) AS total,
+  CAST(sum(count(*)) OVER (PARTITION BY facility_region, b) AS BIGINT) AS all_programs FROM u GROUP BY facility_region, program, b""",
     "pending_transposed_one": _transposed(REGION),
     "monitored_representative": f"""SELECT {_CASES}, program_total FROM (
   SELECT c.*, count(*) OVER (PARTITION BY facility_region) AS program_total,

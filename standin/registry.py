@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from caseflow import domain
 from caseflow.plans import charts, cube, export, pulls, recon, regional, staffing, statewide
+from caseflow.session import checkpoint_folder
+from caseflow.sources import store
 from standin.tables import EARLIER_PULL, PULL_DATE, CaseTables
 
 REGION = "ASIA"
@@ -55,6 +58,25 @@ def _reconciled(t: CaseTables) -> DataFrame:
     return recon.reconcile_cases(recon.year_to_date(t.cases()), earlier)
 
 
+def _reconciled_stored(t: CaseTables) -> DataFrame:
+    """The same from two stored pulls that are dealt out by case number."""
+    spark = t.spark
+    shared = checkpoint_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    folder, buckets = f"{shared}/pulls-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    earlier = recon.prepare_touched(t.raw_cases(), t.facilities(), EARLIER_PULL)
+    store.write_pull(recon.year_to_date(t.cases()), folder, PULL_DATE, buckets)
+    store.write_pull(earlier, folder, EARLIER_PULL, buckets)
+    one, other = (store.read_pull(spark, folder, date, buckets) for date in (PULL_DATE, EARLIER_PULL))
+    return recon.reconcile_stored(one, other)
+
+
+def _transposed_cells(cases: DataFrame) -> DataFrame:
+    """The cells of the transposed table whose programs are not known beforehand."""
+    wide = regional.pending_transposed(cases, as_map=True)
+    cells = F.explode("programs").alias("program", "total")
+    return wide.select("facility_region", "pending_status", "all_programs", cells)
+
+
 def _both_pulls(plan: Callable[[DataFrame], DataFrame]) -> Callable[[CaseTables], DataFrame]:
     return lambda t: pulls.by_pull(t.cases_of_pulls(PULL_DATE, EARLIER_PULL), plan, [PULL_DATE, EARLIER_PULL])
 
@@ -89,6 +111,7 @@ QUERIES: dict[str, Query] = {
         lambda t: recon.prepare_year_to_date(t.raw_cases(), t.facilities(), PULL_DATE)
     ),
     "reconcile_cases": _on_tables(_reconciled),
+    "reconcile_stored_pulls": _on_tables(_reconciled_stored),
     "pull_date_banner": _on_cases(recon.pull_date_banner),
     "cases_prepared_from_view": _on_tables(lambda t: t.cases_from_views()),
     # several pulls
@@ -173,6 +196,7 @@ QUERIES: dict[str, Query] = {
         lambda c: regional.workload_sentences(regional.region_workload_summary(c))
     ),
     "pending_transposed": _on_cases(lambda c: _transposed(c, None)),
+    "pending_transposed_cells": _on_cases(_transposed_cells),
     "pending_transposed_one": _on_cases(lambda c: _transposed(c, REGION)),
     "monitored_representative": _on_cases(regional.monitored_representative),
     # the cube, and a page from it
