@@ -135,8 +135,9 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None) -> Da
     hash (``seeded_hash``); a size of 0 takes nothing. Words of a pattern are used ``whole`` times,
     and the ``rest`` comes from documents in the order of their hash; the last of them may give only
     its first words, so the pattern's flow is met to the word. target and source_size are of the
-    document's first source. Sources and patterns are few (they and their sums pass the driver, and
-    their plan is broadcast: one short row a pattern); documents never do.
+    document's first source. Sources and patterns with their sums pass the driver, one short row a
+    pattern, documents never do; Spark broadcasts the plan if it is small. The flow takes a time in proportion to
+    patterns times arcs times paths, so some thousands of patterns are its limit.
 
     Documents are cut into ``2 ** 12`` cells by hash; only the cell in which a pattern's rest runs
     out is ordered document by document.
@@ -158,7 +159,7 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None) -> Da
         whole, rest = divmod(words, size) if size else (0, 0)
         first = members[0] if members else None
         plan.append((key, wanted.get(first, 0.0), sizes.get(first, 0), whole, rest))
-    few = F.broadcast(spark.createDataFrame(plan, _PLAN))
+    few = spark.createDataFrame(plan, _PLAN)
     # Cells: at most 4096 rows a pattern.
     cells = keyed.groupBy("plan_key", "cell").agg(F.sum("size").alias("words")).join(few.select("plan_key", "rest"), "plan_key")
     upto = F.sum("words").over(Window.partitionBy("plan_key").orderBy("cell"))
@@ -171,7 +172,7 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None) -> Da
     )
     cut = {r["plan_key"]: (r["last_cell"], r["before"]) for r in last}
     kind = T.StructType([*_PLAN.fields, T.StructField("last_cell", T.LongType()), T.StructField("before", T.LongType())])
-    full = F.broadcast(spark.createDataFrame([(*p, *cut.get(p[0], (-1, 0))) for p in plan], kind))
+    full = spark.createDataFrame([(*p, *cut.get(p[0], (-1, 0))) for p in plan], kind)
     told = keyed.join(full, "plan_key")
     inner = told.where(F.col("cell") == F.col("last_cell"))
     here = Window.partitionBy("plan_key").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
