@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,11 +48,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Have Spark remove the shuffle files of each query that ends meanwhile; what it wrote stays."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Tables of one operator's run in the shared folder, removed when it is done with them.
 
-    What is written is compressed, unlike a checkpoint, and cuts the lineage like one: once nothing else refers to the plan
-    that made it, Spark removes the shuffle files of that plan.
+    What is written is compressed, unlike a checkpoint, and cuts the lineage like one; the shuffle files
+    of the plan that made it go.
     """
 
     def __init__(self, spark: SparkSession):
@@ -69,7 +83,8 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.made}"
         self.made += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_go(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, number: int | None = None) -> None:
@@ -79,12 +94,6 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of plans that nothing refers to any more: it does so when the driver's memory is tidied."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

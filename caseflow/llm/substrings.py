@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, _lookup
-from caseflow.llm.common import Scratch, arrow_pass, let_go, partitions, pieces, stored, text_of, texts_of
+from caseflow.llm.common import Scratch, arrow_pass, partitions, pieces, shuffles_go, stored, text_of, texts_of
 
 #: A unit of fewer words may repeat by chance.
 LEAST_UNIT = 5
@@ -235,17 +235,21 @@ def stretches(docs: DataFrame) -> DataFrame:
     return both.mapInArrow(work, STRETCHES)
 
 
-def _first_passages(found: DataFrame) -> DataFrame:
+def _kinds(found: DataFrame) -> DataFrame:
+    """Every kind of stretch (c1, c2) with its seed, low, and its first occurrence (rank, name, at) with the hashes of its passages."""
+    one = F.min(F.struct("rank", "name", "at", "hashes")).alias("one")
+    return found.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("low").alias("low"), one).select("c1", "c2", "h", "low", "one.*")
+
+
+def _first_passages(kinds: DataFrame) -> DataFrame:
     """For every kind of stretch (c1, c2) where each of its passages occurred first: a list of (d, rank, name, at), d its number.
 
     Equal stretches have equal passages, so only the first stretch of a kind is unfolded.
     """
-    one = F.min(F.struct("rank", "name", "at", "hashes")).alias("one")
-    kinds = found.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("low").alias("low"), one)
-    each = kinds.select("h", "c1", "c2", "low", F.col("one.rank").alias("rank"), F.col("one.name").alias("name"), F.col("one.at").alias("at"), F.posexplode("one.hashes").alias("d", "p"))
+    each = kinds.select("h", "c1", "c2", "rank", "name", "at", F.posexplode("hashes").alias("d", "p"))
     # The seed's place in a passage belongs to the passage, as does the seed's hash.
     firsts = each.groupBy("h", "p").agg(F.min(F.struct("rank", "name", "at")).alias("f")).select(F.expr("h ^ 0L").alias("g"), F.expr("p ^ 0L").alias("q"), "f")
-    told = each.join(firsts, (F.col("h") == F.col("g")) & (F.col("p") == F.col("q")))
+    told = each.select("h", "p", "c1", "c2", "d").join(firsts, (F.col("h") == F.col("g")) & (F.col("p") == F.col("q")))
     return told.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("d", "f.rank", "f.name", "f.at"))).alias("firsts"))
 
 
@@ -283,14 +287,10 @@ def _later_stretches(found: DataFrame, firsts: DataFrame) -> DataFrame:
 def later_passages(docs: DataFrame) -> DataFrame:
     """All passages of ``LONG_RUN`` words that occurred before, as ``PARTS``, stored; each step's shuffles go before the next."""
     spark = docs.sparkSession
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, shuffles_go(spark):
         found = scratch.table(stretches(docs))
-        let_go(spark)
-        firsts = scratch.table(_first_passages(found))
-        let_go(spark)
-        out = stored(_later_stretches(found, firsts))
-    let_go(spark)
-    return out
+        firsts = scratch.table(_first_passages(scratch.table(_kinds(found))))
+        return stored(_later_stretches(found, firsts))
 
 
 SPANS = "rank bigint, name bigint, start bigint, end bigint, first bigint, words bigint, units bigint, keepers array<bigint>"
