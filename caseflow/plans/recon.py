@@ -50,8 +50,7 @@ def reconcile_stored(cases: DataFrame, other_pull: DataFrame) -> DataFrame:
     """
     key = F.col("ea_number")
     known = cases.filter(key.isNotNull()).join(other_pull.select("ea_number"), "ea_number", "left_semi")
-    lost = other_pull.filter(key.isNull()).select("ea_number").limit(1)
-    any_lost = lost.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
+    any_lost = other_pull.filter(key.isNull()).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
     return known.select(*cases.columns).unionAll(cases.filter(key.isNull() & any_lost))
 
 
