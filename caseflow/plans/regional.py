@@ -90,7 +90,7 @@ def _pending_counts(
 ) -> DataFrame:
     over = over_year(cases)
     pending = in_region(cases, region).filter(has_status(statuses))
-    return pending.groupBy(*pull_keys(pulls), "facility_region", "program").agg(
+    return pending.groupBy("facility_region", "program", *pull_keys(pulls)).agg(
         case_count(cases).alias("program_total"),
         null_if_zero(case_count_where(cases, ~over)).alias("active_lt_365"),
         null_if_zero(case_count_where(cases, over)).alias("active_gt_365"),

@@ -34,9 +34,9 @@ def pending_by(
 
     The template is one more row without key, kept in the result. It shares its total with the
     cases that have no key. Only the aggregated rows pass the window. With ``pulls`` the pull date
-    leads the key, and each pull has a template row.
+    is part of the key, and each pull has a template row.
     """
-    keys = [*pull_keys(pulls), key]
+    keys = [key, *pull_keys(pulls)]
     over = over_year(cases)
     counted = (
         cases.filter(has_status(statuses))
