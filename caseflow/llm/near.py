@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import bytescan
 from caseflow.llm.bytescan import U, mixed
-from caseflow.llm.common import arrow_pass, fixed_list, partitions, pieces, stored, text_of, texts_of, unpacked, whole_rows
+from caseflow.llm.common import arrow_pass, fixed_list, partitions, pieces, shuffles_go, stored, text_of, texts_of, unpacked, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -358,7 +358,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Every bucket's members are held against the one of them that meets most others, then only members of classes that are still
     apart against each other, so a group of copies costs one comparison each.
     """
-    told = stored(near_classes(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))))
+    # What each step writes is stored; its shuffle files go when it ends.
+    with shuffles_go(docs.sparkSession):
+        told = stored(near_classes(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))))
     sizes = told.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     sizes = sizes.select(F.expr("class_key ^ 0L").alias("of_class"), "class_id", "class_size")
     first = Window.partitionBy("class_key", "doc_id").orderBy("text_key")
