@@ -236,21 +236,34 @@ def stretches(docs: DataFrame) -> DataFrame:
 
 
 def _kinds(found: DataFrame) -> DataFrame:
-    """Every kind of stretch (c1, c2) with its seed, low, and its first occurrence (rank, name, at) with the hashes of its passages."""
+    """Every kind of stretch (c1, c2) with a number, its seed, and its first occurrence (rank, name, at) with the hashes of its passages."""
     one = F.min(F.struct("rank", "name", "at", "hashes")).alias("one")
-    return found.groupBy("c1", "c2").agg(F.first("h").alias("h"), F.first("low").alias("low"), one).select("c1", "c2", "h", "low", "one.*")
+    kinds = found.groupBy("c1", "c2").agg(F.first("h").alias("h"), one)
+    return kinds.select(F.monotonically_increasing_id().alias("kind"), "c1", "c2", "h", "one.*")
 
 
-def _first_passages(kinds: DataFrame) -> DataFrame:
-    """For every kind of stretch (c1, c2) where each of its passages occurred first: a list of (d, rank, name, at), d its number.
+def _shared_kinds(kinds: DataFrame) -> DataFrame:
+    """The kinds whose seed has another kind too: only those can share a passage with one."""
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.expr("h ^ 0L").alias("g"))
+    return kinds.join(several, F.col("h") == F.col("g"), "left_semi").select("kind", "h", "rank", "name", "at", "hashes")
 
-    Equal stretches have equal passages, so only the first stretch of a kind is unfolded.
+
+def _firsts(kinds: DataFrame, shared: DataFrame) -> DataFrame:
+    """For every kind of stretch its first occurrence (f_rank, f_name, f_at), and, as ``odd``, the passages that occurred before that: (d, rank, name, at), d the passage's number.
+
+    Equal stretches have equal passages, so only the first stretch of a kind is unfolded, and only where
+    its seed has several kinds.
     """
-    each = kinds.select("h", "c1", "c2", "rank", "name", "at", F.posexplode("hashes").alias("d", "p"))
+    each = shared.select("h", "kind", "rank", "name", "at", F.posexplode("hashes").alias("d", "p"))
     # The seed's place in a passage belongs to the passage, as does the seed's hash.
-    firsts = each.groupBy("h", "p").agg(F.min(F.struct("rank", "name", "at")).alias("f")).select(F.expr("h ^ 0L").alias("g"), F.expr("p ^ 0L").alias("q"), "f")
-    told = each.select("h", "p", "c1", "c2", "d").join(firsts, (F.col("h") == F.col("g")) & (F.col("p") == F.col("q")))
-    return told.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("d", "f.rank", "f.name", "f.at"))).alias("firsts"))
+    one = F.min(F.struct("rank", "name", "at", "kind")).alias("f")
+    groups = each.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n"), one).where("n > 1")
+    groups = groups.select(F.expr("h ^ 0L").alias("g"), F.expr("p ^ 0L").alias("q"), "f")
+    told = each.select("h", "p", "kind", "d").join(groups, (F.col("h") == F.col("g")) & (F.col("p") == F.col("q")))
+    odd = told.where(F.col("f.kind") != F.col("kind")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("d", "f.rank", "f.name", "f.at"))).alias("odd"))
+    odd = odd.select(F.expr("kind ^ 0L").alias("of_kind"), "odd")
+    both = kinds.join(odd, F.col("kind") == F.col("of_kind"), "left")
+    return both.select("c1", "c2", F.col("rank").alias("f_rank"), F.col("name").alias("f_name"), F.col("at").alias("f_at"), "odd")
 
 
 def _later_stretches(found: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -258,15 +271,23 @@ def _later_stretches(found: DataFrame, firsts: DataFrame) -> DataFrame:
 
     In one text a passage goes that starts ``LONG_RUN`` words after its first occurrence or later.
     """
-    known = firsts.select(F.expr("c1 ^ 0L").alias("k1"), F.expr("c2 ^ 0L").alias("k2"), "firsts")
+    known = firsts.select(F.expr("c1 ^ 0L").alias("k1"), F.expr("c2 ^ 0L").alias("k2"), "f_rank", "f_name", "f_at", "odd")
     both = found.join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rank, name, at, low = (np.asarray(batch.column(k)).astype(np.int64) for k in range(4))
-        starts, ends, lists = (batch.column(k) for k in (4, 5, 6))
-        many = lists.value_lengths().to_numpy()
+        rank, name, at, low, *first = (np.asarray(batch.column(k)).astype(np.int64) for k in range(7))
+        starts, ends, odd = (batch.column(k) for k in (7, 8, 9))
+        many = starts.value_lengths().to_numpy()
         row = np.repeat(np.arange(batch.num_rows), many)
-        d, f_rank, f_name, f_at = (np.asarray(c).astype(np.int64) for c in lists.flatten().flatten())
+        before = np.cumsum(many) - many
+        d = np.arange(len(row)) - before[row]
+        f_rank, f_name, f_at = (x[row] for x in first)
+        listed = odd.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if listed.any():
+            number, *others = (np.asarray(c).astype(np.int64) for c in odd.flatten().flatten())
+            place = before[np.repeat(np.arange(batch.num_rows), listed)] + number
+            for column, values in zip((f_rank, f_name, f_at), others):
+                column[place] = values
         same = (f_rank == rank[row]) & (f_name == name[row])
         goes = ~same | (at[row] >= f_at + LONG_RUN)
         start, end = starts.flatten().to_numpy(), ends.flatten().to_numpy()
@@ -276,12 +297,13 @@ def _later_stretches(found: DataFrame, firsts: DataFrame) -> DataFrame:
         begin = np.flatnonzero(fresh)
         last = np.append(begin[1:], len(row)) - 1
         of = row[begin]
-        first = at[of] - low[of] + d[begin]
+        place = at[of] - low[of] + d[begin]
         words = d[last] - d[begin] + LONG_RUN
-        columns = [rank[of], name[of], np.ones(len(of), np.int32), first.astype(np.int32), words.astype(np.int32), start[begin], end[last], f_rank[begin]]
+        columns = [rank[of], name[of], np.ones(len(of), np.int32), place.astype(np.int32), words.astype(np.int32), start[begin], end[last], f_rank[begin]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "name", "kind", "first", "words", "start", "end", "keeper"])
 
-    return arrow_pass(both.select("rank", "name", "at", "low", "starts", "ends", "firsts"), PARTS, work)
+    columns = ("rank", "name", "at", "low", "f_rank", "f_name", "f_at", "starts", "ends", "odd")
+    return arrow_pass(both.select(*columns), PARTS, work)
 
 
 def later_passages(docs: DataFrame) -> DataFrame:
@@ -289,7 +311,8 @@ def later_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with Scratch(spark) as scratch, shuffles_go(spark):
         found = scratch.table(stretches(docs))
-        firsts = scratch.table(_first_passages(scratch.table(_kinds(found))))
+        kinds = scratch.table(_kinds(found))
+        firsts = scratch.table(_firsts(kinds, scratch.table(_shared_kinds(kinds))))
         return stored(_later_stretches(found, firsts))
 
 
